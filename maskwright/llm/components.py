@@ -22,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         least = written(now.groupBy("a").agg(F.min("b").alias("p"), F.count(F.lit(1)).alias("n")), "cc-least")
         up = least.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         lifted = least.join(up, "p", "left")
-        done = lifted.agg(F.count_if("n > 1 or pp is not null")).first()[0] == 0
+        done = lifted.agg(F.count_if(F.expr("n > 1 or pp is not null"))).first()[0] == 0
         if done:
             return least.select(F.col("a").alias("node"), F.col("p").alias("root"))
         jumped = lifted.select("a", F.coalesce("pp", "p").alias("b"))
