@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secret_scan, simhash_dedup
+from . import mixing, quality_rules, secret_scan, simhash_dedup, url_filters, warc
 
-QUERIES = (quality_rules.op1_quality_rules, secret_scan.op2_secret_scan, simhash_dedup.op5_simhash_dedup, mixing.op4_mix_sources)
+QUERIES = (quality_rules.op1_quality_rules, secret_scan.op2_secret_scan, simhash_dedup.op5_simhash_dedup, mixing.op4_mix_sources, warc.op3_warc, url_filters.op10_url_filters)
 
 
 def queries():
@@ -12,4 +12,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_secret_scan": secret_scan.SQL, "op4_mix_sources": mixing.SQL}
+    return {"op3_warc": warc.SQL, "op2_secret_scan": secret_scan.SQL, "op4_mix_sources": mixing.SQL}
