@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secret_scan, simhash_dedup, url_filters, warc
+from . import decontamination, mixing, quality_rules, secret_scan, simhash_dedup, substring_dedup, url_filters, warc
 
-QUERIES = (quality_rules.op1_quality_rules, secret_scan.op2_secret_scan, simhash_dedup.op5_simhash_dedup, mixing.op4_mix_sources, warc.op3_warc, url_filters.op10_url_filters)
+QUERIES = (quality_rules.op1_quality_rules, secret_scan.op2_secret_scan, simhash_dedup.op5_simhash_dedup, mixing.op4_mix_sources, warc.op3_warc, decontamination.op7_decontaminate, substring_dedup.op9_substring_dedup, url_filters.op10_url_filters)
 
 
 def queries():

@@ -29,6 +29,10 @@ class Rule:
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
+#: The share of a host's pages that rules of one verdict must decide for it to be a seed.
+SEED_SHARE = 0.5
+
+
 def parts(url):
     """host and path columns of a url column; both empty for a null or a url without ://."""
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(`url`, instr(`url`, '://') + 3)"))
@@ -83,15 +87,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 8, damping: floa
 def host_scores(pages: DataFrame, rules=RULES, rounds: int = 8) -> DataFrame:
     """(host, trust, distrust) of all hosts that a page, a link or a seed names.
 
-    A host is a seed of trust, or of distrust, by the share of its pages that an allow, or a
-    block, rule decides.
+    A host is a seed of trust, or of distrust, if an allow, or a block, rule decides at least
+    SEED_SHARE of its pages; that share is its mass.
     """
     own = pages.select(*parts(F.col("url"))).where("host <> ''").withColumn("m", matched(rules))
     hosts = written(own.groupBy("host").agg(F.avg(F.when(F.col("m.verdict") == "allow", 1.0).otherwise(0.0)).alias("allow"), F.avg(F.when(F.col("m.verdict") == "block", 1.0).otherwise(0.0)).alias("block")), "hosts")
     edges = written(host_edges(pages), "host-edges")
-    trust = propagate(edges, hosts.where("allow > 0").select("host", F.col("allow").alias("mass")), rounds)
+    trust = propagate(edges, hosts.where(F.col("allow") >= SEED_SHARE).select("host", F.col("allow").alias("mass")), rounds)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(back, hosts.where("block > 0").select("host", F.col("block").alias("mass")), rounds)
+    distrust = propagate(back, hosts.where(F.col("block") >= SEED_SHARE).select("host", F.col("block").alias("mass")), rounds)
     either = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
     return either.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
