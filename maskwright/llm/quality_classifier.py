@@ -52,7 +52,7 @@ class Buckets:
         known = self.known
         if len(known) > _CACHE:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             shape = w.translate(_SHAPE)
             short = bytes(c for i, c in enumerate(shape) if i < 2 or c != shape[i - 1] or c != shape[i - 2])
             known[w] = (zlib.crc32(w) % BUCKETS, zlib.crc32(b"shape " + short) % BUCKETS)

@@ -67,7 +67,7 @@ def chunks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     continue
                 if len(gears) > _CACHE:
                     gears.clear()
-                for w in set(words) - gears.keys():
+                for w in {w for w in words if w not in gears}:
                     gears[w] = zlib.crc32(w) * 0x9E3779B1 & 0xFFFFFFFF
                 ends = cuts(np.fromiter((gears[w] for w in words), np.uint32, len(words))).tolist()
                 at = 0
