@@ -9,6 +9,7 @@ bounded sample of labelled documents, and its temperature is set on a part held
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -37,26 +38,30 @@ def _index() -> tuple[np.ndarray, np.ndarray]:
 PLACE, SIGN = _index()
 INDEX = np.zeros((BUCKETS, WIDTH), np.float32)
 np.put_along_axis(INDEX, PLACE, SIGN, 1)
+#: The same with a last bucket that has none.
+_PLACE, _SIGN = np.vstack([PLACE, np.zeros((1, NONZERO), int)]), np.vstack([SIGN, np.zeros((1, NONZERO))]).astype(float)
 _SHAPE = bytes(
     (ord("X") if 65 <= c < 91 else ord("x") if 97 <= c < 123 or c >= 128 else ord("9") if 48 <= c < 58 else c) for c in range(256)
 )
 
 
-class Buckets:
-    """The buckets of a word: one of the word, and one of its shape (runs of capitals, letters and digits made short)."""
+_RUN = re.compile(rb"(?s)(.)\1\1+")
 
-    def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+
+class Buckets(dict):
+    """word: bucket of the word * BUCKETS + bucket of its shape (capitals, letters and digits, runs made short)."""
+
+    def __missing__(self, w: bytes) -> int:
+        shape = _RUN.sub(rb"\1\1", w.translate(_SHAPE))
+        self[w] = out = zlib.crc32(w) % BUCKETS * BUCKETS + zlib.crc32(b"shape " + shape) % BUCKETS
+        return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _CACHE:
-            known.clear()
-        for w in {w for w in words if w not in known}:
-            shape = w.translate(_SHAPE)
-            short = bytes(c for i, c in enumerate(shape) if i < 2 or c != shape[i - 1] or c != shape[i - 2])
-            known[w] = (zlib.crc32(w) % BUCKETS, zlib.crc32(b"shape " + short) % BUCKETS)
-        return np.array([known[w] for w in words], np.int64).reshape(-1, 2)
+        """Both buckets of each word, one row per kind."""
+        if len(self) > _CACHE:
+            self.clear()
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.stack([both // BUCKETS, both % BUCKETS])
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -71,18 +76,31 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """
 
     def gather(batches):
-        total, buckets = np.zeros(BUCKETS * WIDTH, np.float64), Buckets()
+        total, buckets, wait, size = np.zeros((BUCKETS + 1) * WIDTH), Buckets(), [], 0
+        between = np.full((2, REACH), BUCKETS)  # a bucket without an index vector, so that texts don't meet
+
+        def flush():
+            both = np.concatenate(wait, axis=1)
+            for kind in both:
+                for away in range(1, REACH + 1):
+                    for a, c in ((kind[:-away], kind[away:]), (kind[away:], kind[:-away])):
+                        for i in range(NONZERO):
+                            total[:] += np.bincount(a * WIDTH + _PLACE[c, i], _SIGN[c, i], len(total))
+            wait.clear()
+
         for b in batches:
             for t in b.column("text"):
-                both = buckets.of(_words(t.as_py()))
-                for at in range(0, len(both), _STEP):
-                    part = both[max(0, at - REACH) : at + _STEP]
-                    for away in range(1, REACH + 1):
-                        for a, c in ((part[:-away], part[away:]), (part[away:], part[:-away])):
-                            for kind in (0, 1):
-                                key = (a[:, kind, None] * WIDTH + PLACE[c[:, kind]]).ravel()
-                                np.add.at(total, key, SIGN[c[:, kind]].ravel().astype(np.float64))
-        rows = total.reshape(-1, _CHUNK * WIDTH)
+                words = _words(t.as_py())
+                for at in range(0, len(words), _STEP):
+                    wait.append(buckets.of(words[at : at + _STEP]))
+                    wait.append(between)
+                    size += wait[-2].shape[1]
+                    if size > 8 * _STEP:
+                        flush()
+                        size = 0
+        if wait:
+            flush()
+        rows = total[: BUCKETS * WIDTH].reshape(-1, _CHUNK * WIDTH)
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].astype(np.float32).tobytes() for i in some], pa.binary())], names=["part", "sums"])
 
@@ -105,12 +123,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(text: str | None, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
     """The inputs of one whole text; all zero for one without words."""
     both, out = buckets.of(_words(text)), np.zeros(INPUTS)
-    n = len(both)
+    n = both.shape[1]
     for at in range(0, n, _STEP):
-        word, shape = both[at : at + _STEP].T
+        word, shape = both[:, at : at + _STEP]
         out[:WIDTH] += (vectors[word] + vectors[shape]).sum(axis=0)
         out[WIDTH : 2 * WIDTH] += INDEX[shape].sum(axis=0)
-        nxt = both[at : at + _STEP + 1, 0]
+        nxt = both[0, at : at + _STEP + 1]
         out[2 * WIDTH : 3 * WIDTH] += (INDEX[nxt[:-1]] * INDEX[nxt[1:]]).sum(axis=0)
     if n:
         out[:-1] /= n
