@@ -1,9 +1,583 @@
 """Registered queries over the driver's tables and their DuckDB twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import dates as D
+from .operators import evaluate as E
+from .operators import filters as FI
+from .operators import mask as M
+from .operators import prepare as P
+from .operators import reports as R
+from .operators import spans as S
+from .plans.patterns import Pattern
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+PHONE = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+CARD = r"[0-9]{16}"
+#: The flagship list: exclude identifiers, then keep every token that touches none.
+FLAGSHIP = [
+    Pattern("email", "regex", True, "CONTACT", EMAIL), Pattern("phone", "regex", True, "CONTACT", PHONE), Pattern("ip", "regex", True, "ID", IPV4),
+    Pattern("card", "regex", True, "ID", CARD), Pattern("rest", "regex", False, "OTHER", "."),
+]
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _sp(pattern: str, table: str = "documents", key: str = "doc_id") -> str:
+    """SQL of doc_id, nth, start, stop, token."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT {key}, nth, (stop - len(token))::BIGINT AS start, stop::BIGINT AS stop, token FROM (
+      SELECT {key}, nth, token, sum(len(gap) + len(token)) OVER (PARTITION BY {key} ORDER BY nth) AS stop FROM (
+        SELECT {key}, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS nth FROM (
+          SELECT {key}, regexp_extract_all(text, {p}) AS ms, string_split_regex(text, {p}) AS gs FROM {table})))"""
+
+
+TOK = _sp(S.TOKEN)
+_EXC = " UNION ALL ".join(f"SELECT doc_id, start, stop, '{p.phi_type}' AS phi_type FROM ({_sp(p.regex)})" for p in FLAGSHIP[:-1])
+#: exc, inc (kept tokens), runs of maskable characters and phi (what stays protected): the flagship resolution.
+RESOLVED = f"""exc AS ({_EXC}), tok AS ({TOK}),
+inc AS (SELECT doc_id, start, stop FROM tok WHERE NOT EXISTS (SELECT 1 FROM exc WHERE exc.doc_id = tok.doc_id AND tok.start <= exc.stop AND tok.stop >= exc.start)),
+runs AS ({_sp(S.MASKABLE)}),
+cut AS (SELECT r.doc_id, r.start AS a, r.stop AS b, list(i.start ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS ss, list(i.stop ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS es
+  FROM runs r LEFT JOIN inc i ON r.doc_id = i.doc_id AND i.start < r.stop AND i.stop > r.start GROUP BY ALL),
+piece AS (SELECT doc_id, unnest(list_concat([a], coalesce(es, []))) AS start, unnest(list_concat(coalesce(ss, []), [b])) AS stop FROM cut),
+phi AS (SELECT p.doc_id, p.start, p.stop, coalesce(min(e.phi_type), 'OTHER') AS phi_type FROM (SELECT * FROM piece WHERE start < stop) p LEFT JOIN exc e ON e.doc_id = p.doc_id AND e.start < p.stop AND e.stop > p.start GROUP BY ALL)"""
+
+
+def _masked_sql(put: str) -> str:
+    return f"""WITH {RESOLVED},
+o AS (SELECT p.doc_id, p.start, p.stop, substring(d.text, (p.start + 1)::BIGINT, (p.stop - p.start)::BIGINT) AS token, d.text, coalesce(lag(p.stop) OVER (PARTITION BY p.doc_id ORDER BY p.start), 0) AS before, p.phi_type FROM phi p JOIN documents d USING (doc_id)),
+j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || {put}, '' ORDER BY start) AS head, max(stop) AS last FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(head || substring(text, (last + 1)::BIGINT), text) AS text FROM documents d LEFT JOIN j USING (doc_id)"""
+
+
+def _phi(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d, FI.protected(d, FLAGSHIP)
+
+
+# ---- scans, tokens and strings
+
+
+@query(TOK)
+def token_offsets(spark, sf_dir):
+    return S.tokens(docs(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::BIGINT AS word_count,
+  list_sum(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), w -> len(regexp_extract_all(w, '[A-Za-z0-9]+|[^A-Za-z0-9]'))))::BIGINT AS reference_token_count, strlen(text)::BIGINT AS file_size FROM documents""")
+def token_counts(spark, sf_dir):
+    pieces = F.aggregate(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(0), lambda a, w: a + F.regexp_count(w, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]")))
+    return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long").alias("word_count"), pieces.cast("long").alias("reference_token_count"), F.octet_length("text").cast("long").alias("file_size"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9_'']+'), w -> string_split_regex(w, '[''_]'))), x -> x <> '')) AS word FROM documents)
+SELECT word, count(*) AS n FROM c GROUP BY word HAVING count(*) > 1""")
+def clean_tokens(spark, sf_dir):
+    """Words cut at punctuation, with how often they occur."""
+    parts = F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_']+"), F.lit(0)), lambda w: F.split(w, "['_]")))
+    return docs(spark, sf_dir).select(F.explode(F.filter(parts, lambda x: x != "")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(f"SELECT doc_id, nth, start, stop, token FROM ({_sp(S.MASKABLE)}) WHERE contains(token, '*')")
+def masked_tokens(spark, sf_dir):
+    return S.regex_spans(docs(spark, sf_dir), S.MASKABLE).where(F.contains("token", F.lit("*")))
+
+
+def _regex_query(name: str, pattern: str):
+    def f(spark, sf_dir):
+        return S.regex_spans(docs(spark, sf_dir), pattern)
+
+    f.__name__ = name
+    query(_sp(pattern))(f)
+
+
+for _n, _p in (("regex_spans_email", EMAIL), ("regex_spans_phone", PHONE), ("regex_spans_ip", IPV4), ("regex_spans_card", CARD)):
+    _regex_query(_n, _p)
+
+
+@query()
+def regex_spans_lookaround(spark, sf_dir):
+    """Lookarounds and back-references, which RE2 lacks: a number not beside digits, and a doubled word."""
+    d = docs(spark, sf_dir)
+    return S.regex_spans(d, r"(?Ud)(?<![0-9])[0-9]{4}(?![0-9])").unionByName(S.regex_spans(d, r"(?Ud)\b(\w+) \1\b"))
+
+
+@query("SELECT doc_id, 0::BIGINT AS start, len(text)::BIGINT AS stop FROM documents WHERE text <> ''")
+def match_all_spans(spark, sf_dir):
+    return FI.candidates(docs(spark, sf_dir), Pattern("all", "match_all", False))
+
+
+_WORDS = "SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS word FROM benchmark WHERE item_id < 20"
+
+
+def _word_set(spark, sf_dir):
+    """A word list of the benchmark's first items: an input of the set filter."""
+    return t(spark, sf_dir, "benchmark").where("item_id < 20").select(F.lower(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)))).alias("word")).distinct()
+
+
+@query(f"WITH w AS ({_WORDS}) SELECT doc_id, start, stop, token FROM ({TOK}) WHERE lower(token) IN (SELECT word FROM w)")
+def set_filter_spans(spark, sf_dir):
+    return FI.set_spans(docs(spark, sf_dir), _word_set(spark, sf_dir))
+
+
+_POS = "CASE WHEN regexp_matches(token, '[0-9]') THEN 'CD' WHEN regexp_matches(token, '^[A-Z][a-z]*$') THEN 'NNP' WHEN regexp_matches(token, 'ing$') THEN 'VBG' WHEN regexp_matches(token, 'ed$') THEN 'VBD' WHEN regexp_matches(token, 'ly$') THEN 'RB' WHEN regexp_matches(token, '[a-z]s$') THEN 'NNS' ELSE 'NN' END"
+
+
+@query(f"WITH k AS (SELECT {_POS} AS pos, regexp_matches(token, '[0-9]') AS is_phi FROM ({TOK})) SELECT pos, is_phi, count(*) AS n FROM k GROUP BY ALL")
+def pos_counts(spark, sf_dir):
+    return S.tokens(docs(spark, sf_dir)).select(FI.heuristic_pos(F.col("token")).alias("pos"), F.col("token").rlike("[0-9]").alias("is_phi")).groupBy("pos", "is_phi").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT doc_id, start, stop FROM ({TOK}) WHERE {_POS} IN ('CD', 'VBG')")
+def pos_filter_spans(spark, sf_dir):
+    return FI.candidates(docs(spark, sf_dir), Pattern("pos", "pos_matcher", True, pos=("CD", "VBG")))
+
+
+_PROBES = "SELECT d.doc_id, b.text AS value FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id"
+
+
+def _probes(spark, sf_dir):
+    """Known identifiers per note: the text of the benchmark item of the same number."""
+    return t(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value")), "item_id").select("doc_id", "value")
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES}))
+SELECT t.doc_id, start, stop, token FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND p.w = lower(t.token) AND len(w) > 1)""")
+def dynamic_set_spans(spark, sf_dir):
+    return FI.dynamic_set_spans(docs(spark, sf_dir), _probes(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT doc_id, text, '(?i)(?:' || array_to_string(regexp_extract_all(source, '[A-Za-z0-9]+'), '[^0-9A-Za-z]{1,3}') || ')' AS pat FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,} [A-Za-z]{4,}') AS source FROM documents) WHERE source <> ''),
+m AS (SELECT doc_id, regexp_extract_all(text, pat) AS ms, string_split_regex(text, pat) AS gs FROM p)
+SELECT doc_id, (stop - len(token))::BIGINT AS start, stop::BIGINT AS stop, token FROM (SELECT doc_id, token, sum(len(gap) + len(token)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM (SELECT doc_id, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS nth FROM m))""")
+def dynamic_regex_spans(spark, sf_dir):
+    """The first pair of long words of each note as its own probe."""
+    d = docs(spark, sf_dir)
+    probe = d.select("doc_id", F.regexp_extract("text", "[A-Za-z]{4,} [A-Za-z]{4,}", 0).alias("value")).where("value <> ''")
+    return FI.dynamic_regex_spans(d, probe)
+
+
+_CTX = f"WITH m AS (SELECT doc_id, start, stop, token FROM ({_sp('[A-Za-z]+ ')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+')}))"
+
+
+def _ctx(side: str, cond: str):
+    def f(spark, sf_dir):
+        d = docs(spark, sf_dir)
+        found = S.regex_spans(d, "[A-Za-z]+ ").select("doc_id", "start", "stop", "token")
+        return FI.beside(found, S.regex_spans(d, "[0-9]+"), side)
+
+    f.__name__ = f"context_{side}"
+    query(f"{_CTX} SELECT * FROM m WHERE {cond}")(f)
+
+
+_L, _R = "EXISTS (SELECT 1 FROM p WHERE p.doc_id = m.doc_id AND p.stop = m.start)", "EXISTS (SELECT 1 FROM p WHERE p.doc_id = m.doc_id AND p.start = m.stop)"
+for _s, _c in (("left", _L), ("right", _R), ("left_or_right", f"({_L} OR {_R})"), ("left_and_right", f"{_L} AND {_R}")):
+    _ctx(_s, _c)
+
+
+# ---- span algebra, resolution, masks
+
+_NUM = f"SELECT doc_id, start, stop FROM ({_sp('[0-9][0-9.-]*')}) UNION ALL SELECT doc_id, start, stop FROM ({_sp('[A-Za-z]*[0-9]+[ ]?')})"
+
+
+def _num(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    cols = ("doc_id", "start", "stop")
+    return S.regex_spans(d, "[0-9][0-9.-]*").select(*cols).unionByName(S.regex_spans(d, "[A-Za-z]*[0-9]+[ ]?").select(*cols))
+
+
+@query(f"""WITH s AS ({_NUM}), r AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT doc_id, min(start) AS start, max(stop) AS stop FROM i GROUP BY doc_id, island""")
+def span_merge(spark, sf_dir):
+    return S.merge(_num(spark, sf_dir))
+
+
+@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '^[A-Z]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start <= b.stop AND a.stop >= b.start)")
+def span_overlap_antijoin(spark, sf_dir):
+    return S.apart_from(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("^[A-Z]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
+
+
+@query(f"WITH a AS ({_sp('[^ ]+')}), b AS ({_NUM}) SELECT DISTINCT a.doc_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start")
+def span_intersections(spark, sf_dir):
+    return S.intersections(S.regex_spans(docs(spark, sf_dir), "[^ ]+"), _num(spark, sf_dir))
+
+
+@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start = b.start)")
+def span_remove(spark, sf_dir):
+    return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[0-9]")), _num(spark, sf_dir).where("true")).select("doc_id", "start", "stop")
+
+
+@query(f"WITH {RESOLVED} SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars FROM inc GROUP BY doc_id")
+def include_exclude_resolution(spark, sf_dir):
+    inc, _ = FI.resolve(docs(spark, sf_dir), FLAGSHIP)
+    return inc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
+
+
+@query(f"WITH {RESOLVED} SELECT doc_id, start, stop, phi_type, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS word FROM phi JOIN documents USING (doc_id)")
+def complement_spans(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return S.with_text(phi, d, "word").select("doc_id", "start", "stop", "phi_type", "word")
+
+
+@query(_masked_sql("'*****'"))
+def mask_documents(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return M.mask_tokens(d, phi)
+
+
+@query(_masked_sql("regexp_replace(token, '[A-Za-z0-9*]', '*', 'g')"))
+def mask_chars(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return M.mask_chars(d, S.with_text(phi, d))
+
+
+@query(_masked_sql("'*' || substring(token, 2)"))
+def mask_obscured(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return M.obscured(d, S.with_text(phi, d))
+
+
+@query(_masked_sql("'***' || CASE phi_type WHEN 'OTHER' THEN 'PHI' ELSE phi_type END || '***'"))
+def tag_replace(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return M.tagged(d, phi)
+
+
+@query(f"""WITH {RESOLVED}, n AS (SELECT doc_id, start, stop, phi_type, replace(replace(replace(replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS i FROM phi JOIN documents USING (doc_id))
+SELECT doc_id, string_agg('<' || phi_type || ' id="P' || i || '" start="' || start || '" end="' || stop || '" text="' || tok || '" TYPE="' || phi_type || '" comment="" />', '' ORDER BY i) AS xml FROM n GROUP BY doc_id""")
+def annotation_xml(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return M.annotation_xml(S.with_text(phi, d))
+
+
+@query(f"WITH {RESOLVED} SELECT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g') AS shape, count(*) AS n FROM phi JOIN documents USING (doc_id) GROUP BY ALL")
+def shape_template(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return S.with_text(phi, d).groupBy(M.shape(F.col("token")).alias("shape")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape")
+
+
+@query(f"SELECT doc_id, start, substring(text, greatest(start - 25, 0) + 1, least(stop + 25, len(text)) - greatest(start - 25, 0)) AS context FROM ({_sp(CARD)}) JOIN documents USING (doc_id)")
+def char_context(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return S.regex_spans(d, CARD).join(d, "doc_id").select("doc_id", "start", F.expr("substring(text, int(greatest(start - 25, 0)) + 1, int(least(stop + 25, length(text)) - greatest(start - 25, 0)))").alias("context"))
+
+
+@query(f"WITH c AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context FROM ({TOK})) SELECT doc_id, nth, token, context FROM c WHERE regexp_matches(token, '[0-9]')")
+def word_context_window(spark, sf_dir):
+    return E.word_context(S.tokens(docs(spark, sf_dir)).select("doc_id", "nth", "token")).where(F.col("token").rlike("[0-9]"))
+
+
+# ---- keys, paths, probes, words
+
+
+@query("SELECT page_id, ltrim(regexp_replace(regexp_extract('/notes/' || lpad(page_id::VARCHAR, 9, '0') || '_utf8.txt', '([^/]*)$', 1), '(_utf8)?(\\.txt|\\.xml)?$', ''), '0') AS note_key FROM pages")
+def note_key_normalise(spark, sf_dir):
+    path = F.concat(F.lit("/notes/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit("_utf8.txt"))
+    return t(spark, sf_dir, "pages").select("page_id", P.note_key(path).alias("note_key"))
+
+
+@query("SELECT c_custkey, substring(k, 1, 2) || '/' || substring(k, 3, 3) || '/' || substring(k, 6, 3) || '/' || substring(k, 9, 3) AS path FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 11, '0') AS k FROM customer)")
+def path_shard(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", P.shard(F.col("c_custkey").cast("string")).alias("path"))
+
+
+@query("WITH d AS (SELECT c_custkey, sha256(c_custkey::VARCHAR) AS h FROM customer) SELECT c_custkey, " + " || ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', (('0x' || substring(h, {4 * i + 1}, 4))::INT % 36) + 1, 1)" for i in range(14)) + " || 'B' AS deid_key FROM d")
+def random_key(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", P.random_key(F.col("c_custkey")).alias("deid_key"))
+
+
+@query(r"SELECT doc_id, translate(text, chr(7) || chr(21) || chr(240), '   ') AS text FROM documents")
+def control_scrub(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", P.scrub(F.col("text")).alias("text"))
+
+
+@query("""SELECT c_custkey, kind, value FROM (SELECT c_custkey, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'zip', lpad(c_nationkey::VARCHAR, 5, '0') FROM customer UNION ALL SELECT c_custkey, 'workplace', c_mktsegment FROM customer)""")
+def probe_kinds(spark, sf_dir):
+    """Columns of known identifiers unpivoted and folded into kinds."""
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("lname"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("ZIP"), F.col("c_mktsegment").alias("empr_id_cmt"))
+    return c.unpivot("c_custkey", ["lname", "ZIP", "empr_id_cmt"], "source", "value").select("c_custkey", P.probe_kind(F.col("source")).alias("kind"), "value")
+
+
+@query("""WITH v AS (SELECT o_orderkey, upper(n_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+SELECT name, count(*) AS n FROM (SELECT DISTINCT o_orderkey, name FROM (SELECT * FROM v UNION ALL SELECT o_orderkey, upper(r_name) FROM v JOIN nation ON upper(n_name) = v.name JOIN region ON n_regionkey = r_regionkey)) GROUP BY name""")
+def nickname_expand(spark, sf_dir):
+    """Note to patient to name (two hops), with aliases (the region of a nation) added."""
+    n, r = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
+    names = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("key"), F.col("n_name").alias("name"))
+    alias = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("alias"))
+    return P.expand_names(names, alias).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH w AS ({_WORDS}) SELECT word FROM (SELECT word FROM w UNION SELECT lower(n_name) FROM nation) WHERE word NOT IN (SELECT word FROM w WHERE word LIKE '%tion%')")
+def whitelist_edit(spark, sf_dir):
+    w = _word_set(spark, sf_dir)
+    return P.edit_words(w, t(spark, sf_dir, "nation").select(F.lower("n_name").alias("word")), w.where("word like '%tion%'"))
+
+
+@query(f"WITH k AS (SELECT lower(token) AS word, count(*) AS n FROM ({TOK}) GROUP BY 1) SELECT word, n FROM k WHERE n >= 5 AND word NOT IN ({_WORDS})")
+def vocabulary_mining(spark, sf_dir):
+    """Words often seen that a list lacks."""
+    return S.tokens(docs(spark, sf_dir)).groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").join(_word_set(spark, sf_dir), "word", "left_anti")
+
+
+_GOLD = f"SELECT doc_id, start, stop, token, CASE WHEN regexp_matches(token, '^[0-9]{{4}}$') THEN 'DATE' WHEN regexp_matches(token, '^[0-9]{{1,3}}$') THEN 'AGE<90' ELSE 'NAME' END AS phi_type FROM ({_sp('[A-Z0-9]{2,}')})"
+
+
+def _gold(spark, sf_dir):
+    kind = F.when(F.col("token").rlike("^[0-9]{4}$"), "DATE").when(F.col("token").rlike("^[0-9]{1,3}$"), "AGE<90").otherwise("NAME")
+    return S.regex_spans(docs(spark, sf_dir), "[A-Z0-9]{2,}").select("doc_id", "start", "stop", "token", kind.alias("phi_type"))
+
+
+@query(f"SELECT * FROM ({_GOLD}) WHERE NOT ((phi_type = 'DATE' AND regexp_matches(token, '^[0-9]{{4}}$')) OR regexp_matches(token, '^[A-Z]{{1,3}}$') OR (phi_type = 'AGE<90' AND coalesce(try_cast(token AS INT) < 90, false)))")
+def curate_gold(spark, sf_dir):
+    return P.curate(_gold(spark, sf_dir))
+
+
+# ---- dates
+
+_ORD = "SELECT o_orderkey, o_custkey, o_orderdate::DATE AS d FROM orders"
+_FORMS = ("yyyy-MM-dd", "MM/dd/yyyy", "MM/dd/yy", "MMMM d, yyyy", "MMMM yyyy", "MMMM d", "MMMM", "yyyy")
+
+
+def _orders(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+
+
+def _written_dates(spark, sf_dir):
+    form = F.lit(None).cast("string")
+    for i, f in enumerate(_FORMS):
+        form = F.when(F.col("o_orderkey") % 8 == i, F.date_format("d", f)).otherwise(form)
+    return _orders(spark, sf_dir).select("o_orderkey", D.parse(form).alias("p"))
+
+
+_OUT = ("%B %d, %Y", "x")
+_RENDER = "CASE o_orderkey % 8 WHEN 2 THEN strftime(d, '%m/%d/%y') WHEN 4 THEN strftime(d, '%B %Y') WHEN 5 THEN strftime(d, '%B %d') WHEN 6 THEN strftime(d, '%B') WHEN 7 THEN strftime(d, '%Y') ELSE strftime(d, '%m/%d/%Y') END"
+
+
+@query(f"SELECT o_orderkey, {_RENDER} AS rendered, o_orderkey % 8 IN (5, 6) AS missing_year, o_orderkey % 8 IN (4, 6, 7) AS missing_day, o_orderkey % 8 = 2 AS missing_century FROM ({_ORD})")
+def partial_date_render(spark, sf_dir):
+    """Dates written in eight forms, parsed with what they lack, and rendered by what they have."""
+    p = F.col("p")
+    return _written_dates(spark, sf_dir).select("o_orderkey", D.render(p).alias("rendered"), p["missing_year"].alias("missing_year"), p["missing_day"].alias("missing_day"), p["missing_century"].alias("missing_century"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_custkey % 30 = 0 THEN NULL ELSE d - (o_custkey % 30)::INT END AS shifted FROM ({_ORD})")
+def date_shift(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    return rows.select("o_orderkey", D.shift(F.col("d"), (F.col("o_custkey") % 30).cast("string")).alias("shifted"))
+
+
+_AGE = "date_part('year', d) - date_part('year', b) - CASE WHEN (date_part('month', d), date_part('day', d)) < (date_part('month', b), date_part('day', b)) THEN 1 ELSE 0 END"
+
+
+@query(f"WITH x AS (SELECT o_orderkey, d, (DATE '1900-02-28' + (o_custkey * 37 % 30000)::INT) AS b FROM ({_ORD})), y AS (SELECT *, ({_AGE})::INT AS age FROM x) SELECT o_orderkey, age::INT AS age, CASE WHEN age > 90 THEN '*****' ELSE age::VARCHAR END AS shown, CASE WHEN age > 90 THEN (b + to_years(age - 90))::DATE ELSE b END AS capped FROM y")
+def age_and_birth_cap(spark, sf_dir):
+    rows = _orders(spark, sf_dir).withColumn("b", F.date_add(F.lit("1900-02-28").cast("date"), (F.col("o_custkey") * 37 % 30000).cast("int")))
+    age = D.age_on(F.col("b"), F.col("d")).cast("int")
+    return rows.select("o_orderkey", age.alias("age"), D.age_substitute(age).alias("shown"), D.capped_birth(F.col("b"), F.col("d")).alias("capped"))
+
+
+@query("SELECT p_partkey, p_size AS age FROM part")
+def age_parse(spark, sf_dir):
+    """Sizes written as digits or words, read back."""
+    words = F.create_map(*[x for w, n in D.number_words().items() if "one hundred" not in w for x in (F.lit(n), F.lit(w))])
+    said = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.initcap(words[F.col("p_size")]))
+    return t(spark, sf_dir, "part").select("p_partkey", D.parse_age(said).alias("age"))
+
+
+@query("SELECT c_custkey, (('0x' || substring(md5(c_custkey::VARCHAR), 1, 7))::INT % 365 + 730)::INT AS date_offset FROM customer")
+def fallback_offset(spark, sf_dir):
+    return t(spark, sf_dir, "customer").select("c_custkey", D.fallback_offset(F.col("c_custkey")).alias("date_offset"))
+
+
+@query(f"""WITH g AS (SELECT o_orderkey, d - 10 AS d FROM ({_ORD}) WHERE o_orderkey % 3 <> 0), p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN d ELSE d - 10 END AS d FROM ({_ORD}) WHERE o_orderkey % 7 <> 0)
+SELECT CASE WHEN g.d IS NOT NULL AND p.d IS NOT NULL THEN 'TP' WHEN p.d IS NOT NULL THEN 'FP' ELSE 'FN' END AS label, count(*) AS n FROM g FULL JOIN p ON g.o_orderkey = p.o_orderkey AND g.d = p.d GROUP BY 1""")
+def date_shift_evaluation(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    g = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.date_sub("d", 10).alias("d"), F.lit(1).alias("g"))
+    p = o.where("o_orderkey % 7 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("d")).otherwise(F.date_sub("d", 10)).alias("d"), F.lit(1).alias("p"))
+    both = g.join(p, ["o_orderkey", "d"], "full_outer")
+    return both.groupBy(F.when(F.expr("g = 1 and p = 1"), "TP").when(F.expr("p = 1"), "FP").otherwise("FN").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- evaluation
+
+_PRED = f"SELECT doc_id, start, stop FROM ({TOK}) WHERE regexp_matches(token, '[0-9]')"
+_LAB = f"""lab AS (SELECT t.doc_id, t.start, t.token, CASE WHEN g.start IS NOT NULL AND p.start IS NOT NULL THEN 'TP' WHEN p.start IS NOT NULL THEN 'FP' WHEN g.start IS NOT NULL THEN 'FN' ELSE 'TN' END AS label
+  FROM ({TOK}) t LEFT JOIN (SELECT DISTINCT doc_id, start FROM ({TOK}) WHERE regexp_matches(token, '^[A-Z0-9]{{2,}}$')) g ON t.doc_id = g.doc_id AND t.start = g.start LEFT JOIN (SELECT DISTINCT doc_id, start FROM ({_PRED})) p ON t.doc_id = p.doc_id AND t.start = p.start)"""
+_MET = "count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FP') AS fp, count(*) FILTER (WHERE label = 'FN') AS fn, count(*) FILTER (WHERE label = 'TN') AS tn"
+_RATIO = "round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(tn / nullif(tn + fp, 0), 0.0), 6) AS retention"
+
+
+def _labelled(spark, sf_dir):
+    toks = S.tokens(docs(spark, sf_dir))
+    return toks, E.confusion(toks, toks.where(F.col("token").rlike("^[A-Z0-9]{2,}$")), toks.where(F.col("token").rlike("[0-9]")))
+
+
+@query(f"WITH {_LAB}, m AS (SELECT {_MET} FROM lab) SELECT *, {_RATIO} FROM m")
+def precision_recall(spark, sf_dir):
+    return E.metrics(_labelled(spark, sf_dir)[1])
+
+
+@query(f"WITH {_LAB}, m AS (SELECT doc_id, {_MET} FROM lab GROUP BY doc_id) SELECT *, {_RATIO} FROM m")
+def precision_recall_by_doc(spark, sf_dir):
+    return E.metrics(_labelled(spark, sf_dir)[1], "doc_id")
+
+
+@query(f"WITH {_LAB} SELECT label, lower(token) AS word, count(*) AS n, min(doc_id) AS first_doc FROM lab WHERE label IN ('FP', 'FN') GROUP BY 1, 2")
+def error_condensation(spark, sf_dir):
+    toks, lab = _labelled(spark, sf_dir)
+    return lab.where("label in ('FP', 'FN')").join(toks, ["doc_id", "start"]).groupBy("label", F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(f"""WITH g AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{2,}')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+[A-Za-z]?')})),
+c AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS at FROM (SELECT * FROM g UNION ALL SELECT * FROM p)), q AS (SELECT doc_id, at AS start, lead(at) OVER (PARTITION BY doc_id ORDER BY at) AS stop FROM c),
+r AS (SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND q.start >= g.start AND q.stop <= g.stop) AS in_gold, EXISTS (SELECT 1 FROM p WHERE p.doc_id = q.doc_id AND q.start >= p.start AND q.stop <= p.stop) AS in_pred FROM q WHERE stop IS NOT NULL)
+SELECT doc_id, start, stop, in_gold, in_pred FROM r WHERE in_gold OR in_pred""")
+def subtoken_alignment(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return E.align(S.regex_spans(d, "[A-Z0-9]{2,}"), S.regex_spans(d, "[0-9]+[A-Za-z]?"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{6,}')})), h AS (SELECT doc_id, start, stop, 'card' AS title FROM ({_sp(CARD)}) UNION ALL SELECT doc_id, start, stop, 'digits' FROM ({_sp('[0-9]+')}) UNION ALL SELECT doc_id, start, stop, 'caps' FROM ({_sp('[A-Z]+')}))
+SELECT e.doc_id, e.start, e.stop, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL""")
+def error_provenance(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    hits = None
+    for title, p in (("card", CARD), ("digits", "[0-9]+"), ("caps", "[A-Z]+")):
+        x = S.regex_spans(d, p).select("doc_id", "start", "stop", F.lit(title).alias("title"))
+        hits = x if hits is None else hits.unionByName(x)
+    return E.provenance(S.regex_spans(d, "[A-Z0-9]{6,}"), hits)
+
+
+@query(f"WITH a AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', '(SELECT doc_id, regexp_replace(text, $$[0-9]$$, $$*$$, $$g$$) AS text FROM documents)')}), b AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', '(SELECT doc_id, regexp_replace(text, $$[0-9A-F]$$, $$*$$, $$g$$) AS text FROM documents)')})" + ", lab AS (SELECT CASE WHEN contains(b.token, '*') AND contains(a.token, '*') THEN 'TP' WHEN contains(a.token, '*') THEN 'FP' WHEN contains(b.token, '*') THEN 'FN' ELSE 'TN' END AS label FROM a JOIN b USING (doc_id, nth)) SELECT label, count(*) AS n FROM lab GROUP BY label")
+def mask_evaluation(spark, sf_dir):
+    """Two maskings of the same texts, token by token."""
+    d = docs(spark, sf_dir)
+    a, b = (d.select("doc_id", F.regexp_replace("text", p, "*").alias("text")) for p in ("[0-9]", "[0-9A-F]"))
+    return E.compare_masks(a, b).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT toxic, quality, count(*) AS n FROM labels GROUP BY ALL")
+def annotator_agreement(spark, sf_dir):
+    """Two labels of the same rows, counted as a confusion matrix."""
+    return t(spark, sf_dir, "labels").groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- reports
+
+
+@query(f"WITH {RESOLVED} SELECT phi_type, count(*) AS n FROM phi GROUP BY phi_type")
+def phi_type_counts(spark, sf_dir):
+    return _phi(spark, sf_dir)[1].groupBy("phi_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SUM = f"""{RESOLVED}, summary AS (SELECT d.doc_id, strlen(d.text)::BIGINT AS file_size, coalesce(a.n, 0)::BIGINT AS total_tokens, coalesce(b.n, 0)::BIGINT AS phi_tokens FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM phi GROUP BY 1) b USING (doc_id))"""
+
+
+@query(f"WITH {_SUM} SELECT * FROM summary")
+def doc_summary(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    return R.doc_summary(d, S.tokens(d), phi)
+
+
+@query(f"""WITH {_SUM} SELECT count(*) AS n_docs, round(sum(file_size) / 1000, 3) AS kilobytes, sum(total_tokens)::BIGINT AS tokens, sum(phi_tokens)::BIGINT AS phi_tokens, round(quantile_cont(total_tokens, 0.5), 4) AS median_tokens,
+round(quantile_cont(phi_tokens, 0.5), 4) AS median_phi, round(quantile_cont(phi_tokens, 0.025), 4) AS low_phi, round(quantile_cont(phi_tokens, 0.975), 4) AS high_phi FROM summary""")
+def batch_summary(spark, sf_dir):
+    return R.batch_summary(doc_summary(spark, sf_dir))
+
+
+@query(f"SELECT lower(token) AS word, count(*) AS n, count(*) FILTER (WHERE regexp_matches(token, '^[A-Z]')) AS capital FROM ({TOK}) GROUP BY 1")
+def unigram_freq(spark, sf_dir):
+    return S.tokens(docs(spark, sf_dir)).groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("token").rlike("^[A-Z]")).alias("capital"))
+
+
+@query(f"WITH b AS (SELECT lower(token) AS word, lower(lead(token) OVER (PARTITION BY doc_id ORDER BY nth)) AS next_word FROM ({TOK})) SELECT word, next_word, count(*) AS n FROM b WHERE next_word IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def bigram_freq(spark, sf_dir):
+    return R.bigrams(S.tokens(docs(spark, sf_dir))).where("n > 1")
+
+
+@query("WITH r AS (SELECT unnest(range(20))::INT AS replicate), u AS (SELECT replicate, n_chars, ('0x' || substring(md5(replicate::VARCHAR || ':' || doc_id::VARCHAR), 1, 7))::INT / 268435456.0::DOUBLE AS u FROM documents, r), w AS (SELECT *, " + " + ".join(f"(u >= {x})::INT" for x in R.POISSON) + " AS w FROM u) SELECT replicate, sum(w)::BIGINT AS n, sum(w * n_chars)::BIGINT AS total FROM w GROUP BY replicate")
+def bootstrap(spark, sf_dir):
+    return R.bootstrap(t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 20)
+
+
+@query("SELECT phi, failed, count(*) AS n FROM (SELECT event_type AS phi, value IS NULL OR value < 10 AS failed FROM events) GROUP BY ALL")
+def parse_outcomes(spark, sf_dir):
+    """Successes and failures by kind."""
+    return t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phi"), F.expr("value is null or value < 10").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT max(turn) + 1 AS next_run FROM conversations")
+def next_run(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").agg((F.max("turn") + 1).alias("next_run"))
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_batches(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("lang", "source").distinct()
+
+
+@query("SELECT c.conv_id, c.turn, d.doc_id FROM conversations c JOIN documents d ON c.conv_id = d.doc_id WHERE c.role = 'user'")
+def batch_notes(spark, sf_dir):
+    """A batch of keys joined to its notes."""
+    c = t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
+    return c.join(t(spark, sf_dir, "documents").select("doc_id"), F.col("conv_id") == F.col("doc_id"))
+
+
+@query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def metadata_left_join(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT -1 - doc_id FROM labels WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+def key_sets(spark, sf_dir):
+    """Keys in both of two sets, and keys in one only."""
+    lab = t(spark, sf_dir, "labels").select("doc_id")
+    one = lab.join(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti").select((-1 - F.col("doc_id")).alias("doc_id"))
+    return t(spark, sf_dir, "documents").select("doc_id").join(lab, "doc_id", "left_semi").union(one)
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::VARCHAR) LIMIT 25")
+def sample_notes(spark, sf_dir):
+    """A seeded sample of k notes: the limit is the operator."""
+    return t(spark, sf_dir, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))).limit(25)
+
+
+@query("SELECT p_partkey, p_name AS name FROM part WHERE contains(p_name, 'a.b') OR regexp_matches(p_name, '[0-9]')")
+def literal_search(spark, sf_dir):
+    """A word searched for as it stands, besides a class of characters."""
+    return t(spark, sf_dir, "part").where(F.col("p_name").rlike(r"\Qa.b\E") | F.col("p_name").rlike("[0-9]")).select("p_partkey", F.col("p_name").alias("name"))

@@ -1,0 +1,75 @@
+"""Readers of notes and side inputs, and writers of results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.prepare import note_key, probe_kind, shard, surrogate_meta
+
+
+def text_notes(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (note key), path, text of *txt files below path, but those of meta_data; utf-8 or else latin-1."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*txt").load(path).where(~F.contains("path", F.lit("meta_data")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    return raw.select(note_key(F.col("path")).alias("doc_id"), "path", text.alias("text"))
+
+
+def xml_annotations(spark: SparkSession, path: str, row_tag: str, types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(notes, gold): doc_id, text, and doc_id, phi_type, id, start, stop, token of the tags of annotated XML files."""
+    attr = T.StructType([T.StructField(f"_{c}", T.StringType()) for c in ("id", "start", "end", "spans", "text", "TYPE", "comment")])
+    tags = T.StructType([T.StructField(t, T.ArrayType(attr)) for t in types])
+    df = spark.read.format("xml").option("rowTag", row_tag).schema(T.StructType([T.StructField("TEXT", T.StringType()), T.StructField("TAGS", tags)])).load(path)
+    df = df.select(note_key(F.input_file_name()).alias("doc_id"), F.col("TEXT").alias("text"), "TAGS")
+    bound = lambda i, c: F.coalesce(F.expr(f"try_cast(split(x._spans, '~')[{i}] as bigint)"), F.expr(f"try_cast(x._{c} as bigint)"))
+    gold = None
+    for t in types:
+        rows = df.select("doc_id", F.explode(F.col("TAGS")[t]).alias("x")).select("doc_id", F.coalesce("x._TYPE", F.lit(t)).alias("phi_type"), F.col("x._id").alias("id"), bound(0, "start").alias("start"), bound(1, "end").alias("stop"), F.col("x._text").alias("token"))
+        gold = rows if gold is None else gold.unionByName(rows)
+    return df.select("doc_id", "text"), gold
+
+
+def probes_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """note_key, kind, value of a tab-separated file of known identifiers, all strings, latin-1."""
+    df = spark.read.csv(path, sep="\t", header=True, encoding="ISO-8859-1", inferSchema=False)
+    return df.select(F.regexp_replace("note_key", "^0+", "").alias("note_key"), probe_kind(F.col("phi_type")).alias("kind"), "value").where("kind is not null and value is not null")
+
+
+def surrogate_tsv(spark: SparkSession, path: str) -> DataFrame:
+    return surrogate_meta(spark.read.csv(path, sep="\t", header=True, inferSchema=False))
+
+
+def word_set(spark: SparkSession, path: str) -> DataFrame:
+    """word of a JSON object of words to numbers, or of a JSON list of words."""
+    raw = spark.read.text(path, wholetext=True)
+    keys = F.coalesce(F.json_object_keys("value"), F.from_json("value", "array<string>"))
+    return raw.select(F.explode(keys).alias("word")).distinct()
+
+
+def phi_notes_json(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, text, phi (array of maps) of a JSON object of files."""
+    kind = "map<string,struct<text:string,phi:array<map<string,string>>>>"
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("doc_id", "v")).select("doc_id", "v.text", "v.phi")
+
+
+def nicknames_csv(spark: SparkSession, path: str, least: float = 0.0) -> DataFrame:
+    df = spark.read.csv(path, header=True)
+    return df.where(F.col("ALIAS FREQ").try_cast("double") >= least).select(F.col("NAME").alias("name"), F.col("ALIAS").alias("alias")).distinct()
+
+
+def write_notes(notes: DataFrame, path: str) -> None:
+    """notes(doc_id, text) below path, in one directory per shard of the key; a row holds one note."""
+    notes.withColumn("shard", F.replace(shard(F.col("doc_id").cast("string")), F.lit("/"), F.lit("-"))).write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def write_log(df: DataFrame, path: str, sep: str = "\t") -> None:
+    df.write.mode("overwrite").csv(path, sep=sep, header=True)
+
+
+def append_run(df: DataFrame, path: str, runs: DataFrame | None = None) -> int:
+    """Append df under the next run number (1 where there is none yet), which is returned."""
+    last = runs.agg(F.max("run")).first()[0] if runs is not None else None
+    run = int(last or 0) + 1
+    df.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+    return run

@@ -1,0 +1,24 @@
+"""The same masking over a stream of notes: detection needs one note only, so each micro-batch is a whole job."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import filters, mask, spans
+
+
+def mask_stream(notes: DataFrame, patterns, path: str, checkpoint: str, once: bool = True):
+    """Mask a stream of notes(doc_id, text) and append doc_id, text to parquet under path, exactly once per batch number."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        held = spans.with_text(filters.protected(df, patterns), df)
+        mask.mask_tokens(df.select("doc_id", "text"), held).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = notes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def refresh(spark: SparkSession, current: DataFrame, changes: DataFrame) -> DataFrame:
+    """current(doc_id, text) after changes(doc_id, text, status): Add and Update replace a note, Delete drops it, Keep leaves it."""
+    touched = changes.where("status <> 'Keep'").select("doc_id")
+    return current.join(touched, "doc_id", "left_anti").unionByName(changes.where("status in ('Add', 'Update')").select("doc_id", "text"))
