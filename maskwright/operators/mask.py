@@ -13,7 +13,7 @@ def _rewritten(docs: DataFrame, spans: DataFrame, put: Column) -> DataFrame:
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop", put.alias("put")))).alias("_x"))
     rows = docs.join(per_doc, "doc_id", "left").withColumn("_x", F.coalesce("_x", F.expr(f"cast(array() as {_SPAN})")))
     piece = "transform(_x, (s, i) -> concat(substring(text, int(if(i = 0, 0, _x[i - 1].stop)) + 1, int(s.start - if(i = 0, 0, _x[i - 1].stop))), s.put))"
-    return rows.withColumn("text", F.expr(f"concat(array_join({piece}, ''), substring(text, int(coalesce(_x[size(_x) - 1].stop, 0)) + 1, length(text)))")).drop("_x")
+    return rows.withColumn("text", F.expr(f"concat(array_join({piece}, ''), substring(text, int(coalesce(get(_x, size(_x) - 1).stop, 0)) + 1, length(text)))")).drop("_x")
 
 
 def mask_tokens(docs: DataFrame, spans: DataFrame, mark: str = "*****") -> DataFrame:

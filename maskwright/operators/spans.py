@@ -17,7 +17,7 @@ def regex_spans(docs: DataFrame, pattern: str | Column, keep: tuple[str, ...] =
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     pairs = docs.select(*keep, F.arrays_zip(F.transform(F.split("text", p, -1), F.length).alias("gap"), F.regexp_extract_all("text", p, F.lit(0)).alias("m")).alias("x"))
-    rows = pairs.where(F.size("x") > 1).select(*keep, F.posexplode("x").alias("nth", "x")).select(*keep, "nth", F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
+    rows = pairs.where(F.size("x") > 1).select(*keep, F.posexplode("x").alias("nth", "x")).select(*keep, F.col("nth").cast("long").alias("nth"), F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
     stop = F.sum(F.col("gap") + F.coalesce(F.length("token"), F.lit(0))).over(Window.partitionBy(*keep).orderBy("nth"))
     return rows.withColumn("stop", stop).where("token is not null").select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
 

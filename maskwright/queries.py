@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates as D
@@ -96,13 +96,13 @@ def token_offsets(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::BIGINT AS word_count,
-  list_sum(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), w -> len(regexp_extract_all(w, '[A-Za-z0-9]+|[^A-Za-z0-9]'))))::BIGINT AS reference_token_count, strlen(text)::BIGINT AS file_size FROM documents""")
+  list_sum(list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: len(regexp_extract_all(w, '[A-Za-z0-9]+|[^A-Za-z0-9]'))))::BIGINT AS reference_token_count, strlen(text)::BIGINT AS file_size FROM documents""")
 def token_counts(spark, sf_dir):
     pieces = F.aggregate(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(0), lambda a, w: a + F.regexp_count(w, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]")))
     return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long").alias("word_count"), pieces.cast("long").alias("reference_token_count"), F.octet_length("text").cast("long").alias("file_size"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9_'']+'), w -> string_split_regex(w, '[''_]'))), x -> x <> '')) AS word FROM documents)
+@query(r"""WITH c AS (SELECT doc_id, unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9_'']+'), lambda w: string_split_regex(w, '[''_]'))), lambda x: x <> '')) AS word FROM documents)
 SELECT word, count(*) AS n FROM c GROUP BY word HAVING count(*) > 1""")
 def clean_tokens(spark, sf_dir):
     """Words cut at punctuation, with how often they occur."""
@@ -144,7 +144,7 @@ _WORDS = "SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))
 
 def _word_set(spark, sf_dir):
     """A word list of the benchmark's first items: an input of the set filter."""
-    return t(spark, sf_dir, "benchmark").where("item_id < 20").select(F.lower(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)))).alias("word")).distinct()
+    return t(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)), F.lower)).alias("word")).distinct()
 
 
 @query(f"WITH w AS ({_WORDS}) SELECT doc_id, start, stop, token FROM ({TOK}) WHERE lower(token) IN (SELECT word FROM w)")
@@ -237,7 +237,7 @@ def span_intersections(spark, sf_dir):
 
 @query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start = b.start)")
 def span_remove(spark, sf_dir):
-    return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[0-9]")), _num(spark, sf_dir).where("true")).select("doc_id", "start", "stop")
+    return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[0-9]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
 
 
 @query(f"WITH {RESOLVED} SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars FROM inc GROUP BY doc_id")
@@ -383,7 +383,6 @@ def _written_dates(spark, sf_dir):
     return _orders(spark, sf_dir).select("o_orderkey", D.parse(form).alias("p"))
 
 
-_OUT = ("%B %d, %Y", "x")
 _RENDER = "CASE o_orderkey % 8 WHEN 2 THEN strftime(d, '%m/%d/%y') WHEN 4 THEN strftime(d, '%B %Y') WHEN 5 THEN strftime(d, '%B %d') WHEN 6 THEN strftime(d, '%B') WHEN 7 THEN strftime(d, '%Y') ELSE strftime(d, '%m/%d/%Y') END"
 
 
@@ -464,7 +463,7 @@ def error_condensation(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{2,}')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+[A-Za-z]?')})),
-c AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS at FROM (SELECT * FROM g UNION ALL SELECT * FROM p)), q AS (SELECT doc_id, at AS start, lead(at) OVER (PARTITION BY doc_id ORDER BY at) AS stop FROM c),
+c AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS edge FROM (SELECT * FROM g UNION ALL SELECT * FROM p)), q AS (SELECT doc_id, edge AS start, lead(edge) OVER (PARTITION BY doc_id ORDER BY edge) AS stop FROM c),
 r AS (SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND q.start >= g.start AND q.stop <= g.stop) AS in_gold, EXISTS (SELECT 1 FROM p WHERE p.doc_id = q.doc_id AND q.start >= p.start AND q.stop <= p.stop) AS in_pred FROM q WHERE stop IS NOT NULL)
 SELECT doc_id, start, stop, in_gold, in_pred FROM r WHERE in_gold OR in_pred""")
 def subtoken_alignment(spark, sf_dir):
