@@ -19,6 +19,9 @@ WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 ORDER_DIGITS, TIME_BUCKETS = 4, 8192
 
 
+_KEY = F.expr("md5(coalesce(cast(doc_id as string), concat('text:', text), 'null'))")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = EPOCHS) -> DataFrame:
     """sources(source, skey, source_size) with target: `share` of all words dealt by weight, none above `most` times its source.
 
@@ -43,7 +46,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), "text"), F.lit("null"))).alias("key"),
+        _KEY.alias("key"),
     )
 
 
@@ -87,10 +90,14 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words, their source's target, and how often each is taken."""
-    mixed = written(mix(docs).where("taken > 0").select("key", "size", "source_size", "target", "taken").dropDuplicates(["key"]), "mixed")
-    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), "text"), F.lit("null"))))
-    return keyed.join(mixed, "key").drop("key").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
+    """The documents that the mix takes, with their words, their source's target, and how often each is taken.
+
+    Columns of docs that bear the name of one of these are replaced by it.
+    """
+    new = ["size", "source_size", "target", "taken"]
+    mixed = written(mix(docs).where("taken > 0").select(F.col("key").alias("_key"), *new).dropDuplicates(["_key"]), "mixed")
+    own = docs.select([c for c in docs.columns if c not in (*new, "repeats")]).withColumn("_key", _KEY)
+    return own.join(mixed, "_key").drop("_key").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
 
 
 #: The rows of op4_mix_sources.
