@@ -19,7 +19,7 @@ WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 ORDER_DIGITS, TIME_BUCKETS = 4, 8192
 
 
-_KEY = F.expr("md5(coalesce(cast(doc_id as string), concat('text:', text), 'null'))")
+_KEY = "md5(coalesce(cast(doc_id as string), concat('text:', text), 'null'))"
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = EPOCHS) -> DataFrame:
@@ -46,7 +46,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"),
-        _KEY.alias("key"),
+        F.expr(_KEY).alias("key"),
     )
 
 
@@ -96,7 +96,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     new = ["size", "source_size", "target", "taken"]
     mixed = written(mix(docs).where("taken > 0").select(F.col("key").alias("_key"), *new).dropDuplicates(["_key"]), "mixed")
-    own = docs.select([c for c in docs.columns if c not in (*new, "repeats")]).withColumn("_key", _KEY)
+    own = docs.select([c for c in docs.columns if c not in (*new, "repeats")]).withColumn("_key", F.expr(_KEY))
     return own.join(mixed, "_key").drop("_key").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
 
 
