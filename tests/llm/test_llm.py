@@ -144,7 +144,7 @@ def plain_fingerprint(text):
 
 def test_simhash_groups(spark, odd, none):
     base = [f"tok{i}" for i in range(200)]
-    docs = [(i, " ".join(base[:k] + ["Zz"] + base[k:])) for i, k in enumerate(range(0, 200, 5))] + [(100 + i, f"Alone {i} " * 9) for i in range(20)] + [(300, None), (301, "")]
+    docs = [(1000 + i, " ".join(base[:k] + ["Zz"] + base[k:])) for i, k in enumerate(range(0, 200, 5))] + [(100 + i, f"Alone {i} " * 9) for i in range(20)] + [(300, None), (301, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd.where("doc_id is not null").select("doc_id", "text"))
     rows = simhash_dedup.groups(df).collect()
     fp = {}
@@ -199,7 +199,7 @@ def test_license_scan(spark, odd, none):
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     out = license_scan.scan(df, license_scan.known(spark))
     same_rows(out, license_scan.SQL, documents=df)
-    assert {(r["doc_id"], r["license_id"], r["scope"]) for r in out.collect()} == {(20, "MIT", "text"), (22, "MIT", "text"), (5, "MIT", "line")}
+    assert {(r["doc_id"], r["license_id"], r["scope"]) for r in out.collect()} == {(20, "MIT", "text"), (22, "MIT", "text"), (22, "MIT", "line"), (5, "MIT", "line")}
     assert license_scan.scan(none, license_scan.known(spark)).count() == 0
 
 
