@@ -41,7 +41,7 @@ def test_golden(spark, text, patterns, expected):
 def test_dynamic_and_context(spark):
     probes = spark.createDataFrame([(1, "Smith"), (2, "Jones")], "doc_id long, value string")
     assert masked(spark, "Dr Smith saw Jones", [KEEP, Pattern("p", "dynamic_set", True, "NAME")], probes) == "Dr ***** saw Jones"
-    left = [Pattern("n", "regex", False, regex=r"[a-z]+"), Pattern("c", "regex_context", False, regex=r" [A-Z]\w+", context="left")]
+    left = [Pattern("n", "regex", False, regex=r"\b[a-z]+\b"), Pattern("c", "regex_context", False, regex=r" [A-Z]\w+", context="left")]
     assert masked(spark, "Ann Bell and Cole", left) == "***** Bell and Cole".replace("Cole", "*****")
 
 
