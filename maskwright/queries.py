@@ -51,7 +51,9 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", "text")
+    """The notes, dealt once by doc_id: every window, group and join per document that follows stays in place."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return t(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
 
 
 def _sp(pattern: str, table: str = "documents", key: str = "doc_id") -> str:
