@@ -1 +1,11 @@
 """maskwright: de-identification of free text as Spark plans."""
+
+
+def configure(spark):
+    """Settings that results depend on; call it once per session before using the operators.
+
+    Spark 4.1 takes a union of parts dealt by one key to be dealt by it too, and then leaves rows
+    of a self-join unmatched; so unions must not pass a partitioning on.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark

@@ -10,8 +10,9 @@ from . import spans as S
 
 def confusion(all_tokens: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     """doc_id, start, label (TP, FP, FN or TN) of each token by the starts that gold and pred hold."""
-    g, p = gold.select("doc_id", "start", F.lit(True).alias("g")).distinct(), pred.select("doc_id", "start", F.lit(True).alias("p")).distinct()
-    rows = all_tokens.select("doc_id", "start").distinct().join(g, ["doc_id", "start"], "full_outer").join(p, ["doc_id", "start"], "full_outer")
+    one, none = F.lit(True), F.lit(None).cast("boolean")
+    sides = all_tokens.select("doc_id", "start", none.alias("g"), none.alias("p")).union(gold.select("doc_id", "start", one, none)).union(pred.select("doc_id", "start", none, one))
+    rows = sides.groupBy("doc_id", "start").agg(F.max("g").alias("g"), F.max("p").alias("p"))
     label = F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), "TP").when(F.col("p").isNotNull(), "FP").when(F.col("g").isNotNull(), "FN").otherwise("TN")
     return rows.select("doc_id", "start", label.alias("label"))
 
@@ -35,23 +36,22 @@ def compare_masks(masked: DataFrame, gold: DataFrame, mark: str = "*") -> DataFr
 
 def align(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """doc_id, start, stop, in_gold, in_pred: both sets of spans cut at each other's bounds where they are in either."""
-    edges = lambda x, c: x.select("doc_id", F.explode(F.array("start", "stop")).alias("at")).distinct()
-    cuts = edges(gold, 0).union(edges(pred, 0)).distinct()
-    parts = cuts.withColumn("stop", F.lead("at").over(Window.partitionBy("doc_id").orderBy("at"))).where("stop is not null").withColumnRenamed("at", "start")
-
-    def inside(spans: DataFrame, name: str) -> DataFrame:
-        s = spans.select("doc_id", F.col("start").alias("s"), F.col("stop").alias("e"))
-        return parts.join(s, (parts["doc_id"] == s["doc_id"]) & (parts["start"] >= s["s"]) & (parts["stop"] <= s["e"]), "left_semi").select("doc_id", "start", "stop", F.lit(True).alias(name))
-
-    both = inside(gold, "in_gold").join(inside(pred, "in_pred"), ["doc_id", "start", "stop"], "full_outer")
-    return both.select("doc_id", "start", "stop", F.coalesce("in_gold", F.lit(False)).alias("in_gold"), F.coalesce("in_pred", F.lit(False)).alias("in_pred"))
+    none = F.lit(None).cast("long")
+    edges = lambda x, g, p: x.select("doc_id", F.col("start").alias("at"), g.alias("g"), p.alias("p")).union(x.select("doc_id", "stop", none, none))
+    cuts = edges(gold, F.col("stop"), none).union(edges(pred, none, F.col("stop"))).groupBy("doc_id", "at").agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    order = Window.partitionBy("doc_id").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    # a part lies in a span if the farthest stop of what starts by then reaches the part's stop
+    parts = cuts.select("doc_id", F.col("at").alias("start"), F.lead("at").over(order).alias("stop"), F.max("g").over(so_far).alias("g"), F.max("p").over(so_far).alias("p"))
+    rows = parts.select("doc_id", "start", "stop", F.coalesce(F.expr("g >= stop"), F.lit(False)).alias("in_gold"), F.coalesce(F.expr("p >= stop"), F.lit(False)).alias("in_pred"))
+    return rows.where("stop is not null and (in_gold or in_pred)")
 
 
 def provenance(errors: DataFrame, hits: DataFrame) -> DataFrame:
     """errors(doc_id, start, stop) with the titles of the filters (doc_id, start, stop, title) that overlap each, comma-joined in order."""
-    e, h = errors.alias("e"), hits.alias("h")
-    on = (F.col("e.doc_id") == F.col("h.doc_id")) & (F.col("h.start") < F.col("e.stop")) & (F.col("h.stop") > F.col("e.start"))
-    return e.join(h, on, "left").groupBy("e.doc_id", "e.start", "e.stop").agg(F.array_join(F.sort_array(F.collect_set("h.title")), ",").alias("titles"))
+    e, h = S.binned(errors.select("doc_id", "start", "stop")).alias("e"), S.binned(hits.select("doc_id", "start", "stop", "title")).alias("h")
+    rows = e.join(h, S.overlapping("e", "h"), "left")
+    return rows.groupBy("e.doc_id", "e.start", "e.stop").agg(F.array_join(F.sort_array(F.collect_set("h.title")), ",").alias("titles"))
 
 
 def word_context(tokens: DataFrame, width: int = 10) -> DataFrame:

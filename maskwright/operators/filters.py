@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.patterns import Pattern, jvm_regex
@@ -141,7 +141,10 @@ def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None =
 def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None) -> DataFrame:
     """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type."""
     includes, excludes = resolve(docs, patterns, probes)
-    left = S.complement(docs, includes).alias("a")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") < F.col("a.stop")) & (F.col("b.stop") > F.col("a.start"))
-    typed = left.join(excludes.alias("b"), on, "left").groupBy("a.doc_id", "a.start", "a.stop").agg(F.min("b.phi_type").alias("phi_type"))
-    return typed.select("doc_id", "start", "stop", F.coalesce("phi_type", F.lit("OTHER")).alias("phi_type"))
+    left = S.complement(docs, includes).select("doc_id", "start", "stop", F.col("stop").alias("_at"), F.lit(0).alias("_kind"))
+    marks = excludes.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("stop").alias("_stop"), "phi_type")
+    w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    # of each type, the farthest stop of what starts before the span stops
+    reach = {t: F.max(F.when(F.col("phi_type") == t, F.col("_stop"))).over(w) for t in sorted({p.phi_type for p in patterns if p.exclude})}
+    kind = F.coalesce(*[F.when(r > F.col("start"), t) for t, r in reach.items()], F.lit("OTHER"))
+    return left.unionByName(marks, allowMissingColumns=True).withColumn("_type", kind).where("_kind = 0").select("doc_id", "start", "stop", F.col("_type").alias("phi_type"))

@@ -36,15 +36,17 @@ def merge(spans: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return rows.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def touches(a: DataFrame, b: DataFrame) -> Column:
-    return (a["doc_id"] == b["doc_id"]) & (a["start"] <= b["stop"]) & (a["stop"] >= b["start"])
-
-
 def apart_from(spans: DataFrame, others: DataFrame) -> DataFrame:
-    """Those of spans that touch none of others."""
-    a, b = spans.alias("a"), others.select("doc_id", "start", "stop").alias("b")
-    hit = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.start") <= F.col("b.stop")) & (F.col("a.stop") >= F.col("b.start"))
-    return a.join(b, hit, "left_anti")
+    """Those of spans that touch none of others.
+
+    A sweep instead of a join, so a long document costs n log n: of all others that start no
+    later than a span stops, the farthest stop must lie before the span's start.
+    """
+    a = spans.withColumns({"_at": F.col("stop"), "_kind": F.lit(1), "_stop": F.lit(None).cast("long")})
+    b = others.select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("stop").alias("_stop"))
+    w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_stop").over(w))
+    return rows.where("_kind = 1 and (_reach is null or _reach < start)").select(*spans.columns)
 
 
 def removed(spans: DataFrame, others: DataFrame) -> DataFrame:
@@ -52,21 +54,39 @@ def removed(spans: DataFrame, others: DataFrame) -> DataFrame:
     return spans.join(others.select("doc_id", "start"), ["doc_id", "start"], "left_anti")
 
 
+def binned(spans: DataFrame, width: int = 256) -> DataFrame:
+    """spans once per bin of the text, of width code points, that they reach into: with doc_id the key of a join of overlapping spans."""
+    bins = F.sequence(F.expr(f"start div {width}"), F.expr(f"greatest(stop - 1, start) div {width}"))
+    return spans.withColumn("bin", F.explode(bins))
+
+
+def overlapping(a: str, b: str, width: int = 256) -> Column:
+    """That binned spans under the aliases a and b overlap, true in the one bin where the later of both starts."""
+    same = (F.col(f"{a}.doc_id") == F.col(f"{b}.doc_id")) & (F.col(f"{a}.bin") == F.col(f"{b}.bin"))
+    first = F.expr(f"{a}.bin = greatest({a}.start, {b}.start) div {width}")
+    return same & first & (F.col(f"{a}.start") < F.col(f"{b}.stop")) & (F.col(f"{a}.stop") > F.col(f"{b}.start"))
+
+
 def intersections(a: DataFrame, b: DataFrame) -> DataFrame:
     """doc_id, start, stop of what spans of a and b have in common."""
-    x, y = a.alias("x"), b.alias("y")
-    on = (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.start") < F.col("y.stop")) & (F.col("x.stop") > F.col("y.start"))
-    return x.join(y, on).select(F.col("x.doc_id").alias("doc_id"), F.greatest("x.start", "y.start").alias("start"), F.least("x.stop", "y.stop").alias("stop")).distinct()
+    rows = [binned(x.select("doc_id", "start", "stop")).alias(n) for x, n in ((a, "x"), (b, "y"))]
+    both = rows[0].join(rows[1], overlapping("x", "y"))
+    return both.select(F.col("x.doc_id").alias("doc_id"), F.greatest("x.start", "y.start").alias("start"), F.least("x.stop", "y.stop").alias("stop")).distinct()
 
 
 def subtract(runs: DataFrame, islands: DataFrame) -> DataFrame:
-    """doc_id, start, stop: what islands (disjoint) leave of runs."""
-    a, b = runs.select("doc_id", "start", "stop").alias("a"), islands.select("doc_id", "start", "stop").alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") < F.col("a.stop")) & (F.col("b.stop") > F.col("a.start"))
-    cut = a.join(b, on, "left").groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.start").alias("_s"), F.col("a.stop").alias("_e"))
-    cut = cut.agg(F.array_sort(F.collect_list(F.when(F.col("b.start").isNotNull(), F.struct(F.col("b.start").alias("s"), F.col("b.stop").alias("e"))))).alias("x"))
-    pieces = F.arrays_zip(F.concat(F.array("_s"), F.col("x.e")).alias("start"), F.concat(F.col("x.s"), F.array("_e")).alias("stop"))
-    return cut.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.start", "p.stop").where("start < stop")
+    """doc_id, start, stop: what islands (disjoint) leave of runs (disjoint); a sweep over the bounds of both, without a join."""
+
+    def bounds(spans: DataFrame, run: int, island: int) -> DataFrame:
+        both = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("by")))
+        return spans.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.at", (F.col("x.by") * run).alias("run"), (F.col("x.by") * island).alias("island"))
+
+    order = Window.partitionBy("doc_id").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = bounds(runs, 1, 0).union(bounds(islands, 0, 1))
+    # of bounds at one place, only the last has a next bound beyond, and its sums hold them all
+    rows = rows.select("doc_id", F.col("at").alias("start"), F.lead("at").over(order).alias("stop"), F.sum("run").over(so_far).alias("run"), F.sum("island").over(so_far).alias("island"))
+    return rows.where("start < stop and run > 0 and island = 0").select("doc_id", "start", "stop")
 
 
 def complement(docs: DataFrame, includes: DataFrame) -> DataFrame:
