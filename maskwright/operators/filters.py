@@ -103,7 +103,13 @@ def candidates(docs: DataFrame, p: Pattern, probes: DataFrame | None = None, pro
     return S.regex_spans(inner, S.TOKEN, ("doc_id", "from", "text")).select("doc_id", (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("stop")).alias("stop"))
 
 
-def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
+def _islands(p: Pattern, found: DataFrame) -> DataFrame:
+    """What pattern p finds, touching spans joined; whole tokens and whole texts never touch."""
+    apart = p.regex == "." if p.type == "regex" else p.type in ("set", "dynamic_set", "pos_matcher", "stanford_ner", "match_all")
+    return found if apart else S.merge(found)
+
+
+def _accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
     """(includes, excludes) after priority: doc_id, start, stop and, for excludes, phi_type.
 
     Patterns of one polarity that follow each other can't block one another, so each such run
@@ -124,7 +130,7 @@ def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None =
         protected = S.complement(docs, includes) if "context" in run[0].type else None
         if protected is not None and run[0].context_filter != "all":
             protected = S.merge(candidates(docs, next(q for q in patterns if q.title == run[0].context_filter), probes))
-        each = [S.merge(candidates(docs, p, probes, protected, tag)).withColumn("phi_type", F.lit(p.phi_type)) for p in run]
+        each = [_islands(p, candidates(docs, p, probes, protected, tag)).withColumn("phi_type", F.lit(p.phi_type)) for p in run]
         found = reduce(DataFrame.unionByName, each)
         if run[0].exclude:
             if override:
@@ -135,12 +141,18 @@ def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None =
         else:
             found = found if override else S.apart_from(found, excludes)
             includes = includes.unionByName(found.select("doc_id", "start", "stop"))
+    return includes, excludes
+
+
+def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
+    """(includes, excludes) after priority, merged: doc_id, start, stop and, for excludes, phi_type."""
+    includes, excludes = _accepted(docs, patterns, probes, tag)
     return S.merge(includes), S.merge(excludes, ("doc_id", "phi_type"))
 
 
 def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None) -> DataFrame:
     """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type."""
-    includes, excludes = resolve(docs, patterns, probes)
+    includes, excludes = _accepted(docs, patterns, probes)
     left = S.complement(docs, includes).select("doc_id", "start", "stop", F.col("stop").alias("_at"), F.lit(0).alias("_kind"))
     marks = excludes.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("stop").alias("_stop"), "phi_type")
     w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)

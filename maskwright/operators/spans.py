@@ -16,10 +16,12 @@ def regex_spans(docs: DataFrame, pattern: str | Column, keep: tuple[str, ...] =
     Null texts have none.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = docs.select(*keep, F.arrays_zip(F.transform(F.split("text", p, -1), F.length).alias("gap"), F.regexp_extract_all("text", p, F.lit(0)).alias("m")).alias("x"))
-    rows = pairs.where(F.size("x") > 1).select(*keep, F.posexplode("x").alias("nth", "x")).select(*keep, F.col("nth").cast("long").alias("nth"), F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
-    stop = F.sum(F.col("gap") + F.coalesce(F.length("token"), F.lit(0))).over(Window.partitionBy(*keep).orderBy("nth"))
-    return rows.withColumn("stop", stop).where("token is not null").select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
+    found = F.regexp_extract_all("text", p, F.lit(0))
+    pairs = docs.select(*keep, F.when(F.size(found) > 0, F.arrays_zip(F.transform(F.split("text", p, -1), F.length).alias("gap"), found.alias("m"))).alias("x"))
+    # an inner explode infers a filter on x, which Catalyst pushes down as a second search of every text
+    rows = pairs.select(*keep, F.posexplode_outer("x").alias("nth", "x")).where("x.m is not null").select(*keep, F.col("nth").cast("long").alias("nth"), F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
+    stop = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy(*keep).orderBy("nth"))
+    return rows.withColumn("stop", stop).select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def intersections(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def subtract(runs: DataFrame, islands: DataFrame) -> DataFrame:
-    """doc_id, start, stop: what islands (disjoint) leave of runs (disjoint); a sweep over the bounds of both, without a join."""
+    """doc_id, start, stop: what islands leave of runs (disjoint); a sweep over the bounds of both, without a join."""
 
     def bounds(spans: DataFrame, run: int, island: int) -> DataFrame:
         both = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("by")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("by")))
@@ -91,7 +93,7 @@ def subtract(runs: DataFrame, islands: DataFrame) -> DataFrame:
 
 def complement(docs: DataFrame, includes: DataFrame) -> DataFrame:
     """What protected text remains: runs of letters, digits and * that no included span covers."""
-    return subtract(regex_spans(docs, MASKABLE), merge(includes))
+    return subtract(regex_spans(docs, MASKABLE), includes)
 
 
 def with_text(spans: DataFrame, docs: DataFrame, name: str = "token") -> DataFrame:
