@@ -33,8 +33,17 @@ def parse(text: Column) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def render(p: Column) -> Column:
     """A partial date by the parts it has."""
+    return let(p, _rendered)
+
+
+def _rendered(p: Column) -> Column:
     y, m, d, c = (p[f"missing_{x}"] for x in ("year", "month", "day", "century"))
     f = lambda fmt: F.date_format(p["d"], fmt)
     return (
@@ -49,6 +58,46 @@ def same(a: Column, b: Column) -> Column:
     return (lacks("year") | year) & (lacks("month") | (F.month(a["d"]) == F.month(b["d"]))) & (lacks("day") | (F.day(a["d"]) == F.day(b["d"])))
 
 
+def complete(p: Column) -> Column:
+    """Whether a partial date lacks none of year, month, day and century."""
+    return ~(p["missing_year"] | p["missing_month"] | p["missing_day"] | p["missing_century"])
+
+
+def add_days(p: Column, days: Column) -> Column:
+    """A partial date moved by days, lacking the same parts; null if days is."""
+    return F.when(days.isNotNull(), F.struct(F.date_add(p["d"], days).alias("d"), p["raw"].alias("raw"), *[p[f"missing_{x}"].alias(f"missing_{x}") for x in ("year", "month", "day", "century")]))
+
+
+def shift_partial(p: Column, offset: Column, born: Column | None = None, ref: Column | None = None) -> Column:
+    """A partial date less offset days; the birth date (with a year) as the shifted birth date whose age on ref is at most 90.
+
+    Null if the date is, or if the offset is zero, null or no integer.
+    """
+    days = -F.nullif(offset.try_cast("int"), F.lit(0))
+    if born is None or ref is None:
+        return let(p, lambda q: add_days(q, days))
+    return let(p, lambda q: _shifted(q, days, born, ref))
+
+
+def _shifted(p: Column, days: Column, born: Column, ref: Column) -> Column:
+    whole = F.struct(born.alias("d"), *[F.lit(False).alias(f"missing_{x}") for x in ("year", "month", "day", "century")])
+    own = F.coalesce(~p["missing_year"] & born.isNotNull() & same(p, whole), F.lit(False))
+    return F.when(own, add_days(p, F.date_diff(capped_birth(F.date_add(born, days), ref), p["d"]))).otherwise(add_days(p, days))
+
+
+def shift_range(text: Column, offset: Column) -> Column:
+    """Both dates of a range `a-b` shifted, each with the mark of shifted dates; null unless both are dates after 1900."""
+    sides = F.split(text, r"\s*[-\u2013]\s*", 2)
+    done = [shift_marked(F.get(sides, F.lit(i)), offset) for i in (0, 1)]
+    return F.when(F.size(sides) == 2, F.concat(done[0], F.lit("-"), done[1]))
+
+
+def shift_marked(text: Column, offset: Column) -> Column:
+    """A written date plus offset days by the parts it has, and the mark of shifted dates; null if it is none, lacks its year or lies before 1901."""
+    marked = lambda p: F.when(~p["missing_year"] & (F.year(p["d"]) > 1900), F.concat(_rendered(add_days(p, offset.cast("int"))), F.lit(" [SHIFTED DATE]")))
+    return let(parse(text), marked)
+
+
 def shift(d: Column, offset: Column) -> Column:
     """d less offset days; null if the offset is zero, null or no integer."""
     days = F.nullif(offset.try_cast("int"), F.lit(0))
@@ -56,9 +105,9 @@ def shift(d: Column, offset: Column) -> Column:
 
 
 def age_on(born: Column, day: Column) -> Column:
-    """Whole years from birth to day."""
-    before = (F.month(day) < F.month(born)) | ((F.month(day) == F.month(born)) & (F.day(day) < F.day(born)))
-    return F.year(day) - F.year(born) - F.when(before, 1).otherwise(0)
+    """Whole years from birth to day; who was born on 29 February has their birthday on the 28th in common years."""
+    years = F.year(day) - F.year(born)
+    return years - F.when(day < F.add_months(born, years * 12), 1).otherwise(0)
 
 
 def capped_birth(born: Column, day: Column, most: int = 90) -> Column:

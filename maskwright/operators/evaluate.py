@@ -58,3 +58,100 @@ def word_context(tokens: DataFrame, width: int = 10) -> DataFrame:
     """tokens(doc_id, nth, token) with the words from `width` before to `width` - 1 after, joined by spaces."""
     w = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(-width, width - 1)
     return tokens.withColumn("context", F.array_join(F.collect_list("token").over(w), " "))
+
+
+def graded_masks(notes: DataFrame, annotated: DataFrame) -> DataFrame:
+    """doc_id, nth, start, label, word of two maskings of one text (doc_id, text), token by token.
+
+    Equal tokens are TP if they hold a star, else TN; a token whose gold is all stars is
+    FN, one whose gold has none FP. Where gold masks a part of a token, each run of characters
+    that it masks and the note keeps is FN, each run of the reverse FP.
+    """
+    sides = [S.regex_spans(d, r"[^\x20\x09-\x0D]+").select("doc_id", "nth", "start", F.col("token").alias(n)) for d, n in ((notes, "n"), (annotated, "a"))]
+    rows = sides[0].join(sides[1].drop("start"), ["doc_id", "nth"]).where(F.col("n").rlike("[A-Za-z0-9*]"))
+    chars = F.arrays_zip(F.split("n", "").alias("n"), F.split("a", "").alias("a"))
+
+    def runs(kept: str, hidden: str, label: str):
+        lone = F.transform(F.filter(chars, lambda c: c["n"].isNotNull() & c["a"].isNotNull()), lambda c: F.when(c["n"] == c["a"], "\x01").when((c[hidden] == "*") & (c[kept] != "*"), c[kept]).otherwise(""))
+        return F.transform(F.filter(F.split(F.array_join(lone, ""), "\x01"), lambda w: w != ""), lambda w: F.struct(F.lit(label).alias("label"), w.alias("word")))
+
+    one = lambda label, word: F.array(F.struct(F.lit(label).alias("label"), F.col(word).alias("word")))
+    starred = F.contains("a", F.lit("*"))
+    found = (
+        F.when(starred & (F.col("n") == F.col("a")), one("TP", "n")).when(starred & F.col("a").rlike("[A-Za-z0-9]"), F.concat(runs("n", "a", "FN"), runs("a", "n", "FP")))
+        .when(starred, one("FN", "n")).when(F.col("n") == F.col("a"), one("TN", "n")).otherwise(one("FP", "a"))
+    )
+    return rows.select("doc_id", "nth", "start", F.explode(found).alias("x")).select("doc_id", "nth", "start", "x.label", "x.word")
+
+
+#: Tags of the public i2b2 corpus, with category and whether they count for patients and for providers.
+TAGS = (
+    ("DOCTOR", "Name", False, True), ("PATIENT", "Name", True, False), ("DATE", "Date", True, True), ("MEDICALRECORD", "ID", True, False), ("IDNUM", "ID", True, False), ("DEVICE", "ID", True, False),
+    ("USERNAME", "Contact", True, True), ("PHONE", "Contact", True, True), ("EMAIL", "Contact", True, True), ("FAX", "Contact", True, True), ("CITY", "Location", True, True), ("STATE", "Location", True, True),
+    ("ZIP", "Location", True, True), ("STREET", "Location", True, True), ("LOCATION-OTHER", "Location", True, True), ("HOSPITAL", "Location", True, True), ("AGE", "Age", True, False),
+)
+
+
+def tag_table(spark) -> DataFrame:
+    """tag, category, patient, provider of TAGS. Other corpora bring their own table; a tag counts if it is in the table."""
+    return spark.createDataFrame(list(TAGS), "tag string, category string, patient boolean, provider boolean")
+
+
+def corrected(labels: DataFrame, tags: DataFrame) -> DataFrame:
+    """labels(label, tag, token, ...) with category and the label corrected for tags that count.
+
+    A TP of a tag that doesn't count becomes FP, a FN of such a tag TN; so does the FN of an age
+    that is a number under 90 or other words without `ninety`.
+    """
+    rows = labels.join(tags.select("tag", "category", F.lit(True).alias("_in")), "tag", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    old = F.when(F.col("token").rlike("^[0-9]+$"), F.col("token").cast("decimal(38,0)") >= 90).otherwise(F.contains("token", F.lit("ninety")))
+    missed = F.col("_in") & ((F.coalesce("category", F.lit("")) != "Age") | F.coalesce(old, F.lit(False)))
+    label = F.when((F.col("label") == "TP") & ~F.col("_in"), "FP").when((F.col("label") == "FN") & ~missed, "TN").otherwise(F.col("label"))
+    return rows.withColumn("label", label).drop("_in")
+
+
+def tag_recall(labels: DataFrame, tags: DataFrame) -> DataFrame:
+    """category, tag, tp, fn, recall of labels(label, tag): per tag, per category (tag null) and in all (both null); one aggregation over all three."""
+    rows = labels.where("label in ('TP', 'FN')").join(tags.select("tag", "category"), "tag", "left").withColumn("category", F.coalesce("category", F.lit("Other")))
+    got = rows.rollup("category", "tag").agg(F.count_if(F.col("label") == "TP").alias("tp"), F.count_if(F.col("label") == "FN").alias("fn"))
+    return got.withColumn("recall", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6))
+
+
+def group_recall(labels: DataFrame, tags: DataFrame) -> DataFrame:
+    """of (patient or provider), tp, fn, recall over the tags that count for each; 0 over nothing."""
+    kinds = tags.select("tag", F.explode(F.filter(F.array(F.when(F.col("patient"), "patient"), F.when(F.col("provider"), "provider")), lambda x: x.isNotNull())).alias("of"))
+    rows = labels.where("label in ('TP', 'FN')").join(kinds, "tag").groupBy("of").agg(F.count_if(F.col("label") == "TP").alias("tp"), F.count_if(F.col("label") == "FN").alias("fn"))
+    return rows.withColumn("recall", F.round(F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0)), 6))
+
+
+def token_types(tokens: DataFrame, typed: DataFrame) -> DataFrame:
+    """tokens(doc_id, start, stop) that typed spans (doc_id, start, stop, phi_type) overlap, with their types, comma-joined in order."""
+    a, b = S.binned(tokens.select("doc_id", "start", "stop")).alias("a"), S.binned(typed.select("doc_id", "start", "stop", "phi_type")).alias("b")
+    rows = a.join(b, S.overlapping("a", "b")).groupBy("a.doc_id", "a.start", "a.stop")
+    return rows.agg(F.array_join(F.sort_array(F.collect_set("b.phi_type")), ",").alias("types"))
+
+
+def probe_report(docs: DataFrame, tokens: DataFrame, typed: DataFrame) -> DataFrame:
+    """doc_id, start, stop, types, probe, context of the tokens that only the known identifiers of their note protect."""
+    rows = token_types(tokens, typed).where("types in ('PROBEDYNAMICSET', 'PROBEREGEX')")
+    return S.with_context(S.with_text(rows, docs, "probe"), docs)
+
+
+def absent_words(docs: DataFrame, annotated: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, nth, token, context of the words of docs that occur nowhere in the same document of annotated: what was masked there."""
+    toks = _words(docs)
+    seen = _words(annotated).select("doc_id", "token").distinct()
+    return word_context(toks, width).join(seen, ["doc_id", "token"], "left_anti").select("doc_id", "nth", "token", "context")
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    return S.tokens(docs).select("doc_id", "nth", "token")
+
+
+def not_annotated(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """Those of found (doc_id, start, stop) that lie within no gold span, by a sweep: of what starts no later, the farthest stop is short of theirs."""
+    a = found.withColumns({"_at": F.col("start"), "_kind": F.lit(1), "_stop": F.lit(None).cast("long")})
+    b = gold.select("doc_id", F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("stop").alias("_stop"))
+    w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_stop").over(w))
+    return rows.where("_kind = 1 and (_reach is null or _reach < stop)").select(*found.columns)

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.patterns import Pattern, jvm_regex
+from . import probes as P
 from . import spans as S
 
-#: A pattern that matches nothing, for notes without probes.
-NEVER = r"(?!)"
-
 
 def heuristic_pos(token):
     """A stand-in part-of-speech tag of a token column: CD, NNP, NNS, VBG, VBD, RB or NN."""
@@ -32,18 +30,21 @@ def set_spans(docs: DataFrame, words: DataFrame, pos: tuple[str, ...] = (), tagg
 
 
 def dynamic_set_spans(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Tokens that are one of their own note's probes(doc_id, value): an equi-join, no set per note."""
-    words = probes.select("doc_id", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z0-9]+"), F.lit(0))).alias("form")).where(F.length("form") > 1).distinct()
-    return S.tokens(docs).withColumn("form", F.lower("token")).join(words, ["doc_id", "form"], "left_semi").select("doc_id", "start", "stop", "token")
+    """Tokens that are one of their own note's probes(doc_id, kind, value), all names where there is no kind: an equi-join, no set per note."""
+    return P.word_spans(docs, _kinds(probes))
+
+
+def dynamic_regex_spans(docs: DataFrame, probes: DataFrame, template: str = P.ANYWHERE, short: bool = False) -> DataFrame:
+    """Matches of a template in which %s is any regex of the note's probes; with short, any of its words that are too short to stand alone.
+
+    Without a column kind, the values are workplaces: their parts with gaps between them.
+    """
+    kinds = _kinds(probes, "name" if short else "workplace")
+    return P.template_spans(docs, P.short_words(kinds) if short else P.regexes(kinds), template)
 
 
-def dynamic_regex_spans(docs: DataFrame, probes: DataFrame, template: str = "%s") -> DataFrame:
-    """Matches of a template in which %s is any of the note's probes, with up to three other characters between their parts."""
-    parts = F.array_join(F.regexp_extract_all("value", F.lit("[A-Za-z0-9]+"), F.lit(0)), r"[^0-9A-Za-z]{1,3}")
-    per_note = probes.where("value rlike '[A-Za-z0-9]'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set(parts)), "|").alias("alternatives"))
-    head, _, tail = template.partition("%s")
-    found = docs.select("doc_id", "text").join(per_note, "doc_id").withColumn("pattern", F.concat(F.lit(f"(?i){head}(?:"), "alternatives", F.lit(f"){tail}")))
-    return S.regex_spans(found, F.col("pattern")).select("doc_id", "start", "stop", "token")
+def _kinds(probes: DataFrame, kind: str = "name") -> DataFrame:
+    return probes if "kind" in probes.columns else probes.withColumn("kind", F.lit(kind))
 
 
 def beside(matches: DataFrame, protected: DataFrame, context: str) -> DataFrame:
@@ -97,7 +98,12 @@ def candidates(docs: DataFrame, p: Pattern, probes: DataFrame | None = None, pro
         return pick(dynamic_regex_spans(docs, probes, p.regex)) if probes is not None else none
     if p.type == "regex":
         return pick(S.tokens(docs) if p.regex == "." else S.regex_spans(docs, jvm_regex(p.regex)))
-    found = dynamic_regex_spans(docs, probes, p.regex) if p.type == "dynamic_regex_context" and probes is not None else S.regex_spans(docs, jvm_regex(p.regex)).select("doc_id", "start", "stop", "token")
+    if p.type == "dynamic_regex_context":
+        if probes is None:
+            return none
+        found = dynamic_regex_spans(docs, probes, p.regex, short=True)
+    else:
+        found = S.regex_spans(docs, jvm_regex(p.regex)).select("doc_id", "start", "stop", "token")
     near = beside(found, protected, p.context)
     inner = near.withColumnRenamed("token", "text").withColumnRenamed("start", "from").drop("stop")
     return S.regex_spans(inner, S.TOKEN, ("doc_id", "from", "text")).select("doc_id", (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("stop")).alias("stop"))
@@ -129,7 +135,7 @@ def _accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None
         override = "context" in run[0].type or "dynamic" in run[0].type
         protected = S.complement(docs, includes) if "context" in run[0].type else None
         if protected is not None and run[0].context_filter != "all":
-            protected = S.merge(candidates(docs, next(q for q in patterns if q.title == run[0].context_filter), probes))
+            protected = S.merge(candidates(docs, next(q for q in patterns if q.title == run[0].context_filter), probes, tag=tag))
         each = [_islands(p, candidates(docs, p, probes, protected, tag)).withColumn("phi_type", F.lit(p.phi_type)) for p in run]
         found = reduce(DataFrame.unionByName, each)
         if run[0].exclude:
@@ -150,9 +156,9 @@ def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None =
     return S.merge(includes), S.merge(excludes, ("doc_id", "phi_type"))
 
 
-def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None) -> DataFrame:
+def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> DataFrame:
     """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type."""
-    includes, excludes = _accepted(docs, patterns, probes)
+    includes, excludes = _accepted(docs, patterns, probes, tag)
     left = S.complement(docs, includes).select("doc_id", "start", "stop", F.col("stop").alias("_at"), F.lit(0).alias("_kind"))
     marks = excludes.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("stop").alias("_stop"), "phi_type")
     w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)

@@ -98,3 +98,9 @@ def complement(docs: DataFrame, includes: DataFrame) -> DataFrame:
 
 def with_text(spans: DataFrame, docs: DataFrame, name: str = "token") -> DataFrame:
     return spans.join(docs.select("doc_id", "text"), "doc_id").withColumn(name, F.expr("substring(text, int(start) + 1, int(stop - start))")).drop("text")
+
+
+def with_context(spans: DataFrame, docs: DataFrame, width: int = 10) -> DataFrame:
+    """spans with the text around each, width code points on either side, line ends and tabs as spaces."""
+    cut = F.expr(f"substring(text, int(greatest(start - {width}, 0)) + 1, int(least(stop + {width}, length(text)) - greatest(start - {width}, 0)))")
+    return spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("context", F.translate(cut, "\n\t", "  ")).drop("text")

@@ -73,6 +73,8 @@ def load(config: str, read=None) -> list[Pattern]:
         seen.add(x["title"])
         text = read(x["filepath"]) if "filepath" in x and read else None
         regex = x.get("regex") or (regex_line(text) if text is not None and "regex" in x["type"] else None)
+        if regex and "dynamic" in x["type"]:
+            regex = re.sub(r'"""\s*\+\s*probe\s*\+\s*r"""', "%s", regex).replace("(?i)", "")
         words = x.get("words") or (json.loads(text) if text is not None and x["type"] == "set" else ())
         out.append(Pattern(x["title"], x["type"], x["exclude"], x.get("phi_type", "OTHER"), regex, tuple(words), tuple(x.get("pos", ())), x.get("context"), x.get("context_filter", "all"), x.get("notes", "")))
     for p in out:

@@ -73,3 +73,48 @@ def append_run(df: DataFrame, path: str, runs: DataFrame | None = None) -> int:
     run = int(last or 0) + 1
     df.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
     return run
+
+
+def known_phi_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (note key), phi_type, value of a tab-separated file of patient_ID, phi_type, clean_value, note_key."""
+    df = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
+    return df.select(F.regexp_replace("note_key", "^0+", "").alias("doc_id"), "phi_type", F.col("clean_value").alias("value")).where("value is not null")
+
+
+def note_offsets_csv(spark: SparkSession, notes: str, patients: str) -> DataFrame:
+    """note_key, date_offset of two files: notes by patient, and patients by offset; null where a patient has none."""
+    info, pats = (spark.read.csv(p, header=True, inferSchema=False) for p in (notes, patients))
+    offset = pats.groupBy("patient_ID").agg(F.max("date_offset").alias("date_offset"))
+    return info.join(offset, "patient_ID", "left").select("note_key", F.col("date_offset").try_cast("int").alias("date_offset"))
+
+
+def write_note_files(notes: DataFrame, path: str, sharded: bool = True) -> None:
+    """notes(doc_id, text) as text files, each in its own directory `note=...`, below the four shards of the key unless sharded is false.
+
+    One small file per note is for exchange; write_notes is the form for large corpora.
+    """
+    parts = F.split(shard(F.col("doc_id").cast("string")), "/")
+    rows = notes.where("text is not null").select("text", F.col("doc_id").cast("string").alias("note"), *[parts[i].alias(f"p{i}") for i in range(4)])
+    rows.select("text", *([f"p{i}" for i in range(4)] if sharded else []), "note").write.partitionBy(*([f"p{i}" for i in range(4)] if sharded else []), "note").mode("overwrite").text(path)
+
+
+def write_logs(logs: dict[str, DataFrame], path: str) -> None:
+    """Each log as tab-separated files below path."""
+    for name, df in logs.items():
+        flat = df.select(*[F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, T.StructType) else F.col(c) for c in df.columns])
+        write_log(flat, f"{path}/{name}")
+
+
+def write_evaluation(results: dict[str, DataFrame], path: str) -> None:
+    """Token lists per label as tab-separated files, summaries as JSON."""
+    tokens = results["tokens"]
+    tokens.write.partitionBy("label").mode("overwrite").csv(f"{path}/tokens", sep="\t", header=True)
+    for name, df in results.items():
+        if name != "tokens":
+            df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def summaries(spark: SparkSession, *paths: str) -> DataFrame:
+    """The detailed summaries of several batches as one: by reports.batch_summary, the summary over all."""
+    df = spark.read.csv(list(paths), sep="\t", header=True, inferSchema=False)
+    return df.select("doc_id", *[F.col(c).try_cast("bigint").alias(c) for c in df.columns if c != "doc_id"])
