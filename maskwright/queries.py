@@ -11,8 +11,10 @@ from .operators import evaluate as E
 from .operators import filters as FI
 from .operators import mask as M
 from .operators import prepare as P
+from .operators import probes as PR
 from .operators import reports as R
 from .operators import spans as S
+from .plans.deidentify import deidentify
 from .plans.patterns import Pattern
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -177,20 +179,60 @@ def _probes(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("value"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES}))
-SELECT t.doc_id, start, stop, token FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND p.w = lower(t.token) AND len(w) > 1)""")
+_NO_NAMES = ", ".join(f"'{w}'" for w in PR.NO_NAMES)
+_PROBE_WORDS = f"""SELECT DISTINCT doc_id, unnest([w, w || 's']) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES})) WHERE len(w) > 1 AND w NOT IN ({_NO_NAMES})"""
+
+
+@query(f"""WITH p AS ({_PROBE_WORDS}) SELECT t.doc_id, start, stop, token FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND p.word = lower(t.token))""")
 def dynamic_set_spans(spark, sf_dir):
     return FI.dynamic_set_spans(docs(spark, sf_dir), _probes(spark, sf_dir))
 
 
-@query("""WITH p AS (SELECT doc_id, text, '(?i)(?:' || array_to_string(regexp_extract_all(source, '[A-Za-z0-9]+'), '[^0-9A-Za-z]{1,3}') || ')' AS pat FROM (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,} [A-Za-z]{4,}') AS source FROM documents) WHERE source <> ''),
+@query(_PROBE_WORDS)
+def probe_words(spark, sf_dir):
+    return PR.words(_probes(spark, sf_dir).withColumn("kind", F.lit("name")))
+
+
+@query(f"""SELECT DISTINCT doc_id, w AS regex FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES})) WHERE (len(w) < 2 OR w IN ({_NO_NAMES})) AND NOT regexp_matches(w, '^[0-9]+$')""")
+def probe_short_words(spark, sf_dir):
+    return PR.short_words(_probes(spark, sf_dir).withColumn("kind", F.lit("name")))
+
+
+#: Known identifiers of three kinds that each note itself holds.
+_OWN = r"""SELECT doc_id, 'workplace' AS kind, regexp_extract(text, '[A-Za-z]{4,} [A-Za-z]{4,}') AS value FROM documents UNION ALL SELECT doc_id, 'address', regexp_extract(text, '[0-9]+ [A-Za-z]{4,}') FROM documents UNION ALL SELECT doc_id, 'phone', regexp_extract(text, '\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}') FROM documents"""
+_KEPT = "list_filter(runs, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in PR.NO_CITIES) + "))"
+_OWN_REGEX = f"""own AS ({_OWN}), r AS (SELECT doc_id, kind, regexp_extract_all(lower(value), '[a-z0-9]+') AS runs FROM own WHERE value <> ''),
+rx AS (SELECT DISTINCT * FROM (SELECT doc_id, CASE kind WHEN 'phone' THEN array_to_string(runs, '{PR.GAPS["phone"]}') WHEN 'address' THEN array_to_string({_KEPT}, '{PR.GAPS["address"]}') ELSE array_to_string(runs, '{PR.GAPS["workplace"]}') END AS regex FROM r) WHERE regex <> '')"""
+
+
+def _own_probes(d):
+    kinds = (("workplace", "[A-Za-z]{4,} [A-Za-z]{4,}"), ("address", "[0-9]+ [A-Za-z]{4,}"), ("phone", PHONE))
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract("text", p, 0).alias("value")) for k, p in kinds])
+    return d.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.kind", "x.value").where("value <> ''")
+
+
+@query(f"WITH {_OWN_REGEX} SELECT doc_id, regex FROM rx")
+def probe_regexes(spark, sf_dir):
+    return PR.regexes(_own_probes(docs(spark, sf_dir)))
+
+
+@query(f"""WITH {_OWN_REGEX}, p AS (SELECT doc_id, text, '(?i)(?:' || pat || ')' AS pat FROM documents JOIN (SELECT doc_id, string_agg(regex, '|' ORDER BY len(regex) DESC, regex) AS pat FROM rx GROUP BY doc_id) USING (doc_id)),
 m AS (SELECT doc_id, regexp_extract_all(text, pat) AS ms, string_split_regex(text, pat) AS gs FROM p)
 SELECT doc_id, (stop - len(token))::BIGINT AS start, stop::BIGINT AS stop, token FROM (SELECT doc_id, token, sum(len(gap) + len(token)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM (SELECT doc_id, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS nth FROM m))""")
 def dynamic_regex_spans(spark, sf_dir):
-    """The first pair of long words of each note as its own probe."""
     d = docs(spark, sf_dir)
-    probe = d.select("doc_id", F.regexp_extract("text", "[A-Za-z]{4,} [A-Za-z]{4,}", 0).alias("value")).where("value <> ''")
-    return FI.dynamic_regex_spans(d, probe)
+    return FI.dynamic_regex_spans(d, _own_probes(d))
+
+
+@query(f"""WITH tk AS ({TOK}), n AS (SELECT conv_id AS doc_id, lower(unnest(regexp_extract_all(text, '^[A-Za-z0-9]+'))) AS form FROM conversations),
+f AS (SELECT DISTINCT tk.doc_id, start, stop, token FROM tk JOIN n ON tk.doc_id = n.doc_id AND lower(token) = form), had AS (SELECT doc_id, start, stop FROM tk WHERE regexp_matches(token, '^[A-Z]')),
+new AS (SELECT f.* FROM f LEFT JOIN had USING (doc_id, start) WHERE had.stop IS NULL OR f.stop > had.stop)
+SELECT doc_id, start, stop, token, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context FROM new JOIN documents USING (doc_id)""")
+def known_identifiers(spark, sf_dir):
+    """Tokens that equal the first word of the note's conversation, where the capitalised tokens are protected already."""
+    d = docs(spark, sf_dir)
+    known = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("lname").alias("phi_type"), F.regexp_extract("text", "^[A-Za-z0-9]+", 0).alias("value"))
+    return PR.add_known(d, S.tokens(d).where(F.col("token").rlike("^[A-Z]")), known)[1].drop("phi_type")
 
 
 _CTX = f"WITH m AS (SELECT doc_id, start, stop, token FROM ({_sp('[A-Za-z]+ ')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+')}))"
@@ -403,7 +445,7 @@ def date_shift(spark, sf_dir):
     return rows.select("o_orderkey", D.shift(F.col("d"), (F.col("o_custkey") % 30).cast("string")).alias("shifted"))
 
 
-_AGE = "date_part('year', d) - date_part('year', b) - CASE WHEN (date_part('month', d), date_part('day', d)) < (date_part('month', b), date_part('day', b)) THEN 1 ELSE 0 END"
+_AGE = "date_part('year', d) - date_part('year', b) - CASE WHEN d < b + to_years((date_part('year', d) - date_part('year', b))::INT) THEN 1 ELSE 0 END"
 
 
 @query(f"WITH x AS (SELECT o_orderkey, d, (DATE '1900-02-28' + (o_custkey * 37 % 30000)::INT) AS b FROM ({_ORD})), y AS (SELECT *, ({_AGE})::INT AS age FROM x) SELECT o_orderkey, age::INT AS age, CASE WHEN age > 90 THEN '*****' ELSE age::VARCHAR END AS shown, CASE WHEN age > 90 THEN (b + to_years(age - 90))::DATE ELSE b END AS capped FROM y")
@@ -436,6 +478,29 @@ def date_shift_evaluation(spark, sf_dir):
     return both.groupBy(F.when(F.expr("g = 1 and p = 1"), "TP").when(F.expr("p = 1"), "FP").otherwise("FN").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH x AS (SELECT o_orderkey, o_custkey, d, CASE WHEN o_custkey % 30 = 0 THEN NULL ELSE (d - (o_custkey % 30)::INT) END AS s, o_orderkey % 8 AS k FROM ({_ORD})),
+y AS (SELECT *, CASE k WHEN 4 THEN date_trunc('month', d)::DATE WHEN 7 THEN date_trunc('year', d)::DATE ELSE d END - (o_custkey % 30)::INT AS m FROM x WHERE k NOT IN (5, 6))
+SELECT o_orderkey, CASE WHEN s IS NULL THEN NULL WHEN k = 2 THEN strftime(m, '%m/%d/%y') WHEN k = 4 THEN strftime(m, '%B %Y') WHEN k = 7 THEN strftime(m, '%Y') ELSE strftime(m, '%m/%d/%Y') END AS shifted FROM y""")
+def partial_date_shift(spark, sf_dir):
+    """Dates with a year, written in six forms, shifted by their patient's offset and written by the parts they have."""
+    rows = _written_dates(spark, sf_dir).join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey").where("o_orderkey % 8 not in (5, 6)")
+    return rows.select("o_orderkey", D.render(D.shift_partial(F.col("p"), (F.col("o_custkey") % 30).cast("string"))).alias("shifted"))
+
+
+@query(f"SELECT o_orderkey, strftime(d + 12, '%m/%d/%Y') || ' [SHIFTED DATE]-' || strftime(d + 42, '%m/%d/%Y') || ' [SHIFTED DATE]' AS shifted FROM ({_ORD})")
+def date_range_shift(spark, sf_dir):
+    said = F.concat(F.date_format("d", "M/d/yyyy"), F.lit(" - "), F.date_format(F.date_add("d", 30), "M/d/yyyy"))
+    return _orders(spark, sf_dir).select("o_orderkey", D.shift_range(said, F.lit(12)).alias("shifted"))
+
+
+@query(f"SELECT o_orderkey, o_custkey % 4 <> 0 OR dayofmonth(d) = 1 AS same FROM (SELECT o_orderkey, o_custkey, d FROM ({_ORD}))")
+def partial_date_equality(spark, sf_dir):
+    """A whole date against itself, its month and year, and its two-digit form; a fourth of them against the first of the month."""
+    k = F.col("o_custkey") % 4
+    other = F.when(k == 0, F.date_format(F.trunc("d", "month"), "yyyy-MM-dd")).when(k == 1, F.date_format("d", "MMMM yyyy")).when(k == 2, F.date_format("d", "M/d/yy")).otherwise(F.date_format("d", "MMMM d"))
+    return _orders(spark, sf_dir).select("o_orderkey", D.same(D.parse(F.date_format("d", "yyyy-MM-dd")), D.parse(other)).alias("same"))
+
+
 # ---- evaluation
 
 _PRED = f"SELECT doc_id, start, stop FROM ({TOK}) WHERE regexp_matches(token, '[0-9]')"
@@ -500,6 +565,109 @@ def annotator_agreement(spark, sf_dir):
     return t(spark, sf_dir, "labels").groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STAR = r"(SELECT doc_id, regexp_replace(text, $$[{}]$$, $$*$$, $$g$$) AS text FROM documents)"
+
+
+@query(f"""WITH n AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', _STAR.format('0-9'))}), a AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', _STAR.format('0-9A-F'))}),
+j AS (SELECT n.token AS n, a.token AS a FROM n JOIN a USING (doc_id, nth) WHERE regexp_matches(n.token, '[A-Za-z0-9*]')),
+g AS (SELECT 'TP' AS label, n AS word FROM j WHERE contains(a, '*') AND n = a UNION ALL SELECT 'TN', n FROM j WHERE NOT contains(a, '*') UNION ALL SELECT 'FN', n FROM j WHERE contains(a, '*') AND n <> a AND NOT regexp_matches(a, '[A-Za-z0-9]')
+ UNION ALL SELECT 'FN', unnest(list_filter(string_split(array_to_string(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN n[i] = a[i] THEN ' ' ELSE n[i] END), ''), ' '), lambda w: w <> '')) FROM j WHERE contains(a, '*') AND n <> a AND regexp_matches(a, '[A-Za-z0-9]'))
+SELECT label, word, count(*) AS n FROM g GROUP BY ALL""")
+def graded_masks(spark, sf_dir):
+    """Digits masked, against digits and A to F masked: tokens masked in part are graded by runs of characters."""
+    d = docs(spark, sf_dir)
+    n, a = (d.select("doc_id", F.regexp_replace("text", p, "*").alias("text")) for p in ("[0-9]", "[0-9A-F]"))
+    return E.graded_masks(n, a).groupBy("label", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Gold labels with tags of a corpus: numbers are ages, capitals cities, and what holds both a tag that doesn't count.
+_TAGGED = f"SELECT label, lab.token, CASE WHEN label IN ('TP', 'FN') THEN CASE WHEN regexp_matches(token, '^[0-9]+$') THEN 'AGE' WHEN regexp_matches(token, '^[A-Z]+$') THEN 'CITY' ELSE 'JOB' END END AS tag FROM lab"
+
+
+def _tagged(spark, sf_dir):
+    toks, lab = _labelled(spark, sf_dir)
+    tag = F.when(F.col("token").rlike("^[0-9]+$"), "AGE").when(F.col("token").rlike("^[A-Z]+$"), "CITY").otherwise("JOB")
+    return lab.join(toks.select("doc_id", "start", "token"), ["doc_id", "start"]).withColumn("tag", F.when(F.col("label").isin("TP", "FN"), tag))
+
+
+@query(f"""WITH {_LAB}, k AS ({_TAGGED}), c AS (SELECT CASE WHEN label = 'TP' AND tag = 'JOB' THEN 'FP' WHEN label = 'FN' AND (tag = 'JOB' OR (tag = 'AGE' AND NOT coalesce(try_cast(token AS HUGEINT) >= 90, contains(token, 'ninety')))) THEN 'TN' ELSE label END AS label FROM k), m AS (SELECT {_MET} FROM c) SELECT *, {_RATIO} FROM m""")
+def corrected_recall(spark, sf_dir):
+    return E.metrics(E.corrected(_tagged(spark, sf_dir), E.tag_table(spark)))
+
+
+@query(f"""WITH {_LAB}, k AS (SELECT *, CASE tag WHEN 'AGE' THEN 'Age' WHEN 'CITY' THEN 'Location' ELSE 'Other' END AS category FROM ({_TAGGED}) WHERE label IN ('TP', 'FN')), g AS (SELECT category, tag, count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn FROM k GROUP BY ROLLUP (category, tag)) SELECT *, round(tp / (tp + fn), 6) AS recall FROM g""")
+def tag_recall(spark, sf_dir):
+    return E.tag_recall(_tagged(spark, sf_dir), E.tag_table(spark))
+
+
+@query(f"""WITH {_LAB}, k AS ({_TAGGED}), w AS (SELECT label, unnest(CASE tag WHEN 'AGE' THEN ['patient'] WHEN 'CITY' THEN ['patient', 'provider'] ELSE [] END) AS "of" FROM k WHERE label IN ('TP', 'FN')), g AS (SELECT "of", count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn FROM w GROUP BY 1) SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall FROM g""")
+def group_recall(spark, sf_dir):
+    """Recall of what identifies patients, and of what identifies providers."""
+    return E.group_recall(_tagged(spark, sf_dir), E.tag_table(spark))
+
+
+_TYPED = " UNION ALL ".join(f"SELECT doc_id, start, stop, '{k}' AS phi_type FROM ({_sp(p)})" for k, p in (("ID", "[0-9]+"), ("NAME", "[A-Z][A-Za-z]*"), ("PROBEREGEX", "[a-z]{10,}")))
+_TT = f"tt AS (SELECT a.doc_id, a.start, a.stop, string_agg(DISTINCT phi_type, ',' ORDER BY phi_type) AS types FROM ({TOK}) a JOIN ({_TYPED}) b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start GROUP BY ALL)"
+
+
+def _typed(d):
+    rows = [S.regex_spans(d, p).select("doc_id", "start", "stop", F.lit(k).alias("phi_type")) for k, p in (("ID", "[0-9]+"), ("NAME", "[A-Z][A-Za-z]*"), ("PROBEREGEX", "[a-z]{10,}"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"WITH {_TT} SELECT * FROM tt")
+def token_types(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return E.token_types(S.tokens(d), _typed(d))
+
+
+@query(f"WITH {_TT} SELECT doc_id, start, stop, types, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS probe, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context FROM tt JOIN documents USING (doc_id) WHERE types IN ('PROBEDYNAMICSET', 'PROBEREGEX')")
+def probe_report(spark, sf_dir):
+    """Tokens that only known identifiers protect."""
+    d = docs(spark, sf_dir)
+    return E.probe_report(d, S.tokens(d), _typed(d))
+
+
+_DIGITLESS = r"(SELECT doc_id, regexp_replace(text, '[A-Za-z]*[0-9]+[A-Za-z]*', '*', 'g') AS text FROM documents)"
+
+
+@query(f"""WITH o AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context FROM ({TOK})), s AS (SELECT DISTINCT doc_id, token FROM ({_sp(S.TOKEN, _DIGITLESS)}))
+SELECT doc_id, nth, token, context FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = o.doc_id AND s.token = o.token)""")
+def masked_words(spark, sf_dir):
+    """Words of a text that its masked form lacks, in context."""
+    d = docs(spark, sf_dir)
+    return E.absent_words(d, d.select("doc_id", F.regexp_replace("text", "[A-Za-z]*[0-9]+[A-Za-z]*", "*").alias("text")))
+
+
+@query(f"WITH f AS ({_sp('[0-9]+')}), g AS ({_sp('[A-Z0-9]{2,}')}) SELECT doc_id, start, stop FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = f.doc_id AND g.start <= f.start AND g.stop >= f.stop)")
+def not_annotated(spark, sf_dir):
+    """Found spans that lie within no annotation."""
+    d = docs(spark, sf_dir)
+    return E.not_annotated(S.regex_spans(d, "[0-9]+").select("doc_id", "start", "stop"), S.regex_spans(d, "[A-Z0-9]{2,}"))
+
+
+# ---- the whole job
+
+
+def _job(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    listed = [Pattern("known", "dynamic_set", True, "PROBEDYNAMICSET"), *FLAGSHIP[:-1], Pattern("year", "regex", True, "DATE", r"\b(?:19|20)[0-9]{2}\b"), Pattern("age", "regex", True, "AGE<90", r"\b[0-9]{1,2}(?= years)"), FLAGSHIP[-1]]
+    meta = t(spark, sf_dir, "documents").select("doc_id", F.expr("int(doc_id % 700) + 365").alias("date_offset"), F.lit("1950-06-01").alias("birth_date"))
+    return deidentify(d, listed, _probes(spark, sf_dir).withColumn("kind", F.lit("name")), meta)
+
+
+@query()
+def deidentify_documents(spark, sf_dir):
+    """Filters, known identifiers, surrogate dates and ages, and masks in one plan."""
+    return _job(spark, sf_dir).masked
+
+
+@query()
+def deidentify_log(spark, sf_dir):
+    """One row per note: sizes, tokens, protected tokens, dates read and shifted."""
+    return _job(spark, sf_dir).logs()["detailed_batch_summary"]
+
+
 # ---- reports
 
 
