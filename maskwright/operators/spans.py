@@ -24,6 +24,13 @@ def regex_spans(docs: DataFrame, pattern: str | Column, keep: tuple[str, ...] =
     return rows.withColumn("stop", stop).select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
 
 
+def literal_spans(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """doc_id, value, start, stop of the places where values(doc_id, value) stand in their own text, taken as they are written; empty values stand nowhere."""
+    rows = docs.select("doc_id", "text").join(values.where("value <> ''").select("doc_id", "value").distinct(), "doc_id")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("value", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return regex_spans(rows, quoted, ("doc_id", "value")).select("doc_id", "value", "start", "stop")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, nth, start, stop, token of runs of letters and digits."""
     return regex_spans(docs, TOKEN)

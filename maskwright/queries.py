@@ -235,13 +235,13 @@ def known_identifiers(spark, sf_dir):
     return PR.add_known(d, S.tokens(d).where(F.col("token").rlike("^[A-Z]")), known)[1].drop("phi_type")
 
 
-_CTX = f"WITH m AS (SELECT doc_id, start, stop, token FROM ({_sp('[A-Za-z]+ ')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+')}))"
+_CTX = f"WITH m AS (SELECT doc_id, start, stop, token FROM ({_sp('[ ,.-]?[A-Za-z]+[ ,.-]?')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+')}))"
 
 
 def _ctx(side: str, cond: str):
     def f(spark, sf_dir):
         d = docs(spark, sf_dir)
-        found = S.regex_spans(d, "[A-Za-z]+ ").select("doc_id", "start", "stop", "token")
+        found = S.regex_spans(d, "[ ,.-]?[A-Za-z]+[ ,.-]?").select("doc_id", "start", "stop", "token")
         return FI.beside(found, S.regex_spans(d, "[0-9]+"), side)
 
     f.__name__ = f"context_{side}"
@@ -281,9 +281,9 @@ def span_intersections(spark, sf_dir):
     return S.intersections(S.regex_spans(docs(spark, sf_dir), "[^ ]+"), _num(spark, sf_dir))
 
 
-@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start = b.start)")
+@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[A-Z0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start = b.start)")
 def span_remove(spark, sf_dir):
-    return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[0-9]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
+    return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[A-Z0-9]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
 
 
 @query(f"WITH {RESOLVED} SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars FROM inc GROUP BY doc_id")
@@ -748,7 +748,13 @@ def sample_notes(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")))).limit(25)
 
 
-@query("SELECT p_partkey, p_name AS name FROM part WHERE contains(p_name, 'a.b') OR regexp_matches(p_name, '[0-9]')")
+_LITERAL = r"SELECT doc_id, text, regexp_extract(text, '[a-z]+[.,] ?[A-Za-z]') AS value FROM documents"
+
+
+@query(f"""WITH v AS ({_LITERAL}), g AS (SELECT doc_id, value, len(value) AS n, string_split(text, value) AS gs FROM v WHERE value <> ''),
+x AS (SELECT doc_id, value, n, unnest(gs[1:len(gs) - 1]) AS gap, unnest(range(len(gs) - 1)) AS nth FROM g), y AS (SELECT doc_id, value, n, sum(len(gap) + n) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM x)
+SELECT doc_id, value, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM y""")
 def literal_search(spark, sf_dir):
-    """A word searched for as it stands, besides a class of characters."""
-    return t(spark, sf_dir, "part").where(F.col("p_name").rlike(r"\Qa.b\E") | F.col("p_name").rlike("[0-9]")).select("p_partkey", F.col("p_name").alias("name"))
+    """Where each note holds its first sentence end, searched for as it stands, full stop included."""
+    d = docs(spark, sf_dir)
+    return S.literal_spans(d, d.select("doc_id", F.regexp_extract("text", r"[a-z]+[.,] ?[A-Za-z]", 0).alias("value")))

@@ -64,6 +64,13 @@ def test_regex_spans_against_python(spark):
         assert got == {(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) if t for m in re.finditer(p, t)}, p
 
 
+def test_literal_spans(spark):
+    d = spark.createDataFrame([(1, r"a.b axb a.b (x) \Ea.b"), (2, "a.b"), (3, None)], "doc_id long, text string")
+    v = spark.createDataFrame([(1, "a.b"), (1, "a.b"), (1, "(x"), (1, r"\Ea"), (1, ""), (1, None), (2, "x"), (3, "a")], "doc_id long, value string")
+    got = sorted((r["value"], r["start"]) for r in S.literal_spans(d, v).collect())
+    assert got == sorted([("a.b", 0), ("a.b", 8), ("a.b", 18), ("(x", 12), (r"\Ea", 16)])
+
+
 def test_span_algebra_against_sets(spark):
     rng = random.Random(5)
     rows = lambda n: [(d, s, s + rng.randrange(1, 6)) for d in range(6) for s in (rng.randrange(30) for _ in range(n))]
