@@ -30,7 +30,7 @@ class Rule:
 _ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: In the order in which spans that start together are listed; the first three are the base rules.
 RULES = (
-    Rule("assign", 1, _ASSIGN, "length(regexp_extract(m, r'[A-Za-z0-9+/_.=-]+\\z', 0)) >= 8", r"text rlike r'(?i)password|passwd|secret|token|api_?key'"),
+    Rule("assign", 2, _ASSIGN, r"""length(regexp_extract(m, r'[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)\z', 1)) >= 8""", r"text rlike r'(?i)password|passwd|secret|token|api_?key'"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", "length(m) >= 16", "contains(text, 'AKIA')"),
     Rule("hex", 1, r"[0-9a-f]{32,}", "true", "text rlike '[0-9a-f]{32}'"),
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "true", "contains(text, 'PRIVATE KEY-----')"),
@@ -187,7 +187,7 @@ def _sql_spans(kind: str, order: int, pattern: str, hint: str, keep: str) -> str
 
 _Q = "''"
 _SQL_RULES = (
-    ("assign", rf"""'(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["{_Q}]?\x20*[:=]\x20*["{_Q}]?[A-Za-z0-9+/_.=-]+'""", "len(regexp_extract(m, '[A-Za-z0-9+/_.=-]+$')) >= 8"),
+    ("assign", rf"""'(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["{_Q}]?\x20*[:=]\x20*["{_Q}]?[A-Za-z0-9+/_.=-]+'""", rf"""len(regexp_extract(m, '[:=]\x20*["{_Q}]?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"""),
     ("access", "'AKIA[A-Z0-9]+'", "len(m) >= 16"),
     ("hex", "'[0-9a-f]{32,}'", "true"),
     ("pem", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'", "true"),
