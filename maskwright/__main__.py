@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     notes = notes.select(F.col("doc_id").cast("string").alias("doc_id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     probes = sources.probes_tsv(spark, a.probes).withColumnRenamed("note_key", "doc_id") if a.probes else None
     meta = sources.surrogate_tsv(spark, a.meta).withColumnRenamed("note_key", "doc_id") if a.meta else None
-    out = deidentify(notes, patterns, probes, meta, a.ref_date)
+    out = deidentify(notes, patterns, probes, meta, a.ref_date, work=f"{a.output}/accepted")
     if a.format == "xml":
         mask.annotation_xml(S.with_text(out.spans, notes)).write.mode("overwrite").parquet(f"{a.output}/notes")
     else:

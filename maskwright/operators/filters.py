@@ -115,7 +115,7 @@ def _islands(p: Pattern, found: DataFrame) -> DataFrame:
     return found if apart else S.merge(found)
 
 
-def _accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
+def accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
     """(includes, excludes) after priority: doc_id, start, stop and, for excludes, phi_type.
 
     Patterns of one polarity that follow each other can't block one another, so each such run
@@ -152,17 +152,21 @@ def _accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None
 
 def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
     """(includes, excludes) after priority, merged: doc_id, start, stop and, for excludes, phi_type."""
-    includes, excludes = _accepted(docs, patterns, probes, tag)
+    includes, excludes = accepted(docs, patterns, probes, tag)
     return S.merge(includes), S.merge(excludes, ("doc_id", "phi_type"))
 
 
 def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> DataFrame:
     """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type."""
-    includes, excludes = _accepted(docs, patterns, probes, tag)
+    return left_over(docs, *accepted(docs, patterns, probes, tag), {p.phi_type for p in patterns if p.exclude})
+
+
+def left_over(docs: DataFrame, includes: DataFrame, excludes: DataFrame, types: set[str]) -> DataFrame:
+    """doc_id, start, stop, phi_type of what accepted includes leave of docs, typed by accepted excludes of the given types."""
     left = S.complement(docs, includes).select("doc_id", "start", "stop", F.col("stop").alias("_at"), F.lit(0).alias("_kind"))
     marks = excludes.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("stop").alias("_stop"), "phi_type")
     w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     # of each type, the farthest stop of what starts before the span stops
-    reach = {t: F.max(F.when(F.col("phi_type") == t, F.col("_stop"))).over(w) for t in sorted({p.phi_type for p in patterns if p.exclude})}
+    reach = {t: F.max(F.when(F.col("phi_type") == t, F.col("_stop"))).over(w) for t in sorted(types)}
     kind = F.coalesce(*[F.when(r > F.col("start"), t) for t, r in reach.items()], F.lit("OTHER"))
     return left.unionByName(marks, allowMissingColumns=True).withColumn("_type", kind).where("_kind = 0").select("doc_id", "start", "stop", F.col("_type").alias("phi_type"))

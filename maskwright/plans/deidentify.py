@@ -76,17 +76,25 @@ def normalised(docs: DataFrame, typed: DataFrame, meta: DataFrame | None, ref_da
     return rows.withColumn("replacement", F.when(F.col("_known").isNull(), put)).select(*found.columns, "date", "age", "replacement")
 
 
-def deidentify(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, meta: DataFrame | None = None, ref_date: str = "2020-01-01", tag=None) -> Deidentified:
+def deidentify(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, meta: DataFrame | None = None, ref_date: str = "2020-01-01", tag=None, work: str | None = None) -> Deidentified:
     """docs(doc_id, text) by a filter list, with probes(doc_id, kind, value) and metadata of notes.
 
     A replacement stands for its whole span where a protected span starts with it; what is left of
-    protected spans beside replacements is masked as ever.
+    protected spans beside replacements is masked as ever. With work, a path that all executors
+    share, what the filters accept is written there once, and masks, logs and evaluation read it
+    instead of running the filters again.
     """
     if probes is not None and not any(p.type == "dynamic_set" for p in patterns):
         patterns = [*patterns, Pattern("known identifiers", "dynamic_set", True, "PROBEDYNAMICSET")]
     docs = docs.select("doc_id", "text")
-    spans = FI.protected(docs, patterns, probes, tag)
-    typed = FI.resolve(docs, patterns, probes, tag)[1]
+    includes, excludes = FI.accepted(docs, patterns, probes, tag)
+    if work:
+        both = includes.withColumns({"phi_type": F.lit(None).cast("string"), "kind": F.lit("include")}).unionByName(excludes.withColumn("kind", F.lit("exclude")))
+        both.write.mode("overwrite").partitionBy("kind").parquet(work)
+        both = docs.sparkSession.read.schema(both.schema).parquet(work)
+        includes, excludes = both.where("kind = 'include'").select(includes.columns), both.where("kind = 'exclude'").select(excludes.columns)
+    spans = FI.left_over(docs, includes, excludes, {p.phi_type for p in patterns if p.exclude})
+    typed = S.merge(excludes, ("doc_id", "phi_type"))
     norms = normalised(docs, typed, meta, ref_date)
     if meta is None:
         return Deidentified(docs, spans, typed, norms, M.mask_tokens(docs, spans))

@@ -56,7 +56,7 @@ def test_add_known(spark):
     assert [(r["token"], r["context"]) for r in report.collect()] == [("Smith", "Dr Smith met smith")]
 
 
-def test_deidentify(spark):
+def test_deidentify(spark, tmp_path):
     d = notes(spark, "Seen 01/31/2001, aged 60, born 03/01/1940. X1/2/2001Y", "Seen 02/01/2001, aged 95", "Seen 2/2/2001", "99/99/2001 Ann", None)
     meta = spark.createDataFrame([(0, 31, "1940-03-01"), (1, 1, "1900-01-01"), (2, 0, None), (3, 5, None)], "doc_id long, date_offset int, birth_date string")
     p = probes(spark, (3, "name", "Ann"))
@@ -68,6 +68,8 @@ def test_deidentify(spark):
     logs = {k: v.collect() for k, v in first.logs().items()}
     assert {r["token"] for r in logs["failed_dates"]} == {"99/99/2001"} and [r["probe"] for r in logs["dynamic_blacklist"]] == ["Ann"]
     assert {r["doc_id"]: r["failed_surrogated"] for r in logs["detailed_batch_summary"]} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    again = deidentify(d, [DATE, AGE, KEEP], p, meta, "2020-01-01", work=str(tmp_path / "accepted"))
+    assert {r["doc_id"]: r["text"] for r in again.masked.collect()} == got and again.typed.count() == job.typed.count()
     assert {r["doc_id"]: r["text"] for r in deidentify(d, [DATE, AGE, KEEP]).masked.collect()}[2] == "Seen *****/*****/*****"
 
 
