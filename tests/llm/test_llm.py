@@ -300,6 +300,31 @@ def test_propagation_against_power_iteration(spark):
     assert all(got.get(str(i), 0) == pytest.approx(rank[i]) for i in range(8))
 
 
+def test_propagation_settles_along_a_chain(spark):
+    n = 12
+    links = [(i, i + 1) for i in range(n)] + [(4, 9), (n, n - 1), (n, n + 1)]  # a chain of hosts, a short cut, a cycle near its end
+    m = np.zeros((n + 2, n + 2))
+    for i, j in links:
+        m[i, j] = 1 / sum(a == i for a, _ in links)
+    exact = 0.15 * np.linalg.inv(np.eye(n + 2) - 0.85 * m)[0]
+    edges = spark.createDataFrame([(str(i), str(j), 1) for i, j in links], "src string, dst string, n long")
+    got = {r["host"]: r["rank"] for r in url_filters.propagate(edges, spark.createDataFrame([("0", 1.0)], "host string, mass double"), rounds=None).collect()}
+    assert all(got[str(i)] == pytest.approx(exact[i], rel=1e-5) for i in range(n + 2))
+
+
+def test_url_filters_block_up_a_long_chain(spark):
+    page = lambda i, to: (i, f"http://h{i}.com/", f'<a href="http://{to}/">')
+    df = spark.createDataFrame([page(i, f"h{i - 1}.com" if i > 1 else "spam.net") for i in range(1, 11)] + [(0, "http://spam.net/", "")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(df).collect()} == {i: "block" for i in range(11)}
+
+
+def test_unsettled_ranks_raise(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "MOST_ROUNDS", 3)
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError):
+        url_filters.propagate(edges, spark.createDataFrame([("a", 1.0)], "host string, mass double"), rounds=None)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen, now = [docs.count()], docs
