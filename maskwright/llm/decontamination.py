@@ -9,7 +9,8 @@
 3. The fingerprint is cut into blocks. If two fingerprints differ in at most RADIUS bits, some
    block differs in at most BLOCK_RADIUS, so each item is indexed under every value within
    BLOCK_RADIUS of its blocks, and a window looks up its blocks as they are.
-4. Pairs within the radius are verified by the exact Jaccard similarity of their shingles,
+4. Pairs within the radius, and each window with the items that it was laid out for, however
+   many bits they differ in, are verified by the exact Jaccard similarity of their shingles,
    weighted by how often each occurs.
 """
 
@@ -86,23 +87,24 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     texts = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.expr(_WORDS).alias("words"))
     found = None
     for k in sizes:
-        at = ready.where(F.col("k") == k).select("n_words", F.expr(f"explode(sequence(0, n_words - {k}))").alias("offset"), "words").select(F.expr(_shingle("words", "offset", k)).alias("h"), "offset", F.col("n_words").alias("size"))
+        at = ready.where(F.col("k") == k).select("item_id", "n_words", F.expr(f"explode(sequence(0, n_words - {k}))").alias("offset"), "words").select(F.expr(_shingle("words", "offset", k)).alias("h"), "offset", F.col("n_words").alias("size"), "item_id")
         gate = _bounded(written(at.distinct(), "gate"))
         rows = texts.where(F.size("words") >= k).select("doc_id", "words", F.posexplode(F.slice("words", 1, F.size("words") - (k - 1))).alias("pos", "w"))
         rows = rows.withColumn("h", F.expr(_shingle("words", "pos", k))).join(gate, "h")
         start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("words") - F.col("size")))
-        rows = rows.withColumn("start", start).select("doc_id", "start", "size", F.expr("slice(words, start + 1, size)").alias("window"), F.lit(k).alias("k"))
+        rows = rows.withColumn("start", start).select("doc_id", "start", "size", F.expr("slice(words, start + 1, size)").alias("window"), F.lit(k).alias("k"), "item_id")
         found = rows if found is None else found.unionByName(rows)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start_word int, n_words int"
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    windows = written(found.distinct(), "windows").withColumn("fp", F.expr(_simhash("window")))
+    laid = written(found.distinct(), "windows")
+    windows = laid.drop("item_id").distinct().withColumn("fp", F.expr(_simhash("window")))
     keys = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(v).alias("value")) for i, _, v in _block_values("fp")])
     keyed = windows.withColumn("key", F.explode(keys))
     index = written(ready.select("item_id", "k", "n_words", F.col("fp").alias("item_fp"), F.explode("index").alias("key")).select("item_id", "k", "n_words", "item_fp", "key.block", "key.value"), "index")
     near = keyed.join(_bounded(index).withColumnRenamed("k", "item_k"), (F.col("key.block") == F.col("block")) & (F.col("key.value") == F.col("value")) & (F.col("k") == F.col("item_k")) & (F.col("size") == F.col("n_words")))
-    near = near.where(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}")).select("doc_id", "start", "size", "window", "k", "item_id").distinct()
-    pairs = near.join(_bounded(ready.select("item_id", F.col("words").alias("item_words"))), "item_id")
+    near = near.where(F.expr(f"bit_count(fp ^ item_fp) <= {RADIUS}")).select("doc_id", "start", "size", "window", "k", "item_id")
+    pairs = near.unionByName(laid).distinct().join(_bounded(ready.select("item_id", F.col("words").alias("item_words"))), "item_id")
     both = None
     for k in sizes:
         x = pairs.where(F.col("k") == k).withColumn("a", F.expr(_shingles("window", k))).withColumn("b", F.expr(_shingles("item_words", k)))

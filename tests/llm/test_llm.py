@@ -222,6 +222,16 @@ def test_decontamination(spark, odd, none):
     assert decontamination.matches(none, bench).count() == decontamination.matches(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_at_the_similarity(spark):
+    """Items whose last words are others, so that they are just at or above the similarity."""
+    rng = np.random.default_rng(5)
+    items = [(i, [f"w{x}" for x in rng.integers(0, 20_000, n)]) for i, n in enumerate([50] * 100 + [100] * 100)]
+    docs = [(i, " ".join([f"a{i}"] + w[: len(w) - (len(w) - 4) // 9] + [f"x{j}" for j in range((len(w) - 4) // 9)])) for i, w in items]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items} and all(r["similarity"] >= 0.8 for r in got)
+
+
 def test_quality_classifier(spark, odd, none):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet")
