@@ -203,6 +203,14 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan(none, license_scan.known(spark)).count() == 0
 
 
+def test_license_lines_without_the_word(spark):
+    """Every known text on one line of a longer document, and a caller's own."""
+    texts = [*license_scan.KNOWN, ("Own-1.0", "Do as you please with this.")]
+    df = spark.createDataFrame([(i, f"A banner\n# {x}\nand more") for i, (_, x) in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"], r["scope"], r["n"]) for r in license_scan.scan(df, license_scan.known(spark, texts)).collect()}
+    assert got == {(i, x, "line", 1) for i, (x, _) in enumerate(texts)}
+
+
 def test_decontamination(spark, odd, none):
     rng = np.random.default_rng(4)
     words = [f"v{i}" for i in range(3000)]
