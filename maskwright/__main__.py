@@ -9,8 +9,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import configure, sources
-from .operators import mask
-from .operators import spans as S
 from .plans.deidentify import deidentify
 from .plans.macros import macros
 from .plans.patterns import expand, load
@@ -25,7 +23,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--probes", help="TSV of value, phi_type and note_key")
     p.add_argument("--meta", help="TSV of note keys, date offsets and birth dates")
     p.add_argument("--gold", help="annotated XML files")
-    p.add_argument("--gold-types", default="", help="comma-separated tags of the annotated files")
+    p.add_argument("--gold-types", default="", help="comma-separated tags of the annotated files; all that they hold by default")
     p.add_argument("--gold-row", default="doc", help="root element of the annotated files")
     p.add_argument("--ref-date", default="2020-01-01")
     p.add_argument("--no-logs", action="store_true")
@@ -34,18 +32,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     base = Path(a.config).parent
     patterns = load(Path(a.config).read_text(), lambda f: _expanded((base / f).read_text()))
     notes = spark.read.parquet(a.input) if a.input.endswith(".parquet") else sources.text_notes(spark, a.input)
-    notes = notes.select(F.col("doc_id").cast("string").alias("doc_id"), "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    notes = notes.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *(["note_key"] if "note_key" in notes.columns else []))
     probes = sources.probes_tsv(spark, a.probes).withColumnRenamed("note_key", "doc_id") if a.probes else None
     meta = sources.surrogate_tsv(spark, a.meta).withColumnRenamed("note_key", "doc_id") if a.meta else None
     out = deidentify(notes, patterns, probes, meta, a.ref_date, work=f"{a.output}/accepted")
-    if a.format == "xml":
-        mask.annotation_xml(S.with_text(out.spans, notes)).write.mode("overwrite").parquet(f"{a.output}/notes")
-    else:
-        (sources.write_notes if a.format == "parquet" else sources.write_note_files)(out.masked, f"{a.output}/notes")
+    made = sources.annotated_notes(out.rows, a.gold_row) if a.format == "xml" else out.masked
+    (sources.write_notes if a.format == "parquet" else sources.write_note_files)(made.select("doc_id", "text"), f"{a.output}/notes")
     if not a.no_logs:
         sources.write_logs(out.logs(), f"{a.output}/log")
     if a.gold:
-        _, gold = sources.xml_annotations(spark, a.gold, a.gold_row, tuple(a.gold_types.split(",")))
+        _, gold = sources.xml_annotations(spark, a.gold, a.gold_row, tuple(x for x in a.gold_types.split(",") if x))
         sources.write_evaluation(out.evaluate(gold), f"{a.output}/eval")
 
 

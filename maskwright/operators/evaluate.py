@@ -25,6 +25,11 @@ def metrics(labels: DataFrame, *by: str) -> DataFrame:
     return rows.withColumns({"precision": ratio("tp", "fp"), "recall": ratio("tp", "fn"), "retention": ratio("tn", "fp")})
 
 
+def metrics_over_nothing(totals: DataFrame) -> DataFrame:
+    """metrics() rows with the older defaults: recall over nothing is 1, precision and retention over nothing 0."""
+    return totals.withColumn("recall", F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("recall")))
+
+
 def compare_masks(masked: DataFrame, gold: DataFrame, mark: str = "*") -> DataFrame:
     """Token by token, two maskings of one text (doc_id, text): doc_id, nth, label. A token counts as masked if it holds the mark."""
     a = S.regex_spans(masked, r"[^\x20\x09-\x0D]+").select("doc_id", "nth", F.contains("token", F.lit(mark)).alias("p"))

@@ -1,15 +1,16 @@
-"""The nine filter types as span relations, and their resolution by priority under default deny."""
+"""The filter types as span relations, and relations of what a list of them resolves to."""
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.patterns import Pattern, jvm_regex
+from ..plans.patterns import Pattern
 from . import probes as P
 from . import spans as S
+from .resolve import resolved
 
 
 def heuristic_pos(token):
@@ -30,21 +31,13 @@ def set_spans(docs: DataFrame, words: DataFrame, pos: tuple[str, ...] = (), tagg
 
 
 def dynamic_set_spans(docs: DataFrame, probes: DataFrame) -> DataFrame:
-    """Tokens that are one of their own note's probes(doc_id, kind, value), all names where there is no kind: an equi-join, no set per note."""
-    return P.word_spans(docs, _kinds(probes))
+    """Tokens that are one of their own note's probes(doc_id, kind, value): an equi-join, no set per note."""
+    return P.word_spans(docs, probes)
 
 
 def dynamic_regex_spans(docs: DataFrame, probes: DataFrame, template: str = P.ANYWHERE, short: bool = False) -> DataFrame:
-    """Matches of a template in which %s is any regex of the note's probes; with short, any of its words that are too short to stand alone.
-
-    Without a column kind, the values are workplaces: their parts with gaps between them.
-    """
-    kinds = _kinds(probes, "name" if short else "workplace")
-    return P.template_spans(docs, P.short_words(kinds) if short else P.regexes(kinds), template)
-
-
-def _kinds(probes: DataFrame, kind: str = "name") -> DataFrame:
-    return probes if "kind" in probes.columns else probes.withColumn("kind", F.lit(kind))
+    """Matches of a template in which %s is any regex of the note's probes(doc_id, kind, value); with short, any of its words that are too short to stand alone."""
+    return P.template_spans(docs, P.short_words(probes) if short else P.regexes(probes), template)
 
 
 def beside(matches: DataFrame, protected: DataFrame, context: str) -> DataFrame:
@@ -80,93 +73,24 @@ def ner_spans(docs: DataFrame, tag, tags: tuple[str, ...]) -> DataFrame:
     return toks.mapInArrow(run, T.StructType([*toks.schema.fields, T.StructField("ner", T.StringType())])).where(F.col("ner").isin(*tags)).drop("ner")
 
 
-def candidates(docs: DataFrame, p: Pattern, probes: DataFrame | None = None, protected: DataFrame | None = None, tag=None) -> DataFrame:
-    """doc_id, start, stop that pattern p finds by itself."""
-    pick = lambda df: df.select("doc_id", "start", "stop")
-    none = docs.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).where("false")
-    if p.type == "match_all":
-        return docs.where("text <> ''").select("doc_id", F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("stop"))
-    if p.type == "pos_matcher":
-        return pick(S.tokens(docs).where(heuristic_pos(F.col("token")).isin(*p.pos)))
-    if p.type == "stanford_ner":
-        return pick(ner_spans(docs, tag, p.pos)) if tag else none
-    if p.type == "set":
-        return pick(set_spans(docs, docs.sparkSession.createDataFrame([(w,) for w in p.words], "word string"), p.pos))
-    if p.type == "dynamic_set":
-        return pick(dynamic_set_spans(docs, probes)) if probes is not None else none
-    if p.type == "dynamic_regex":
-        return pick(dynamic_regex_spans(docs, probes, p.regex)) if probes is not None else none
-    if p.type == "regex":
-        return pick(S.tokens(docs) if p.regex == "." else S.regex_spans(docs, jvm_regex(p.regex)))
-    if p.type == "dynamic_regex_context":
-        if probes is None:
-            return none
-        found = dynamic_regex_spans(docs, probes, p.regex, short=True)
-    else:
-        found = S.regex_spans(docs, jvm_regex(p.regex)).select("doc_id", "start", "stop", "token")
-    near = beside(found, protected, p.context)
-    inner = near.withColumnRenamed("token", "text").withColumnRenamed("start", "from").drop("stop")
-    return S.regex_spans(inner, S.TOKEN, ("doc_id", "from", "text")).select("doc_id", (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("stop")).alias("stop"))
-
-
-def _islands(p: Pattern, found: DataFrame) -> DataFrame:
-    """What pattern p finds, touching spans joined; whole tokens and whole texts never touch."""
-    apart = p.regex == "." if p.type == "regex" else p.type in ("set", "dynamic_set", "pos_matcher", "stanford_ner", "match_all")
-    return found if apart else S.merge(found)
+def candidates(docs: DataFrame, p: Pattern, probes: DataFrame | None = None, tag=None) -> DataFrame:
+    """doc_id, start, stop that pattern p finds by itself, touching matches of a regex joined."""
+    return _rows(resolved(docs, [replace(p, exclude=True)], probes, tag), "excludes").select("doc_id", "start", "stop")
 
 
-def accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
-    """(includes, excludes) after priority: doc_id, start, stop and, for excludes, phi_type.
+def _rows(rows: DataFrame, spans: str) -> DataFrame:
+    return rows.select("doc_id", F.inline(spans))
 
-    Patterns of one polarity that follow each other can't block one another, so each such run
-    is one anti-join against the accepted spans of the other polarity. A context or dynamic
-    pattern reads or overrides what is accepted so far and ends a run.
-    """
-    nothing = docs.select("doc_id", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).where("false")
-    includes, excludes = nothing, nothing.withColumn("phi_type", F.lit(""))
-    runs: list[list[Pattern]] = []
-    for p in patterns:
-        alone = "context" in p.type or "dynamic" in p.type
-        if runs and not alone and not any("context" in q.type or "dynamic" in q.type for q in runs[-1]) and runs[-1][0].exclude == p.exclude:
-            runs[-1].append(p)
-        else:
-            runs.append([p])
-    for run in runs:
-        override = "context" in run[0].type or "dynamic" in run[0].type
-        protected = S.complement(docs, includes) if "context" in run[0].type else None
-        if protected is not None and run[0].context_filter != "all":
-            protected = S.merge(candidates(docs, next(q for q in patterns if q.title == run[0].context_filter), probes, tag=tag))
-        each = [_islands(p, candidates(docs, p, probes, protected, tag)).withColumn("phi_type", F.lit(p.phi_type)) for p in run]
-        found = reduce(DataFrame.unionByName, each)
-        if run[0].exclude:
-            if override:
-                includes = S.removed(S.merge(includes), found)
-            else:
-                found = S.apart_from(found, includes)
-            excludes = excludes.unionByName(found.select("doc_id", "start", "stop", "phi_type"))
-        else:
-            found = found if override else S.apart_from(found, excludes)
-            includes = includes.unionByName(found.select("doc_id", "start", "stop"))
-    return includes, excludes
-
-
-def resolve(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
-    """(includes, excludes) after priority, merged: doc_id, start, stop and, for excludes, phi_type."""
-    includes, excludes = accepted(docs, patterns, probes, tag)
-    return S.merge(includes), S.merge(excludes, ("doc_id", "phi_type"))
+
+def accepted(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> tuple[DataFrame, DataFrame]:
+    """(includes, excludes) after priority, merged: doc_id, start, stop and, for excludes, phi_type; see resolve.resolved()."""
+    rows = resolved(docs, patterns, probes, tag)
+    return _rows(rows, "includes"), _rows(rows, "excludes").drop("token")
 
 
 def protected(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, tag=None) -> DataFrame:
-    """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type."""
-    return left_over(docs, *accepted(docs, patterns, probes, tag), {p.phi_type for p in patterns if p.exclude})
-
-
-def left_over(docs: DataFrame, includes: DataFrame, excludes: DataFrame, types: set[str]) -> DataFrame:
-    """doc_id, start, stop, phi_type of what accepted includes leave of docs, typed by accepted excludes of the given types."""
-    left = S.complement(docs, includes).select("doc_id", "start", "stop", F.col("stop").alias("_at"), F.lit(0).alias("_kind"))
-    marks = excludes.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("stop").alias("_stop"), "phi_type")
-    w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    # of each type, the farthest stop of what starts before the span stops
-    reach = {t: F.max(F.when(F.col("phi_type") == t, F.col("_stop"))).over(w) for t in sorted(types)}
-    kind = F.coalesce(*[F.when(r > F.col("start"), t) for t, r in reach.items()], F.lit("OTHER"))
-    return left.unionByName(marks, allowMissingColumns=True).withColumn("_type", kind).where("_kind = 0").select("doc_id", "start", "stop", F.col("_type").alias("phi_type"))
+    """doc_id, start, stop, phi_type of all that stays protected; OTHER where no exclude pattern names a type.
+
+    To mask texts, mask the rows of resolve.resolved() themselves: that needs no key.
+    """
+    return _rows(resolved(docs, patterns, probes, tag), "protected").drop("token")

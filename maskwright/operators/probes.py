@@ -66,6 +66,29 @@ def short_words(probes: DataFrame) -> DataFrame:
     return _parts(probes).where((F.col("kind") == "name") & _short(F.col("form")) & ~F.col("form").rlike("^[0-9]+$")).select("doc_id", F.col("form").alias("regex")).distinct()
 
 
+#: Columns of per_note: words, alternations of regexes and of short words, and the note they belong to.
+PER_NOTE = ("_mw_names", "_mw_any", "_mw_short", "_mw_note")
+
+
+def _any(found: DataFrame, name: str) -> DataFrame:
+    ranked = F.array_sort(F.collect_set(F.struct((-F.length("regex")).alias("n"), "regex")))
+    return found.groupBy("doc_id").agg(F.array_join(F.transform(ranked, lambda s: s["regex"]), "|").alias(name))
+
+
+def per_note(probes: DataFrame) -> DataFrame:
+    """One row per note with its words, its regexes and its short words, the longest first: what a note's probes bound."""
+    names, anywhere, short, note = PER_NOTE
+    sides = (words(probes).groupBy("doc_id").agg(F.collect_set("word").alias(names)), _any(regexes(probes), anywhere), _any(short_words(probes), short))
+    rows = sides[0].join(sides[1], "doc_id", "full").join(sides[2], "doc_id", "full")
+    return rows.where("doc_id is not null").withColumnRenamed("doc_id", note).select(*PER_NOTE)
+
+
+def pattern(alternatives: Column, template: str = ANYWHERE) -> Column:
+    """The regex, in either case, of a template in which %s is any of the alternatives; null without any."""
+    head, _, tail = template.partition("%s")
+    return F.concat(F.lit(f"(?Ud)(?i){head}(?:"), alternatives, F.lit(f"){tail}"))
+
+
 def word_spans(docs: DataFrame, probes: DataFrame) -> DataFrame:
     """doc_id, start, stop, token of the tokens that, as written or in lower case, are a word of their own note's probes."""
     forms = S.tokens(docs).withColumn("word", F.explode(F.array_distinct(F.array(F.lower("token"), "token"))))
@@ -73,14 +96,11 @@ def word_spans(docs: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def template_spans(docs: DataFrame, found: DataFrame, template: str = ANYWHERE) -> DataFrame:
-    """doc_id, start, stop, token of the matches, in either case, of a template in which %s is any of the note's regexes, the longest first.
+    """doc_id, start, stop, token of the matches of a template in which %s is any of the note's regexes, the longest first.
 
     A note's regexes are one pattern: their number is bounded by the probes of one note.
     """
-    ranked = F.array_sort(F.collect_set(F.struct((-F.length("regex")).alias("n"), "regex")))
-    per_note = found.groupBy("doc_id").agg(F.array_join(F.transform(ranked, lambda s: s["regex"]), "|").alias("any"))
-    head, _, tail = template.partition("%s")
-    rows = docs.select("doc_id", "text").join(per_note, "doc_id").withColumn("pattern", F.concat(F.lit(f"(?Ud)(?i){head}(?:"), "any", F.lit(f"){tail}")))
+    rows = docs.select("doc_id", "text").join(_any(found, "any"), "doc_id").withColumn("pattern", pattern(F.col("any"), template))
     return S.regex_spans(rows, F.col("pattern")).select("doc_id", "start", "stop", "token")
 
 

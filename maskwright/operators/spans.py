@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import let
+
 TOKEN, MASKABLE = "[A-Za-z0-9]+", "[A-Za-z0-9*]+"
 
 
+def gaps_and_lengths(text: str, pattern: Column) -> Column:
+    """struct(g, n) of the lengths of the gaps before (and after) all leftmost non-overlapping matches of a pattern and of the matches; null without one.
+
+    split() gives the gaps and regexp_extract_all() the matches of the same search, which is
+    run once; only texts with a match are split. split() drops the gap before an empty match
+    at the very start of a text, which is put back.
+    """
+
+    def both(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        whole = let(gaps, lambda g: F.when(F.size(g) > F.size(found), g).otherwise(F.concat(F.array(F.lit(0)), g)))
+        return F.when(F.size(found) > 0, F.struct(whole.alias("g"), F.transform(found, F.length).alias("n"), found.alias("m")))
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), both)
+
+
 def regex_spans(docs: DataFrame, pattern: str | Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, nth, start, stop, token of all leftmost non-overlapping matches of pattern in text.
+    """keep, nth, start, stop, token of all leftmost non-overlapping matches of pattern in text, row by row.
 
-    split() gives the gaps and regexp_extract_all() the matches of the same search, so running
-    sums of their lengths are the offsets: no UDF, and no row for a document without a match.
-    Null texts have none.
+    Running sums of gaps and matches are the offsets: no UDF, and no row for a document without
+    a match. The sums go over each row of docs by itself, so null and repeated ids have the
+    spans of their own texts. Null texts have none; empty matches are spans of length zero.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all("text", p, F.lit(0))
-    pairs = docs.select(*keep, F.when(F.size(found) > 0, F.arrays_zip(F.transform(F.split("text", p, -1), F.length).alias("gap"), found.alias("m"))).alias("x"))
+    hit = let(gaps_and_lengths("text", p), lambda x: F.arrays_zip(F.slice(x["g"], 1, F.size(x["m"])).alias("gap"), x["m"].alias("m")))
+    pairs = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), hit.alias("x"))
     # an inner explode infers a filter on x, which Catalyst pushes down as a second search of every text
-    rows = pairs.select(*keep, F.posexplode_outer("x").alias("nth", "x")).where("x.m is not null").select(*keep, F.col("nth").cast("long").alias("nth"), F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
-    stop = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy(*keep).orderBy("nth"))
+    rows = pairs.select(*keep, "_row", F.posexplode_outer("x").alias("nth", "x")).where("x.m is not null").select(*keep, "_row", F.col("nth").cast("long").alias("nth"), F.col("x.gap").alias("gap"), F.col("x.m").alias("token"))
+    # the row counts within one stage only: where docs are dealt by keep already, there is no exchange
+    stop = F.sum(F.col("gap") + F.length("token")).over(Window.partitionBy(*keep, "_row").orderBy("nth"))
     return rows.withColumn("stop", stop).select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
 
 
@@ -92,7 +111,7 @@ def subtract(runs: DataFrame, islands: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("doc_id").orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = bounds(runs, 1, 0).union(bounds(islands, 0, 1))
+    rows = bounds(runs, 1, 0).union(bounds(islands.where("start < stop"), 0, 1))
     # of bounds at one place, only the last has a next bound beyond, and its sums hold them all
     rows = rows.select("doc_id", F.col("at").alias("start"), F.lead("at").over(order).alias("stop"), F.sum("run").over(so_far).alias("run"), F.sum("island").over(so_far).alias("island"))
     return rows.where("start < stop and run > 0 and island = 0").select("doc_id", "start", "stop")
@@ -107,7 +126,20 @@ def with_text(spans: DataFrame, docs: DataFrame, name: str = "token") -> DataFra
     return spans.join(docs.select("doc_id", "text"), "doc_id").withColumn(name, F.expr("substring(text, int(start) + 1, int(stop - start))")).drop("text")
 
 
+def context_of(text: Column, width: int = 10) -> Column:
+    """The text around a span of columns start and stop, width code points on either side, line ends and tabs as spaces."""
+    first = F.greatest(F.col("start") - width, F.lit(0)).cast("int")
+    last = F.least(F.col("stop") + width, F.length(text)).cast("int")
+    return F.translate(F.substring(text, first + 1, last - first), "\n\t", "  ")
+
+
+def marked_context(text: Column, before: int = 16, after: int = 40) -> Column:
+    """The text around a span of columns start and stop, the span itself between [[ and ]]."""
+    first = F.greatest(F.col("start") - before, F.lit(0)).cast("int")
+    start, stop = F.col("start").cast("int"), F.col("stop").cast("int")
+    return F.concat(F.substring(text, first + 1, start - first), F.lit("[["), F.substring(text, start + 1, stop - start), F.lit("]]"), F.substring(text, stop + 1, F.lit(after)))
+
+
 def with_context(spans: DataFrame, docs: DataFrame, width: int = 10) -> DataFrame:
     """spans with the text around each, width code points on either side, line ends and tabs as spaces."""
-    cut = F.expr(f"substring(text, int(greatest(start - {width}, 0)) + 1, int(least(stop + {width}, length(text)) - greatest(start - {width}, 0)))")
-    return spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("context", F.translate(cut, "\n\t", "  ")).drop("text")
+    return spans.join(docs.select("doc_id", "text"), "doc_id").withColumn("context", context_of(F.col("text"), width)).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import configure
+from . import configure, spread
 from .functions import dates as D
 from .operators import evaluate as E
 from .operators import filters as FI
@@ -14,6 +14,7 @@ from .operators import prepare as P
 from .operators import probes as PR
 from .operators import reports as R
 from .operators import spans as S
+from .operators.resolve import resolved
 from .plans.deidentify import deidentify
 from .plans.patterns import Pattern
 
@@ -60,6 +61,12 @@ def docs(spark, sf_dir) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
 
 
+def notes(spark, sf_dir) -> DataFrame:
+    """The notes as they are: what is resolved row by row needs no dealing, but where the table has fewer splits than there are cores."""
+    configure(spark)
+    return spread(t(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _sp(pattern: str, table: str = "documents", key: str = "doc_id") -> str:
     """SQL of doc_id, nth, start, stop, token."""
     p = "'" + pattern.replace("'", "''") + "'"
@@ -142,7 +149,7 @@ def regex_spans_lookaround(spark, sf_dir):
 
 @query("SELECT doc_id, 0::BIGINT AS start, len(text)::BIGINT AS stop FROM documents WHERE text <> ''")
 def match_all_spans(spark, sf_dir):
-    return FI.candidates(docs(spark, sf_dir), Pattern("all", "match_all", False))
+    return FI.candidates(notes(spark, sf_dir), Pattern("all", "match_all", False))
 
 
 _WORDS = "SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS word FROM benchmark"
@@ -168,7 +175,7 @@ def pos_counts(spark, sf_dir):
 
 @query(f"SELECT doc_id, start, stop FROM ({TOK}) WHERE {_POS} IN ('CD', 'VBG')")
 def pos_filter_spans(spark, sf_dir):
-    return FI.candidates(docs(spark, sf_dir), Pattern("pos", "pos_matcher", True, pos=("CD", "VBG")))
+    return FI.candidates(notes(spark, sf_dir), Pattern("pos", "pos_matcher", True, pos=("CD", "VBG")))
 
 
 _PROBES = "SELECT conv_id AS doc_id, text AS value FROM conversations"
@@ -176,7 +183,7 @@ _PROBES = "SELECT conv_id AS doc_id, text AS value FROM conversations"
 
 def _probes(spark, sf_dir):
     """Known identifiers per note: what the conversation of the same number says."""
-    return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("value"))
+    return t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("name").alias("kind"), F.col("text").alias("value"))
 
 
 _NO_NAMES = ", ".join(f"'{w}'" for w in PR.NO_NAMES)
@@ -190,12 +197,12 @@ def dynamic_set_spans(spark, sf_dir):
 
 @query(_PROBE_WORDS)
 def probe_words(spark, sf_dir):
-    return PR.words(_probes(spark, sf_dir).withColumn("kind", F.lit("name")))
+    return PR.words(_probes(spark, sf_dir))
 
 
 @query(f"""SELECT DISTINCT doc_id, w AS regex FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES})) WHERE (len(w) < 2 OR w IN ({_NO_NAMES})) AND NOT regexp_matches(w, '^[0-9]+$')""")
 def probe_short_words(spark, sf_dir):
-    return PR.short_words(_probes(spark, sf_dir).withColumn("kind", F.lit("name")))
+    return PR.short_words(_probes(spark, sf_dir))
 
 
 #: Known identifiers of three kinds that each note itself holds.
@@ -288,7 +295,7 @@ def span_remove(spark, sf_dir):
 
 @query(f"WITH {RESOLVED} SELECT doc_id, count(*) AS n, sum(stop - start)::BIGINT AS chars FROM inc GROUP BY doc_id")
 def include_exclude_resolution(spark, sf_dir):
-    inc, _ = FI.resolve(docs(spark, sf_dir), FLAGSHIP)
+    inc, _ = FI.accepted(notes(spark, sf_dir), FLAGSHIP)
     return inc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
 
 
@@ -300,8 +307,7 @@ def complement_spans(spark, sf_dir):
 
 @query(_masked_sql("'*****'"))
 def mask_documents(spark, sf_dir):
-    d, phi = _phi(spark, sf_dir)
-    return M.mask_tokens(d, phi)
+    return M.mask_rows(resolved(notes(spark, sf_dir), FLAGSHIP))
 
 
 @query(_masked_sql("regexp_replace(token, '[A-Za-z0-9*]', '*', 'g')"))
@@ -318,8 +324,7 @@ def mask_obscured(spark, sf_dir):
 
 @query(_masked_sql("'***' || CASE phi_type WHEN 'OTHER' THEN 'PHI' ELSE phi_type END || '***'"))
 def tag_replace(spark, sf_dir):
-    d, phi = _phi(spark, sf_dir)
-    return M.tagged(d, phi)
+    return M.mask_rows(resolved(notes(spark, sf_dir), FLAGSHIP), M.tag_put)
 
 
 @query(f"""WITH {RESOLVED}, n AS (SELECT doc_id, start, stop, phi_type, replace(replace(replace(replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS i FROM phi JOIN documents USING (doc_id))
@@ -653,7 +658,7 @@ def _job(spark, sf_dir):
     d = docs(spark, sf_dir)
     listed = [Pattern("known", "dynamic_set", True, "PROBEDYNAMICSET"), *FLAGSHIP[:-1], Pattern("year", "regex", True, "DATE", r"\b(?:19|20)[0-9]{2}\b"), Pattern("age", "regex", True, "AGE<90", r"\b[0-9]{1,2}(?= years)"), FLAGSHIP[-1]]
     meta = t(spark, sf_dir, "documents").select("doc_id", F.expr("int(doc_id % 700) + 365").alias("date_offset"), F.lit("1950-06-01").alias("birth_date"))
-    return deidentify(d, listed, _probes(spark, sf_dir).withColumn("kind", F.lit("name")), meta)
+    return deidentify(d, listed, _probes(spark, sf_dir), meta)
 
 
 @query()
@@ -673,7 +678,7 @@ def deidentify_log(spark, sf_dir):
 
 @query(f"WITH {RESOLVED} SELECT phi_type, count(*) AS n FROM phi GROUP BY phi_type")
 def phi_type_counts(spark, sf_dir):
-    return _phi(spark, sf_dir)[1].groupBy("phi_type").agg(F.count(F.lit(1)).alias("n"))
+    return FI.protected(notes(spark, sf_dir), FLAGSHIP).groupBy("phi_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SUM = f"""{RESOLVED}, summary AS (SELECT d.doc_id, strlen(d.text)::BIGINT AS file_size, coalesce(a.n, 0)::BIGINT AS total_tokens, coalesce(b.n, 0)::BIGINT AS phi_tokens FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM phi GROUP BY 1) b USING (doc_id))"""

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import filters, mask, spans
+from ..operators.mask import mask_rows
+from ..operators.resolve import resolved
 
 
-def mask_stream(notes: DataFrame, patterns, path: str, checkpoint: str, once: bool = True):
-    """Mask a stream of notes(doc_id, text) and append doc_id, text to parquet under path, exactly once per batch number."""
+def mask_stream(notes: DataFrame, patterns, path: str, checkpoint: str, once: bool = True, probes: DataFrame | None = None):
+    """Mask a stream of notes(doc_id, text) and append doc_id, text to parquet under path, exactly once by the file sink's log.
 
-    def batch(df: DataFrame, number: int) -> None:
-        held = spans.with_text(filters.protected(df, patterns), df)
-        mask.mask_tokens(df.select("doc_id", "text"), held).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = notes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    Every row is masked by itself, so the stream keeps no state and late or repeated notes are
+    masked like others; probes are a table, joined to the stream.
+    """
+    masked = mask_rows(resolved(notes.select("doc_id", "text"), patterns, probes))
+    writer = masked.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

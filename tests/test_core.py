@@ -39,7 +39,7 @@ def test_golden(spark, text, patterns, expected):
 
 
 def test_dynamic_and_context(spark):
-    probes = spark.createDataFrame([(1, "Smith"), (2, "Jones")], "doc_id long, value string")
+    probes = spark.createDataFrame([(1, "name", "Smith"), (2, "name", "Jones")], "doc_id long, kind string, value string")
     assert masked(spark, "Dr Smith saw Jones", [KEEP, Pattern("p", "dynamic_set", True, "NAME")], probes) == "Dr ***** saw Jones"
     left = [Pattern("n", "regex", False, regex=r"\b[a-z]+\b"), Pattern("c", "regex_context", False, regex=r" [A-Z]\w+", context="left")]
     assert masked(spark, "Ann Bell and Cole", left) == "***** Bell and Cole".replace("Cole", "*****")
@@ -109,7 +109,7 @@ def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "n" / "007_utf8.txt").write_bytes("café".encode())
     (tmp_path / "n" / "08.txt").write_bytes("café".encode("latin-1"))
     (tmp_path / "n" / "meta_data.txt").write_text("no")
-    assert {r["doc_id"]: r["text"] for r in sources.text_notes(spark, str(tmp_path / "n")).collect()} == {"7": "café", "8": "café"}
+    assert {(r["doc_id"], r["note_key"]): r["text"] for r in sources.text_notes(spark, str(tmp_path / "n")).collect()} == {("007_utf8.txt", "7"): "café", ("08.txt", "8"): "café"}
     (tmp_path / "w.json").write_text('{"NNP": 1, "DT": 2}')
     assert {r["word"] for r in sources.word_set(spark, str(tmp_path / "w.json")).collect()} == {"NNP", "DT"}
     (tmp_path / "9.xml").write_text('<doc><TEXT>Ann is 91</TEXT><TAGS><NAME id="P0" spans="0~3" text="Ann" TYPE="NAME" comment=""/><AGE id="P1" start="7" end="9" text="91" TYPE="AGE" comment=""/></TAGS></doc>')
