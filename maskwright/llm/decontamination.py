@@ -21,13 +21,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import row_key, table, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Widths of the blocks, and the bits by which one block may differ: all within 5 * 3 - 1 = 14 bits are found.
 BLOCKS, BLOCK_RADIUS = (13, 13, 13, 13, 12), 2
 RADIUS = len(BLOCKS) * (BLOCK_RADIUS + 1) - 1
-#: The benchmark's shingles or index entries are broadcast up to so many rows (of about 30 bytes), and shuffled beyond.
+#: The benchmark's shingles or index entries are broadcast up to so many rows (of about 30 bytes). Beyond, hashes and places
+#: (28 bytes a word of the corpus) are shuffled to meet them, with the same rows.
 BROADCAST_ROWS = 1_000_000
 _WORDS = "filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+', -1), w -> w <> '')"
 
@@ -84,20 +85,23 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     """
     ready = written(prepare(items), "items")
     sizes = [r["k"] for r in ready.select("k").distinct().orderBy("k").collect()]
-    texts = docs.select("doc_id", "text").where("text is not null").select("doc_id", F.expr(_WORDS).alias("words"))
-    found = None
+    texts = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").where("text is not null")
+    laid = None
     for k in sizes:
         at = ready.where(F.col("k") == k).select("item_id", "n_words", F.expr(f"explode(sequence(0, n_words - {k}))").alias("offset"), "words").select(F.expr(_shingle("words", "offset", k)).alias("h"), "offset", F.col("n_words").alias("size"), "item_id")
         gate = _bounded(written(at.distinct(), "gate"))
-        rows = texts.where(F.size("words") >= k).select("doc_id", "words", F.posexplode(F.slice("words", 1, F.size("words") - (k - 1))).alias("pos", "w"))
-        rows = rows.withColumn("h", F.expr(_shingle("words", "pos", k))).join(gate, "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("offset"), F.size("words") - F.col("size")))
-        rows = rows.withColumn("start", start).select("doc_id", "start", "size", F.expr("slice(words, start + 1, size)").alias("window"), F.lit(k).alias("k"), "item_id")
-        found = rows if found is None else found.unionByName(rows)
+        # only hashes of shingles and their places meet the gate, whichever way Spark joins them: no text is shuffled for it
+        hashes = f"get(transform(array({_WORDS}), words -> if(size(words) >= {k}, transform(sequence(0, size(words) - {k}), i -> {_shingle('words', 'i', k)}), null)), 0)"
+        rows = texts.select("key", F.expr(f"posexplode_outer({hashes})").alias("pos", "h"))
+        rows = rows.join(gate, "h").select("key", (F.col("pos") - F.col("offset")).alias("start"), "size", F.lit(k).alias("k"), "item_id")
+        laid = rows if laid is None else laid.unionByName(rows)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, start_word int, n_words int"
-    if found is None:
+    if laid is None:
         return docs.sparkSession.createDataFrame([], schema)
-    laid = written(found.distinct(), "windows")
+    hits = written(laid.groupBy("key").agg(F.collect_set(F.struct("start", "size", "k", "item_id")).alias("hits")), "hits")
+    hit = texts.join(hits, "key").select("doc_id", F.expr(_WORDS).alias("words"), "hits")
+    hit = hit.select("doc_id", "words", F.explode("hits").alias("x")).select("doc_id", "words", F.expr("greatest(0, least(x.start, size(words) - x.size))").alias("start"), "x.size", "x.k", "x.item_id")
+    laid = written(hit.select("doc_id", "start", "size", F.expr("slice(words, start + 1, size)").alias("window"), "k", "item_id").distinct(), "windows")
     windows = laid.drop("item_id").distinct().withColumn("fp", F.expr(_simhash("window")))
     keys = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(v).alias("value")) for i, _, v in _block_values("fp")])
     keyed = windows.withColumn("key", F.explode(keys))
@@ -116,10 +120,16 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """The best window of each document and benchmark item that are alike; see matches() for null, empty and repeated rows."""
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a benchmark passage."""
-    leaks = written(matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """docs without those that hold a benchmark passage.
+
+    Rows are judged by their own text: one of a null id goes if it holds a passage, and one
+    that shares its id with such a row stays if it holds none. Null and empty texts stay.
+    """
+    keyed = docs.withColumn("_mw_key", row_key("doc_id", "text"))
+    leaks = written(matches(keyed.select(F.col("_mw_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_mw_key")).distinct(), "leaks")
+    return keyed.join(leaks, "_mw_key", "left_anti").select(docs.columns)

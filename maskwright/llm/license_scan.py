@@ -52,6 +52,31 @@ _MIT = (
     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
     "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+    "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form "
+    "or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any "
+    "and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend "
+    "this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+    "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"
+)
+_BSL = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, "
+    "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all "
+    "subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in "
+    "all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code "
+    'generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER "
+    "IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 KNOWN = (
     ("MIT", _MIT),
     ("MIT", "MIT License " + _MIT),
@@ -61,6 +86,10 @@ KNOWN = (
     ("BSD-2-Clause", (_BSD_HEAD + _BSD_END).format("", "")),
     ("BSD-3-Clause", (_BSD_HEAD + _BSD_NAME + _BSD_END).format("1. ", "2. ", "3. ")),
     ("BSD-3-Clause", (_BSD_HEAD + _BSD_NAME + _BSD_END).format("", "", "")),
+    ("Zlib", _ZLIB),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BSL),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 " + _BSL),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -109,6 +138,11 @@ def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
+    """One row per document, licence and scope; see scan() for null, empty and repeated rows.
+
+    MIT, ISC, 0BSD, BSD, Zlib, Unlicense and BSL-1.0 are known by their entire texts, Apache, GPL
+    and Creative Commons by usual notices only; a caller passes other texts to known().
+    """
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), written(known(spark), "licenses"))
 
 
@@ -119,12 +153,12 @@ def _sql_canonical(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({low}, '{COPYRIGHT}', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
-#: The rows of op6_license_scan, except that it looks at lines with "licen" only, which ISC, 0BSD and BSD texts of one line lack.
+#: The rows of op6_license_scan.
 SQL = f"""
 WITH known AS (SELECT DISTINCT license_id, md5({_sql_canonical("text")}) AS digest FROM (VALUES {", ".join("('%s', '%s')" % (i, t.replace("'", "''")) for i, t in KNOWN)}) AS v(license_id, text)),
 units AS (
   SELECT doc_id, 'text' AS scope, md5({_sql_canonical("text")}) AS digest FROM documents
   UNION ALL
-  SELECT doc_id, 'line' AS scope, md5({_sql_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(translate(line, 'LICENSPDX', 'licenspdx'), 'licen'))
+  SELECT doc_id, 'line' AS scope, md5({_sql_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
 SELECT doc_id, license_id, scope, count(*) AS n FROM units JOIN known USING (digest) GROUP BY ALL
 """

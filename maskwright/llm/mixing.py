@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, row_key, table, written
 
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 #: Leading hex digits of the shuffle digest that name a bucket of a source; buckets of a unit of virtual time.
-ORDER_DIGITS, TIME_BUCKETS = 4, 8192
+ORDER_DIGITS, HEAD_DIGITS, TIME_BUCKETS = 4, 2, 8192
 
 
+#: Documents that the slot in which the budget ends may hold to be ordered in full; larger ones are divided again.
+SLOT = 100_000
 _KEY = "md5(coalesce(cast(doc_id as string), concat('text:', text), 'null'))"
 
 
@@ -41,63 +43,98 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return w.withColumn("level", held).select("source", "skey", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text), skey (source, never null) and key (the shuffle's digest)."""
+def sized(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """carry, doc_id, source, size (words of the whole text), skey (source, never null) and key (the shuffle's digest)."""
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("skey"),
         F.expr(_KEY).alias("key"),
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source, size, source_size, target, taken (words taken, repeats counted); one row per row of docs.
+def _starts(rows: DataFrame) -> DataFrame:
+    """(skey, bucket, start, source_size, target): words of the source before each bucket of the shuffle's digest.
+
+    Buckets are summed by their leading digits first, so a running sum goes over a source's
+    16 ** HEAD_DIGITS heads, or over one head's buckets, and no source's buckets are in one task.
+    """
+    head = F.substring("bucket", 1, HEAD_DIGITS).alias("head")
+    sums = written(rows.groupBy("skey", F.substring("key", 1, ORDER_DIGITS).alias("bucket")).agg(F.first("source").alias("source"), F.sum("size").alias("words")), "mix-sums")
+    heads = written(sums.groupBy("skey", head).agg(F.first("source").alias("source"), F.sum("words").alias("words")), "mix-heads")
+    goals = targets(heads.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
+    past = lambda order, *by: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifts = written(heads.select("skey", "head", past("head", "skey").alias("lift")).join(goals.drop("source"), "skey"), "mix-lifts")
+    within = sums.select("skey", head, "bucket", "words").withColumn("past", past("bucket", "skey", "head"))
+    return written(within.join(lifts, ["skey", "head"]).select("skey", "bucket", (F.col("past") + F.col("lift")).alias("start"), "source_size", "target"), "mix-starts")
+
+
+def _end(queue: DataFrame, budget: float, most: int = SLOT):
+    """The first place of queue(at, size) at which the running sum of sizes is over the budget; None if it never is.
+
+    Virtual time is divided into slots whose sums tell in which of them the budget ends; that
+    one is divided again while it holds over `most` documents of different times, and only
+    what is left is put in order in full.
+    """
+    place, start, rows = F.col("at.finish") * TIME_BUCKETS, 0, queue
+    while True:
+        now = rows.select("at", "size", F.least(F.floor(place), F.lit(2 * TIME_BUCKETS)).alias("slot"))
+        slots = now.groupBy("slot").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("at.finish").alias("low"), F.max("at.finish").alias("high"))
+        slots = slots.withColumn("start", F.lit(start) + F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        last = slots.where((F.col("start") <= budget) & (F.col("start") + F.col("words") > budget)).orderBy("slot").first()
+        if last is None:
+            return None
+        rows, start = now.where(F.col("slot") == last["slot"]).select("at", "size"), last["start"]
+        if last["n"] <= most or last["low"] == last["high"]:
+            break
+        place = (F.col("at.finish") - F.lit(last["low"])) / F.lit(last["high"] - last["low"]) * TIME_BUCKETS
+    over = rows.withColumn("cum", F.lit(start) + F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
+    return over.where(F.col("cum") > budget).agg(F.min("at").alias("at")).first()["at"]
+
+
+def mix(docs: DataFrame, carry: tuple[str, ...] = (), slot: int = SLOT) -> DataFrame:
+    """carry, doc_id, source, size, source_size, target, taken (words taken, repeats counted); one row per row of docs.
 
     A null text has no words; a null source is a source of its own, after the others. Rows of
-    equal id and size tie and are taken or left together. Reruns give the same rows.
+    equal id and size tie and are taken or left together; rows of one id and unlike texts have
+    their own sizes. Very long texts count whole. Reruns give the same rows; an empty table
+    gives none, and columns of docs other than carry, doc_id, text and source are not read.
     """
-    rows = written(sized(docs), "mix-sizes")
-    bucket = F.substring("key", 1, ORDER_DIGITS)
-    sums = rows.groupBy("skey", bucket.alias("bucket")).agg(F.first("source").alias("source"), F.sum("size").alias("words"))
-    sums = written(sums, "mix-sums")
-    goals = targets(sums.groupBy("skey").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = written(sums.select("skey", "bucket", before.alias("start")).join(goals.drop("source"), "skey"), "mix-starts")
+    rows = written(sized(docs, carry), "mix-sizes")
+    starts = _starts(rows)
     within = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)
-    ran = rows.withColumn("bucket", bucket).join(starts, ["skey", "bucket"]).withColumn("cum", F.col("start") + F.sum("size").over(within))
-    ran = written(ran.select("doc_id", "key", "source", "skey", "size", "source_size", "target", "cum"), "mix-order")
+    ran = rows.withColumn("bucket", F.substring("key", 1, ORDER_DIGITS)).join(starts, ["skey", "bucket"]).withColumn("cum", F.col("start") + F.sum("size").over(within))
+    ran = written(ran.select(*carry, "doc_id", "key", "source", "skey", "size", "source_size", "target", "cum"), "mix-order")
 
     def place(epoch):
         finish = F.coalesce((F.col("cum") + epoch * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0))
         return F.struct(finish.alias("finish"), "skey", "key", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id"), "size")
 
-    budget = float(goals.agg(F.sum("target")).first()[0] or 0.0)
-    queue = ran.select(F.explode(F.array(*[place(F.lit(e)) for e in range(EPOCHS)])).alias("at"), "size").withColumn("slot", F.least(F.floor(F.col("at.finish") * TIME_BUCKETS), F.lit(2 * TIME_BUCKETS)))
-    slots = queue.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("start", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    last = slots.where((F.col("start") <= budget) & (F.col("start") + F.col("words") > budget)).orderBy("slot").first()
+    budget = float(starts.select("skey", "target").distinct().agg(F.sum("target")).first()[0] or 0.0)
+    queue = ran.where("size > 0").select(F.explode(F.array(*[place(F.lit(e)) for e in range(EPOCHS)])).alias("at"), "size")
+    cut = _end(queue, budget, slot)
     took = F.lit(EPOCHS)
-    if last:
-        # Only the slot in which the budget ends needs its order in full.
-        over = queue.where(F.col("slot") == last["slot"]).withColumn("cum", F.lit(last["start"]) + F.sum("size").over(Window.partitionBy("slot").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)))
-        cut = over.where(F.col("cum") > budget).agg(F.min("at").alias("at")).first()["at"]
+    if cut is not None:
         end = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["skey"]).alias("skey"), F.lit(cut["key"]).alias("key"), F.lit(cut["id"]).cast("long").alias("id"), F.lit(cut["size"]).cast("long").alias("size"))
         took = sum((F.when(place(F.lit(e)) < end, 1).otherwise(0) for e in range(EPOCHS)), F.lit(0))
-    return ran.select("doc_id", "key", "source", "size", "source_size", "target", (F.col("size") * took).cast("long").alias("taken"))
+    return ran.select(*carry, "doc_id", "source", "size", "source_size", "target", (F.col("size") * took).cast("long").alias("taken"))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """One row per document; see mix() for null, empty, tied and repeated rows."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their words, their source's target, and how often each is taken.
 
-    Columns of docs that bear the name of one of these are replaced by it.
+    Rows are told apart by id, source and text, so each has its own size. Columns of docs that
+    bear the name of one of these are replaced by it.
     """
     new = ["size", "source_size", "target", "taken"]
-    mixed = written(mix(docs).where("taken > 0").select(F.col("key").alias("_key"), *new).dropDuplicates(["_key"]), "mixed")
-    own = docs.select([c for c in docs.columns if c not in (*new, "repeats")]).withColumn("_key", F.expr(_KEY))
-    return own.join(mixed, "_key").drop("_key").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
+    keyed = docs.withColumn("_mw_key", row_key("doc_id", "source", "text"))
+    mixed = written(mix(keyed, ("_mw_key",)).where("taken > 0").select("_mw_key", *new).distinct(), "mixed")
+    own = keyed.select([c for c in keyed.columns if c not in (*new, "repeats")])
+    return own.join(mixed, "_mw_key").drop("_mw_key").withColumn("repeats", (F.col("taken") / F.col("size")).cast("int"))
 
 
 #: The rows of op4_mix_sources.

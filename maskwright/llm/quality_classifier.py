@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, table
+from .common import map_arrow, n_partitions, table
+from .quality_rules import labelled
 
 #: Buckets of words, width of the vectors, non-zeros of an index vector, words of context on either side.
 BUCKETS, WIDTH, NONZERO, REACH = 8192, 64, 2, 2
@@ -111,7 +112,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 sums[part] = sums.get(part, 0) + np.frombuffer(blob, np.float32).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float64).tobytes() for v in sums.values()], pa.binary())], names=["part", "sums"])
 
-    parts = docs.select("text").mapInArrow(gather, "part int, sums binary")
+    parts = map_arrow(docs.select("text"), gather, "part int, sums binary")
     n = min(n_partitions(docs.sparkSession), BUCKETS // _CHUNK)
     out = np.zeros((BUCKETS // _CHUNK, _CHUNK * WIDTH))
     for r in parts.repartition(n, "part").mapInArrow(add, "part int, sums binary").collect():  # BUCKETS * WIDTH numbers in all
@@ -187,9 +188,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate:
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted on at most sample_rows labelled documents, taken by the hash of their id, of those whose crc32 mod 3 is not 1."""
-    order = F.xxhash64("doc_id")
-    usable = labels.where("doc_id is not null and quality is not null and crc32(cast(doc_id as string)) % 3 <> 1")
-    sample = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label")).orderBy(order, "doc_id").limit(sample_rows)
+    order, sample = F.xxhash64("doc_id"), labelled(docs, labels, sample_rows, "crc32(cast(doc_id as string)) % 3 <> 1")
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
@@ -199,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample_rows:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array(x, pa.binary())], names=["doc_id", "_label", "x"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "_label", "text")
-    rows = found.mapInArrow(run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, _label int, x binary").orderBy(order, "doc_id", "x").limit(sample_rows).collect()  # bounded by sample_rows
+    rows = map_arrow(found, run, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, _label int, x binary").orderBy(order, "doc_id", "x").limit(sample_rows).collect()  # bounded by sample_rows
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(-1, INPUTS).astype(float)
     return fit(x, np.array([r["_label"] > 0 for r in rows], float))
 
@@ -208,7 +207,8 @@ def classify(docs: DataFrame, net: Network, vectors: np.ndarray) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of docs.
 
     Null and empty texts are scored on inputs that are all zero. held_out is false for a null
-    id. Other columns of docs are not read.
+    id; repeated rows have a row each. Very long texts are read whole, a step at a time; an
+    empty table gives no rows. Other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     rows = docs.select("doc_id", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)).alias("held_out"), "text")
@@ -220,10 +220,11 @@ def classify(docs: DataFrame, net: Network, vectors: np.ndarray) -> DataFrame:
             score = net.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """One row per document; see classify() for null, empty and repeated rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vectors = word_vectors(docs)
     return classify(docs, train(docs, table(spark, sf_dir, "labels"), vectors), vectors)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "mean_word", "symbols_per_word", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "bang_per_word", "digit_share", "pipe_per_word", "longest_run_share", "words_per_line")
@@ -164,28 +164,44 @@ def stats_of(docs: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFram
             feats = np.array([x[1] for x in found], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, *carry)), *(pa.array(c) for c in base.T), *(pa.array(c) for c in feats.T)], names=[key, *carry, *BASE, *FEATURES])
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int, usable: str = "true") -> DataFrame:
+    """doc_id and _label of at most sample_rows labelled documents that docs holds, taken by the hash of their id.
+
+    Labels with a null id or quality are passed over; of several of a document the smallest counts.
+    """
+    known = labels.where(f"doc_id is not null and quality is not null and {usable}").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
+    return docs.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Trees fitted on at most sample_rows labelled documents, taken by the hash of their id.
 
-    Labels with a null id or quality are passed over; of several labels of a document the
-    smallest counts. The sample, bounded by sample_rows, is all that is broadcast or collected.
+    The sample, bounded by sample_rows, is all that is broadcast or collected.
     """
-    order = F.xxhash64("doc_id")
-    sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label")).orderBy(order, "doc_id").limit(sample_rows)
+    order, sample = F.xxhash64("doc_id"), labelled(docs, labels, sample_rows)
     rows = stats_of(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", ("_label",)).orderBy(order, "doc_id", "n_words", "word_chars").limit(sample_rows).toPandas()
     signs = np.array([MONOTONE.get(f, 0) for f in FEATURES])
     return fit_trees(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), (rows["_label"].to_numpy() > 0).astype(float), signs)
 
 
+def _verdicts(trees: Trees, texts, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base counts, base_failed, score and kept of a column of texts."""
+    found = [document_stats(t.as_py()) for t in texts]
+    base = np.array([x[0] for x in found], np.int64).reshape(-1, len(BASE))
+    score = trees.score(np.array([x[1] for x in found], float).reshape(-1, len(FEATURES)))
+    failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
+    return base, failed, score, ~failed & (score >= threshold)
+
+
 def judge(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     Null and empty texts have no words and fail the base rule. Each row of docs is judged by
-    itself; repeated ids give repeated rows and a null id stays null. Other columns of docs
-    are not read.
+    itself; repeated ids give repeated rows and a null id stays null. Very long texts are read
+    whole; an empty table gives no rows. Other columns of docs are not read.
     """
     kept = docs.select("doc_id", "text")
     names = ["doc_id", *BASE, "base_failed", "score", "kept"]
@@ -193,29 +209,24 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [document_stats(t.as_py()) for t in b.column("text")]
-            base = np.array([x[0] for x in found], np.int64).reshape(-1, len(BASE))
-            score = trees.score(np.array([x[1] for x in found], float).reshape(-1, len(FEATURES)))
-            failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], names=names)
+            base, failed, score, good = _verdicts(trees, b.column("text"), threshold)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c) for c in base.T), pa.array(failed), pa.array(score), pa.array(good)], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """One row per document; see judge() for null, empty and repeated rows."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the rules reject. Rows are matched by the text itself, which is judged in place."""
+def stage(spark, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    """docs without those that the rules reject, null and empty texts among them. Each row is judged by its own text, whatever its id."""
     trees = train(docs, table(spark, sf_dir, "labels"))
 
     def run(batches):
         for b in batches:
-            found = [document_stats(t.as_py()) for t in b.column("text")]
-            base = np.array([x[0] for x in found], np.int64).reshape(-1, len(BASE))
-            score = trees.score(np.array([x[1] for x in found], float).reshape(-1, len(FEATURES)))
-            yield b.filter(pa.array((base[:, 0] >= 50) & (100 * base[:, 4] <= 50 * base[:, 0]) & (score >= 0.5)))
+            yield b.filter(pa.array(_verdicts(trees, b.column("text"), threshold)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

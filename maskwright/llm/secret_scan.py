@@ -1,8 +1,10 @@
 """Secret scans through an incremental blob ledger, in DataFrame operations only.
 
-Every version of every path is addressed by the SHA-256 of its content. The ledger holds the
-(blob, rule, rule version) triples scanned so far with what was found; only unseen triples
-are scanned, each distinct blob once, and findings are joined back to all paths.
+Every version of every path is addressed by the SHA-256 of its content. The ledger holds, a
+row per blob and scan, the rule versions that the blob was scanned by together with what they
+found; only unseen pairs of blob and rule version are scanned, each distinct blob once, and
+findings are joined back to all paths. A row says both at once, so a scan that is cut off
+leaves whole rows or none, and can be run again.
 """
 
 from __future__ import annotations
@@ -26,22 +28,30 @@ class Rule:
     keep: str
     hint: str
 
+    @property
+    def id(self) -> str:
+        return f"{self.kind}/{self.version}"
+
 
 _ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key to its END line, or, where that is missing, with the headers and the base64 that follow.
+_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\t\r\n]*(?:-[A-Za-z0-9+/=:,\x20\t\r\n]+){0,8}-----END [A-Z0-9 ]*PRIVATE KEY-----|(?:[\x20\t\r\n]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,3}[\x20\t\r\n]*[A-Za-z0-9+/=\r\n]*)"
+#: User and password in a url; a longer scheme is matched by its end.
+_URLAUTH = r"[a-z][a-z0-9+]{1,30}://[^\s/:@]+:[^\s/:@]{3,}@"
 #: In the order in which spans that start together are listed; the first three are the base rules.
 RULES = (
     Rule("assign", 2, _ASSIGN, r"""length(regexp_extract(m, r'[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)\z', 1)) >= 8""", r"text rlike r'(?i)password|passwd|secret|token|api_?key'"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", "length(m) >= 16", "contains(text, 'AKIA')"),
     Rule("hex", 1, r"[0-9a-f]{32,}", "true", "text rlike '[0-9a-f]{32}'"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "true", "contains(text, 'PRIVATE KEY-----')"),
+    Rule("pem", 2, _PEM, "true", "contains(text, 'PRIVATE KEY-----')"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true", "contains(text, 'eyJ')"),
     Rule("pat", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", "true", "contains(text, 'gh')"),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", "true", "contains(text, 'xox')"),
-    Rule("urlauth", 1, r"[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", "true", "contains(text, '://')"),
+    Rule("urlauth", 2, _URLAUTH, "true", "contains(text, '://')"),
 )
 BASE = ("assign", "access", "hex")
 BLOB = "sha2(coalesce(text, ''), 256)"
-LEDGER = "blob string, kind string, version int, starts array<int>, ends array<int>"
+LEDGER = "blob string, rules array<string>, found array<struct<rule:string,start:int,end:int>>"
 
 
 def _lit(s: str) -> str:
@@ -58,79 +68,69 @@ def _found(rule: Rule) -> str:
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """blobs(blob, text) to LEDGER rows: where each rule keeps a match, in code points, end exclusive. Blobs without one have no row."""
-    pairs = [F.struct(F.lit(i).alias("rule"), F.expr(_found(r)).alias("found")) for i, r in enumerate(rules)]
-    hits = blobs.select("blob", F.explode(F.filter(F.array(*pairs), lambda x: F.size(x["found"]) > 1)).alias("x"))
-    each = hits.select("blob", F.col("x.rule").alias("rule"), F.posexplode("x.found").alias("nth", "at")).toDF("blob", "rule", "nth", "at")
-    each = each.select("blob", "rule", "nth", F.col("at").getField("0").alias("gap"), F.col("at").getField("1").alias("m"))
+    """blobs(blob, text, rules: ids of those to scan by) to LEDGER rows, one per blob: where each rule keeps a match, in code points, end exclusive."""
+    pairs = [F.when(F.array_contains("rules", r.id), F.struct(F.lit(i).alias("rule"), F.expr(_found(r)).alias("found"))) for i, r in enumerate(rules)]
+    hits = blobs.select("blob", "rules", F.explode_outer(F.filter(F.array(*pairs), lambda x: F.size(x["found"]) > 1)).alias("x"))
+    each = hits.select("blob", "rules", F.col("x.rule").alias("rule"), F.posexplode_outer("x.found").alias("nth", "at")).toDF("blob", "rules", "rule", "nth", "at")
+    each = each.select("blob", "rules", "rule", "nth", F.col("at").getField("0").alias("gap"), F.col("at").getField("1").alias("m"))
     long = F.coalesce(F.length("m"), F.lit(0))
     end = F.sum(F.col("gap") + long).over(Window.partitionBy("blob", "rule").orderBy("nth"))
-    spans = each.withColumn("end", end).withColumn("start", F.col("end") - long).where("m is not null")
+    spans = each.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - long).cast("int"))
     keep = reduce(lambda a, b: a | b, [(F.col("rule") == i) & F.expr(r.keep) for i, r in enumerate(rules)])
-    kept = spans.where(keep).groupBy("blob", "rule").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias("x"))
-    name = lambda f: F.get(F.array(*[F.lit(getattr(r, f)) for r in rules]), F.col("rule"))
-    return kept.select("blob", name("kind").alias("kind"), name("version").alias("version"), F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
+    name = F.get(F.array(*[F.lit(r.id) for r in rules]), F.col("rule"))
+    kept = F.when(F.col("m").isNotNull() & keep, F.struct(name.alias("rule"), "start", "end"))
+    return spans.groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(kept).alias("found"))
 
 
 class Ledger:
-    """Written tables at `path` in the shared folder: seen (blob, kind, version) and findings (LEDGER)."""
+    """A written table of LEDGER rows at `path` in the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "ledger")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        spark, path = self.spark, f"{self.path}/{name}"
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return spark.read.schema(schema).parquet(path)
-        return spark.createDataFrame([], schema)
+    def _scans(self) -> DataFrame | None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(LEDGER).parquet(self.path) if there else None
 
     def seen(self) -> DataFrame:
-        return self._read("seen", "blob string, kind string, version int")
+        """(blob, rule), distinct: the pairs scanned so far."""
+        scans = self._scans()
+        if scans is None:
+            return self.spark.createDataFrame([], "blob string, rule string")
+        return scans.select("blob", F.explode("rules").alias("rule")).distinct()
 
     def findings(self) -> DataFrame:
-        return self._read("findings", LEDGER)
+        """(blob, rule, start, end), distinct: two scans of one pair, as two jobs at a time may make, count once."""
+        scans = self._scans()
+        if scans is None:
+            return self.spark.createDataFrame([], "blob string, rule string, start int, end int")
+        return scans.select("blob", F.inline("found")).distinct()
 
     def update(self, versions: DataFrame, rules=RULES) -> None:
-        """Scan what of versions(text) the ledger has not seen under these rules.
+        """Scan what of versions(text) the ledger has not seen under these rules, and append that in one write.
 
-        Distinct blobs are pre-aggregated before they are shuffled. Rules whose unseen blobs
-        differ are scanned in groups of equal need: new rules over all, old ones over new blobs.
+        Distinct blobs are pre-aggregated before they are shuffled; a blob is scanned by the
+        rules that it lacks only.
         """
-        addressed = versions.select(F.expr(BLOB).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        known = {(r["kind"], r["version"]) for r in self.seen().select("kind", "version").distinct().collect()}
-        fresh = [r for r in rules if (r.kind, r.version) not in known]
-        old = [r for r in rules if (r.kind, r.version) in known]
-        for part in (fresh, old):
-            if not part:
-                continue
-            ids = addressed
-            if part is old:
-                # A blob counts as seen only under all of the old rules; a partly seen one is scanned again for those it lacks.
-                names = self.spark.createDataFrame([(r.kind, r.version) for r in part], "kind string, version int")
-                full = self.seen().join(F.broadcast(names), ["kind", "version"]).groupBy("blob").count().where(F.col("count") >= len(part))
-                ids = addressed.join(full, "blob", "left_anti")
-            blobs = ids.groupBy("blob").agg(F.first("text").alias("text"))
-            found = scan(blobs, part)
-            if part is old:
-                found = found.join(self.seen(), ["blob", "kind", "version"], "left_anti").select("blob", "kind", "version", "starts", "ends")
-            found.write.mode("append").parquet(f"{self.path}/findings")
-            pairs = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in part])).alias("r")
-            now = ids.select("blob").distinct().select("blob", pairs).select("blob", "r.kind", "r.version")
-            if part is old:
-                now = now.join(written(self.seen(), "seen"), ["blob", "kind", "version"], "left_anti").select("blob", "kind", "version")
-            now.write.mode("append").parquet(f"{self.path}/seen")
+        blobs = versions.select(F.expr(BLOB).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        all_ = F.array(*[F.lit(r.id) for r in rules])
+        scans = self._scans()
+        if scans is None:
+            lacking = blobs.withColumn("rules", all_)
+        else:
+            had = scans.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("had"))
+            lacking = blobs.join(had, "blob", "left").withColumn("rules", F.array_except(all_, F.coalesce("had", F.expr("cast(array() as array<string>)")))).where("size(rules) > 0")
+        scan(lacking.select("blob", "text", "rules"), rules).write.mode("append").parquet(self.path)
 
 
 def findings_by_path(docs: DataFrame, ledger: Ledger, rules=RULES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry, spans (array of start, rule, end by start, then rule as listed); one row per row of docs."""
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind}/{r.version}"), F.lit(i))])
-    rows = ledger.findings().withColumn("rule", rank[F.concat_ws("/", "kind", "version")]).where("rule is not null")
-    rows = rows.select("blob", F.explode(F.arrays_zip("starts", "ends")).alias("x"), "rule").select("blob", F.struct(F.col("x.starts").alias("start"), "rule", F.col("x.ends").alias("end")).alias("x"))
-    by_blob = written(rows.groupBy("blob").agg(F.array_sort(F.collect_list("x")).alias("_spans")), "by-blob")
+    """carry, _mw_spans (array of start, rule, end by start, then rule as listed); one row per row of docs."""
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.id), F.lit(i))])
+    rows = ledger.findings().withColumn("rule", rank[F.col("rule")]).where("rule is not null")
+    by_blob = written(rows.groupBy(F.col("blob").alias("_mw_blob")).agg(F.array_sort(F.collect_list(F.struct("start", "rule", "end"))).alias("_mw_spans")), "by-blob")
     none = F.expr("cast(array() as array<struct<start:int,rule:int,end:int>>)")
-    return docs.select(*carry, F.expr(BLOB).alias("_blob")).join(by_blob.withColumnRenamed("blob", "_blob"), "_blob", "left").select(*carry, F.coalesce("_spans", none).alias("_spans"))
+    return docs.select(*carry, F.expr(BLOB).alias("_mw_blob")).join(by_blob, "_mw_blob", "left").select(*carry, F.coalesce("_mw_spans", none).alias("_mw_spans"))
 
 
 def spans_text(spans, rules=RULES):
@@ -148,25 +148,29 @@ def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     ledger = Ledger(spark)
     ledger.update(docs)
     rows = findings_by_path(docs, ledger)
-    count = lambda i: F.size(F.filter("_spans", lambda x: x["rule"] == i)).cast("long")
-    base = F.filter("_spans", lambda x: x["rule"] < len(BASE))
-    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("_spans")).alias("spans"))
+    count = lambda i: F.size(F.filter("_mw_spans", lambda x: x["rule"] == i)).cast("long")
+    base = F.filter("_mw_spans", lambda x: x["rule"] < len(BASE))
+    return rows.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("_mw_spans")).alias("spans"))
 
 
 def masked(docs: DataFrame, ledger: Ledger, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span of its text put out by the mark (overlapping spans by one) and n_chars, where present, counted anew."""
-    rows = findings_by_path(docs, ledger, carry=tuple(docs.columns))
+    # the columns of docs travel as one struct, so that they may bear any names
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    rows = findings_by_path(whole, ledger, carry=("row",))
+    own = F.col("row")["text"]
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, x: F.struct(
-        F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
+        F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(own, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], x["end"]).alias("at"),
     )
-    tail = lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text")))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, tail)).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    tail = lambda a: F.concat(a["out"], F.substring(own, a["at"] + 1, F.length(own)))
+    hit = F.size("_mw_spans") > 0
+    new = {"text": F.when(hit, F.aggregate("_mw_spans", start, step, tail)).otherwise(own)}
+    rows = rows.withColumn("text", new["text"])
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(hit, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[(F.col("text") if c == "text" else new.get(c, F.col("row")[c])).alias(c) for c in docs.columns])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -190,11 +194,11 @@ _SQL_RULES = (
     ("assign", rf"""'(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["{_Q}]?\x20*[:=]\x20*["{_Q}]?[A-Za-z0-9+/_.=-]+'""", rf"""len(regexp_extract(m, '[:=]\x20*["{_Q}]?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8"""),
     ("access", "'AKIA[A-Z0-9]+'", "len(m) >= 16"),
     ("hex", "'[0-9a-f]{32,}'", "true"),
-    ("pem", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'", "true"),
+    ("pem", f"'{_PEM}'", "true"),
     ("jwt", r"'eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'", "true"),
     ("pat", "'gh[pousr]_[A-Za-z0-9]{36,}'", "true"),
     ("chat", "'xox[abprs]-[A-Za-z0-9-]{10,}'", "true"),
-    ("urlauth", r"'[a-z][a-z0-9+]{1,9}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@'", "true"),
+    ("urlauth", f"'{_URLAUTH}'", "true"),
 )
 #: The rows of op2_secret_scan.
 SQL = f"""

@@ -7,7 +7,9 @@ within r of it, hence within 2r of each other, which is checked again on the pai
 
 The shuffle is by the variants' leading bits (a cell): a fingerprint goes once to each cell
 that holds some of its variants, with the flips it has left, and the variants are written
-out only there, in blocks of bounded size. Within a task links become stars on the least
+out only there, in blocks of bounded size. Cells that hold far more fingerprints than others,
+as those of a large family of near copies do, are split by further bits before the shuffle.
+A task takes its cells one after the other; within a cell links become stars on the least
 member, so a group of n gives about n links, not n * n.
 """
 
@@ -22,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, n_partitions, table, written
+from .common import ASCII_LOWER, map_arrow, n_partitions, row_key, table, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Variants held at once in a task.
 BLOCK = 2_000_000
+#: Fingerprints that a cell may hold; by how many further bits a larger one is split at a time.
+CELL, SPLIT_BITS = 100_000, 4
 _STEP = 1 << 16
 
 
@@ -49,16 +53,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > spans).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long), one row per row of docs; null texts have fingerprint zero."""
-    kept = docs.select("doc_id", "text")
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry and fp (the fingerprint as a signed long), one row per row of docs; null texts have fingerprint zero."""
+    kept = docs.select(*carry, "text")
 
     def run(batches):
         for b in batches:
             found = np.array([fingerprint(t.as_py()) for t in b.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(found)], names=[*carry, "fp"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(kept, run, ", ".join([*(f"{c} {kept.schema[c].dataType.simpleString()}" for c in carry), "fp long"]))
 
 
 def cell_bits(n: int, half: int = RADIUS // 2) -> int:
@@ -117,18 +121,35 @@ def meetings(fps: np.ndarray, left: np.ndarray, free: int, block: int = BLOCK):
         yield pairs[:, 0], pairs[:, 1]
 
 
-def links(nodes: DataFrame, bits: int, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """nodes(fp), distinct, to stars (a, b) with b < a: what meets within the radius, at most one row per member and task."""
-    half = radius // 2
-    masks = [sum(1 << b for b in c) for i in range(half + 1) for c in combinations(range(bits), i)]
-    cells = F.array(*[F.struct(F.expr(f"int(shiftrightunsigned(fp, {64 - bits})) ^ {m}").alias("cell"), F.lit(half - m.bit_count()).cast("int").alias("flips")) for m in masks])
-    dealt = nodes.select("fp", F.inline(cells)).repartition(max(n_partitions(nodes.sparkSession), 1 << max(0, bits - 5)), "cell")
+def _flipped(bits: int, most: int) -> list[int]:
+    return [sum(1 << b for b in c) for i in range(most + 1) for c in combinations(range(bits), i)]
 
-    def run(batches):
-        got = [(b.column("fp").to_numpy(), b.column("flips").to_numpy(), b.column("cell").to_numpy()) for b in batches]
-        if not got:
-            return
-        fp, flips, cell = (np.concatenate(x) for x in zip(*got, strict=True))
+
+def cells(nodes: DataFrame, bits: int, radius: int = RADIUS, most: int = CELL) -> DataFrame:
+    """(fp, cell, free, flips): nodes(fp) once per cell that holds some of its variants, with the flips left for the `free` bits below.
+
+    Cells of more than `most` are split by SPLIT_BITS at a time until none is, or their bits are used up.
+    """
+    half = radius // 2
+    start = F.array(*[F.struct(F.expr(f"shiftrightunsigned(fp, {64 - bits}) ^ {m}L").alias("cell"), F.lit(half - m.bit_count()).alias("flips")) for m in _flipped(bits, half)])
+    rows = nodes.select("fp", F.inline(start)).select("fp", "cell", F.lit(64 - bits).alias("free"), "flips")
+    small = None
+    while True:
+        heavy = written(rows.groupBy("cell", "free").count().where((F.col("count") > most) & (F.col("free") > SPLIT_BITS)).select("cell", "free"), "heavy-cells")
+        if heavy.isEmpty():
+            return rows if small is None else small.unionByName(rows)
+        light = rows.join(heavy, ["cell", "free"], "left_anti").select("fp", "cell", "free", "flips")
+        small = light if small is None else small.unionByName(light)
+        own = F.expr(f"shiftleft(cell, {SPLIT_BITS}) | (shiftrightunsigned(fp, free - {SPLIT_BITS}) & {(1 << SPLIT_BITS) - 1}L)")
+        parts = F.filter(F.array(*[F.struct(own.bitwiseXOR(F.lit(m)).alias("cell"), (F.col("free") - SPLIT_BITS).alias("free"), (F.col("flips") - m.bit_count()).alias("flips")) for m in _flipped(SPLIT_BITS, half)]), lambda x: x["flips"] >= 0)
+        rows = written(rows.join(heavy, ["cell", "free"], "left_semi").select("fp", F.inline(parts)), "split-cells")
+
+
+def links(nodes: DataFrame, bits: int, radius: int = RADIUS, block: int = BLOCK, most: int = CELL) -> DataFrame:
+    """nodes(fp), distinct, to stars (a, b) with b < a: what meets within the radius, at most one row per member and cell."""
+    dealt = cells(nodes, bits, radius, most).repartition(max(n_partitions(nodes.sparkSession), 1 << max(0, bits - 5)), "cell", "free").sortWithinPartitions("cell", "free", "fp")
+
+    def stars(fp: np.ndarray, flips: np.ndarray, free: int):
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -136,51 +157,81 @@ def links(nodes: DataFrame, bits: int, radius: int = RADIUS, block: int = BLOCK)
                 parent[x] = x = parent.get(up, up)
             return x
 
-        order = np.lexsort((fp, cell))
-        fp, flips, cell = fp[order], flips[order], cell[order]
-        for own in np.split(np.arange(len(fp)), np.flatnonzero(np.diff(cell)) + 1):
-            own_fp = fp[own]
-            for a, b in meetings(own_fp.view(np.uint64), flips[own], 64 - bits, block):
-                near = np.bitwise_count((own_fp[a] ^ own_fp[b]).view(np.uint64)) <= radius
-                for x, y in zip(own_fp[a][near].tolist(), own_fp[b][near].tolist(), strict=True):
-                    x, y = root(x), root(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-        if parent:
-            a = list(parent)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([root(x) for x in a], pa.int64())], names=["a", "b"])
+        for a, b in meetings(fp.view(np.uint64), flips, free, block):
+            near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= radius
+            for x, y in zip(fp[a][near].tolist(), fp[b][near].tolist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        return list(parent), [root(x) for x in parent]
 
-    return dealt.mapInArrow(run, "a long, b long")
+    def run(batches):
+        wait, last = [], None  # the rows of one cell, which may reach over batches
+
+        def flush():
+            a, b = stars(*(np.concatenate(x) for x in zip(*wait, strict=True)), last[1])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            fp, flips, cell, free = (batch.column(c).to_numpy() for c in ("fp", "flips", "cell", "free"))
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(free) != 0)) + 1).tolist(), len(fp)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                own = (int(cell[i]), int(free[i]))
+                if wait and own != last:
+                    yield flush()
+                    wait.clear()
+                wait.append((fp[i:j].copy(), flips[i:j].copy()))
+                last = own
+        if wait:
+            yield flush()
+
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def classes(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """carry (doc_id among it), fp, root (a fingerprint that stands for the component) and component_id, one row per row of docs."""
+    rows = written(fingerprints(docs, carry), "fingerprints")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
+    roots = components(links(nodes.select("fp"), cell_bits(nodes.count())))
+    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "fp-least")
+    found = written(rooted.join(least, "root").select("fp", "root", "component_id"), "fp-classes")
+    return rows.join(found, "fp").select(*carry, "fp", "root", "component_id")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the least id of all that links reach), one row per row of docs.
 
     Null and empty texts have fingerprint zero and are linked like any others; a null doc_id
-    has a row but is no component's least id unless all are null. An empty table gives no rows.
+    has a row but is no component's least id unless all are null. Repeated rows have a row
+    each, repeated ids of unlike texts the component of their own text. Very long texts are
+    read whole. An empty table gives no rows; other columns are not read.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp-nodes")
-    roots = components(links(nodes.select("fp"), cell_bits(nodes.count())))
-    rooted = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "fp-roots")
-    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "fp-least")
-    classes = written(rooted.join(least, "root").select("fp", "component_id"), "fp-classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classes(docs).drop("root")
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per document; see groups() for null, empty and repeated rows."""
     return groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group of near copies: the one of the least id.
+    """docs with one row of each group of near copies: the one of the least id, null ids last.
 
-    Of repeated rows of that id one stays; a row whose id is null stays, as nothing names it.
+    Rows are told apart by id and text, so an id on unlike texts loses none of them but copies.
+    Of several texts of the least id that are near copies one stays; of rows that repeat id and
+    text the one whose columns have the least hash. A group without any id keeps one row.
     """
-    found = groups(docs)
-    drop = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    named = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    twice = written(named.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    keyed = docs.withColumn("_mw_key", row_key("doc_id", "text"))
+    found = written(classes(keyed, ("doc_id", "_mw_key")).groupBy("root", "doc_id", "_mw_key").count(), "near-copies")
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_mw_key"))["_mw_key"].alias("_mw_best"))
+    judged = written(found.join(best, "root").select("_mw_key", (F.col("_mw_key") == F.col("_mw_best")).alias("stays"), "count"), "judged-copies")
+    kept = keyed.join(judged.where("not stays").select("_mw_key"), "_mw_key", "left_anti")
+    twice = judged.where("stays and count > 1").select("_mw_key")
     if twice.isEmpty():
-        return named
-    return named.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(named.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+        return kept.select(docs.columns)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.join(twice, "_mw_key", "left_semi").groupBy("_mw_key").agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("x")).select("x.*")
+    return kept.join(twice, "_mw_key", "left_anti").select(docs.columns).unionByName(one)

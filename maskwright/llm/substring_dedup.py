@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, table, written
+from .common import ASCII_LOWER, map_arrow, table, written
 
 #: Words on either side within which a cut's hash is the least (chunks of about 2 * REACH + 1 words).
 REACH = 4
@@ -85,7 +85,7 @@ def chunks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             if ids:
                 yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, start int, n int, hi long, lo long")
+    return map_arrow(rows, run, f"doc_id {kind}, row long, start int, n int, hi long, lo long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,7 +94,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     n_copies is the number of rows that hold the least repeated chunk of the run; is_first
     tells that all its chunks are the first occurrence, the one to keep, in the order of
     doc_id, then row, then place. Repeats within one text count like others. Null and empty
-    texts have no chunks. Rows with a null doc_id come first in that order.
+    texts have no chunks. Rows with a null doc_id come first in that order; repeated rows
+    repeat each other. Very long texts are cut whole; an empty table gives no rows, and other
+    columns are not read.
     """
     all_chunks = written(chunks(docs), "chunks")
     first = F.min(F.struct("doc_id", "row", "start"))
@@ -107,4 +109,5 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per span of a document that repeats; see repeated_spans() for null, empty and repeated rows."""
     return repeated_spans(table(spark, sf_dir, "documents"))

@@ -119,7 +119,10 @@ def judge(pages: DataFrame, rules=RULES, factor: float = 2.0, rounds: int | None
 
     A url that a rule fits has the rule's verdict. Else its host is blocked if its distrust is
     over `factor` times its trust, and allowed otherwise, as are empty hosts. Ranks are settled,
-    however far from a seed, unless a number of rounds is given (see propagate).
+    however far from a seed, unless a number of rounds is given (see propagate). A null url or
+    html has neither host nor links; repeated rows have a row each, and each counts once for
+    its host's links. Very long pages are read whole; an empty table gives no rows, and other
+    columns are not read.
     """
     blocked = written(host_scores(pages, rules, rounds).where(F.col("distrust") > factor * F.col("trust")).select("host", F.lit("block").alias("by_graph")), "blocked-hosts")
     rows = pages.select("page_id", *parts(F.col("url"))).withColumn("m", matched(rules)).join(blocked, "host", "left")
@@ -128,4 +131,36 @@ def judge(pages: DataFrame, rules=RULES, factor: float = 2.0, rounds: int | None
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
+    """One row per page; see judge() for null, empty and repeated rows."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+_SQL_RANK = """{name} AS (SELECT host, sum(mass) AS rank FROM (
+  WITH RECURSIVE walk(k, host, mass) AS (
+    SELECT 0, host, {mass} / sum({mass}) OVER () * 0.15 FROM hosts WHERE {mass} >= 0.5
+    UNION ALL
+    SELECT walk.k + 1, {to}, sum(walk.mass * 0.85 * n / {degree}) FROM walk JOIN degrees ON {at} = walk.host WHERE walk.k < 200 GROUP BY 1, 2)
+  SELECT * FROM walk) GROUP BY host)"""
+#: The rows of op10_url_filters: ranks are the sums of walks of up to 200 links, which leaves less than the tolerance.
+SQL = r"""
+WITH rest AS (SELECT page_id, html, row_number() OVER () AS rid, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+own AS (
+  SELECT page_id, rid, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM own),
+judged AS (SELECT *, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled),
+hosts AS (SELECT host, avg((said IS NOT DISTINCT FROM 'allow')::INT) AS allow, avg((said IS NOT DISTINCT FROM 'block')::INT) AS block FROM judged WHERE host <> '' GROUP BY host),
+links AS (
+  SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1), lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS dst
+  FROM own),
+edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+degrees AS (SELECT src, dst, n, sum(n) OVER (PARTITION BY src) AS out_n, sum(n) OVER (PARTITION BY dst) AS in_n FROM edges),
+""" + ",\n".join((_SQL_RANK.format(name="trust", mass="allow", at="src", to="dst", degree="out_n"), _SQL_RANK.format(name="distrust", mass="block", at="dst", to="src", degree="in_n"))) + """
+SELECT page_id, j.host, path, rule, coalesce(said, m) AS verdict, m AS method_verdict
+FROM (SELECT j.*, CASE WHEN d.rank > 2 * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END AS m FROM judged j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host) j
+"""

@@ -85,8 +85,8 @@ def test_secret_scan(spark, odd, none):
     ledger = secret_scan.Ledger(spark)
     ledger.update(df.where("doc_id < 3"))
     ledger.update(df)  # the second pass scans new blobs only
-    assert ledger.seen().count() == ledger.seen().distinct().count() == len(secret_scan.RULES) * len({x or "" for x in texts} | {r[1] or "" for r in ODD})
-    got = {(r["doc_id"], r["s"]) for r in secret_scan.findings_by_path(df, ledger).select("doc_id", secret_scan.spans_text(secret_scan.F.col("_spans")).alias("s")).collect()}
+    assert ledger.seen().count() == len(secret_scan.RULES) * len({x or "" for x in texts} | {r[1] or "" for r in ODD})
+    got = {(r["doc_id"], r["s"]) for r in secret_scan.findings_by_path(df, ledger).select("doc_id", secret_scan.spans_text(secret_scan.F.col("_mw_spans")).alias("s")).collect()}
     rules = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"))
     for i, x in enumerate(texts):
         spans = []
@@ -118,12 +118,35 @@ def test_chunked_round_trip(size):
 
 
 def test_warc_finds_broken_segments(spark):
-    good = warc.records(1, 0, "u", "y" * 5000, None, segment_bytes=1000)
-    assert len(good) > 3
-    for broken in (good[:-1], [good[0], *good[2:]], good[1:]):
-        rows = [h for r in broken for h in warc.parse(r)]
-        numbers = [int(h["warc-segment-number"]) for h, _ in rows]
-        assert numbers != list(range(1, len(good) + 1))
+    """Lost, doubled and reordered segments, wrong and missing totals, through the reassembler itself."""
+    rows = lambda name: warc.records(1, 0, name, name * 5000, None, segment_bytes=1000)
+    total = lambda r, n: re.sub(rb"(Total-Length: )\d+", rb"\g<1>%d" % n, r)
+    cases = {"a": rows("a"), "b": rows("b")[::-1], "c": rows("c")[:-1], "d": [rows("d")[0], *rows("d")[2:]], "e": rows("e")[1:], "f": [*rows("f")[:2], *rows("f")[1:]], "g": [*rows("g")[:-1], total(rows("g")[-1], 7)], "h": rows("h")[:-1] + [re.sub(rb"WARC-Segment-Total-Length: \d+\r\n", b"", rows("h")[-1])]}
+    assert all(len(x) > 3 for x in cases.values())
+    found = spark.createDataFrame([warc.fields(h, bytearray(b)) for x in cases.values() for r in x for h, b in warc.parse(r)], warc._PARSED.replace(", ", ","))
+    got = {r["origin"].split(":")[3]: r for r in warc.payloads(found).collect()}
+    valid = {n: got[warc.hashlib.sha256((n * 5000).encode()).hexdigest()]["valid"] for n in cases}
+    assert valid == {"a": True, "b": True} | dict.fromkeys("cdefgh", False) and got[warc.hashlib.sha256(b"b" * 5000).hexdigest()]["payload_bytes"] == 5000
+
+
+def test_warc_verifies_revisits(spark, tmp_path):
+    """A revisit names a record that was written; without it, or with another length, it isn't valid."""
+    page = "z" * 300
+    keep, again, lost = warc.records(3, 0, "u", page, None), warc.records(5, 0, "v", page, 3), warc.records(6, 0, "w", "q" * 300, 4)
+    named = re.search(rb"WARC-Refers-To: (<[^>]*>)", again[0])[1]
+    assert b"WARC-Record-ID: " + named in keep[0]
+    bent = [re.sub(rb"X-Payload-Length: \d+", b"X-Payload-Length: 299", warc.records(7, 0, "x", page, 3)[0])]
+    import gzip
+
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in (*keep, *again, *lost, *bent)))  # a member per record
+    (tmp_path / "b.warc").write_bytes(warc.records(9, 0, "y", "plain", None)[0])
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["valid"]) for r in warc.verified(warc.payloads(warc.read_records(spark, str(tmp_path)))).collect()}
+    assert got == {3: ("response", None, True), 5: ("revisit", 3, True), 6: ("revisit", 4, False), 7: ("revisit", 3, False), 9: ("response", None, True)}
+    whole = gzip.compress(b"".join((*keep, *again)))
+    for cut in (whole[:-20], gzip.compress(keep[0][:-9])):
+        with pytest.raises((ValueError, warc.zlib.error)):
+            list(warc.parse(warc.inflated(cut)))
+    assert len(list(warc.parse(warc.inflated(whole, 7)))) == 2
 
 
 def test_mixing(spark, odd, none):
