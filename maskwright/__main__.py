@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -26,11 +27,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--gold-types", default="", help="comma-separated tags of the annotated files; all that they hold by default")
     p.add_argument("--gold-row", default="doc", help="root element of the annotated files")
     p.add_argument("--ref-date", default="2020-01-01")
+    p.add_argument("--words", action="append", default=[], metavar="NAME=FILE", help="JSON list or object of the words of a macro, such as town_names")
     p.add_argument("--no-logs", action="store_true")
     a = p.parse_args(argv)
     spark = configure(spark or SparkSession.builder.appName("maskwright").getOrCreate())
     base = Path(a.config).parent
-    patterns = load(Path(a.config).read_text(), lambda f: _expanded((base / f).read_text()))
+    known = macros(words={n: list(json.loads(Path(f).read_text())) for n, f in (x.split("=", 1) for x in a.words)})
+    patterns = load(Path(a.config).read_text(), lambda f: _expanded((base / f).read_text(), known))
     notes = spark.read.parquet(a.input) if a.input.endswith(".parquet") else sources.text_notes(spark, a.input)
     notes = notes.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *(["note_key"] if "note_key" in notes.columns else []))
     probes = sources.probes_tsv(spark, a.probes).withColumnRenamed("note_key", "doc_id") if a.probes else None
@@ -45,9 +48,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sources.write_evaluation(out.evaluate(gold), f"{a.output}/eval")
 
 
-def _expanded(text: str) -> str:
+def _expanded(text: str, known: dict[str, str]) -> str:
     """A filter file with its macros put in; the place of a note's own probes stays."""
-    known = macros()
     return expand(text, known | {"probe": '"""+probe+r"""'})
 
 

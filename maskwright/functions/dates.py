@@ -5,31 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: pattern of the text, format, and which parts it lacks; tried in order.
+_MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
+_D, _Y, _YY = r"(\d{1,2})", r"(\d{4})", r"'?(\d{2})"
+#: Forms of a cleaned text (see _cleaned), in order: its pattern, which parts its groups are, and which parts it lacks.
 LADDER = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d", ""),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", ""),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy", "century"),
-    (r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy", ""),
-    (r"^[A-Z][a-z]+ \d{4}$", "MMMM yyyy", "day"),
-    (r"^[A-Z][a-z]+ \d{1,2}$", "MMMM d", "year"),
-    (r"^[A-Z][a-z]+$", "MMMM", "year day"),
-    (r"^\d{4}$", "yyyy", "month day"),
+    (rf"{_Y}[-/.]{_D}[-/.]{_D}", "ymd", ""),
+    (rf"{_D}[-/.]{_D}[-/.]{_Y}", "mdy", ""),
+    (rf"{_D}[-/.]{_D}[-/.]{_YY}", "mdy", "century"),
+    (rf"{_MONTH}[- ]{_D}[- ]{_Y}", "mdy", ""),
+    (rf"{_D}[- ]?{_MONTH}[- ]?{_Y}", "dmy", ""),
+    (rf"{_Y}[- ]{_MONTH}[- ]{_D}", "ymd", ""),
+    (rf"{_MONTH} {_D} '(\d{{2}})", "mdy", "century"),
+    (rf"{_D}[- ]{_MONTH}[- ]{_YY}", "dmy", "century"),
+    (rf"{_MONTH}[- ]?{_Y}", "my", "day"),
+    (rf"{_Y}[- ]{_MONTH}", "ym", "day"),
+    (rf"{_MONTH} '(\d{{2}})", "my", "day century"),
+    (rf"{_MONTH} {_D}", "md", "year"),
+    (rf"{_D}[- ]?{_MONTH}", "dm", "year"),
+    (_MONTH, "m", "year day"),
+    (rf"{_D}[/-]{_Y}", "my", "day"),
+    (rf"{_Y}[/-]{_D}", "ym", "day"),
+    (rf"{_D}[/-]{_D}", "md", "year"),
+    (_Y, "y", "month day"),
+    (r"'(\d{2})", "y", "month day century"),
 )
-#: Parts that a text lacks are taken from here.
+#: A year that a text lacks is taken to be this one, a leap year, as that of BASE; a month or day the first.
 BASE = "2000-02-29"
+_PARTS = ("year", "month", "day", "century")
+_PARTIAL = "struct<d:date,raw:string,missing_year:boolean,missing_month:boolean,missing_day:boolean,missing_century:boolean>"
+
+
+def _cleaned(text: Column) -> Column:
+    """A written date without the name of its weekday, endings of ordinals, commas, `of` and `the`, and the time of day; spaces single."""
+    out = F.regexp_replace(text, r"(?i)^\s*(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b[.,]*\s*", "")
+    out = F.regexp_replace(out, r"(?i)(?<=\d)(?:st|nd|rd|th)\b", "")
+    out = F.regexp_replace(out, r"(?i)[\sT]+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[ap]\.?m\.?)?\s*$", "")
+    out = F.regexp_replace(out, r"(?i)\b(?:of|the)\b|,", " ")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def _month(x: Column) -> Column:
+    place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(x, 1, 3)))
+    return F.when(x.rlike("^[A-Za-z]"), ((place + 2) / 3).cast("int").cast("string")).otherwise(x)
 
 
 def parse(text: Column) -> Column:
-    """struct(d date, raw, missing_year, missing_month, missing_day, missing_century); null if no form fits."""
-    out = F.lit(None).cast("struct<d:date,raw:string,missing_year:boolean,missing_month:boolean,missing_day:boolean,missing_century:boolean>")
-    for form, fmt, lacks in reversed(LADDER):
-        if "year" in lacks:
-            d = F.try_to_timestamp(F.concat(text, F.lit(" 2000")), F.lit(fmt + " yyyy")).cast("date")
-        else:
-            d = F.try_to_timestamp(text, F.lit(fmt)).cast("date")
-        flags = [F.lit(p in lacks.split()).alias(f"missing_{p}") for p in ("year", "month", "day", "century")]
-        out = F.when(text.rlike(form), F.when(d.isNotNull(), F.struct(d.alias("d"), text.alias("raw"), *flags))).otherwise(out)
+    """struct(d date, raw, missing_year, missing_month, missing_day, missing_century) of a written date; null if no form fits or there is no such day.
+
+    Month and day in figures are taken in that order, and in the other where the first can't be
+    a month. Two figures of a year are of this century and tell no century.
+    """
+    return let(_cleaned(text), lambda clean: _parsed(clean, text))
+
+
+def _parsed(clean: Column, raw: Column) -> Column:
+    out = F.lit(None).cast(_PARTIAL)
+    for form, order, lacks in reversed(LADDER):
+        whole = f"(?i)^{form}$"
+        part = {c: F.regexp_extract(clean, whole, i) for i, c in enumerate(order, 1)}
+        y = F.concat(F.lit("20" if "century" in lacks else ""), part["y"]) if "y" in part else F.lit(BASE[:4])
+        day = lambda m, d: F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")).cast("date")  # noqa: B023, E731
+        m, d = _month(part["m"]) if "m" in part else F.lit("1"), part.get("d", F.lit("1"))
+        found = day(m, d)
+        if _MONTH not in form and "m" in part and "d" in part:
+            found = F.coalesce(found, day(d, m))
+        flags = [F.lit(p in lacks.split()).alias(f"missing_{p}") for p in _PARTS]
+        out = F.when(clean.rlike(whole), let(found, lambda x: F.when(x.isNotNull(), F.struct(x.alias("d"), raw.alias("raw"), *flags)))).otherwise(out)  # noqa: B023
     return out
 
 

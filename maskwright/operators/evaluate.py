@@ -116,10 +116,10 @@ def corrected(labels: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def tag_recall(labels: DataFrame, tags: DataFrame) -> DataFrame:
-    """category, tag, tp, fn, recall of labels(label, tag): per tag, per category (tag null) and in all (both null); one aggregation over all three."""
+    """category, tag, tp, fn, recall of labels(label, tag): per tag, per category (tag null) and in all (both null), the best first; one aggregation over all three."""
     rows = labels.where("label in ('TP', 'FN')").join(tags.select("tag", "category"), "tag", "left").withColumn("category", F.coalesce("category", F.lit("Other")))
     got = rows.rollup("category", "tag").agg(F.count_if(F.col("label") == "TP").alias("tp"), F.count_if(F.col("label") == "FN").alias("fn"))
-    return got.withColumn("recall", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6))
+    return got.withColumn("recall", F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6)).orderBy(F.desc("recall"), "category", "tag")
 
 
 def group_recall(labels: DataFrame, tags: DataFrame) -> DataFrame:
@@ -160,3 +160,47 @@ def not_annotated(found: DataFrame, gold: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_stop").over(w))
     return rows.where("_kind = 1 and (_reach is null or _reach < stop)").select(*found.columns)
+
+
+def first_type(tokens: DataFrame, typed: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """tokens(doc_id, start, stop) that typed spans (doc_id, start, stop, phi_type) overlap, with one type each: the first in `order`, others after by name."""
+    rank = F.coalesce(*[F.when(F.col("b.phi_type") == t, i) for i, t in enumerate(order)], F.lit(len(order)))
+    a, b = S.binned(tokens.select("doc_id", "start", "stop")).alias("a"), S.binned(typed.select("doc_id", "start", "stop", "phi_type")).alias("b")
+    rows = a.join(b, S.overlapping("a", "b")).groupBy("a.doc_id", "a.start", "a.stop")
+    return rows.agg(F.min(F.struct(rank.alias("rank"), F.col("b.phi_type").alias("phi_type")))["phi_type"].alias("phi_type"))
+
+
+def annotators(a: DataFrame, b: DataFrame, absent: str = "O") -> DataFrame:
+    """one, two, n: how often annotator a and annotator b gave which labels(doc_id, start, label) to the same place; a place that only one labels is `absent` for the other."""
+    rows = a.select("doc_id", "start", F.col("label").alias("one")).join(b.select("doc_id", "start", F.col("label").alias("two")), ["doc_id", "start"], "full")
+    return rows.groupBy(F.coalesce("one", F.lit(absent)).alias("one"), F.coalesce("two", F.lit(absent)).alias("two")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def agreement(pairs: DataFrame) -> DataFrame:
+    """n, agreed, expected, kappa of annotators(): the share on which both agree, the share expected by chance, and Cohen's kappa (1 where chance is certain)."""
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    sides = [pairs.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias(c)) for c in ("one", "two")]
+    chance = sides[0].join(sides[1], "label").agg(F.sum(F.col("one").cast("double") * F.col("two")).alias("chance"))
+    same = pairs.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("one") == F.col("two"), F.col("n")).otherwise(0)).alias("same"))
+    rows = same.crossJoin(F.broadcast(chance))  # one row each
+    agreed, expected = F.col("same") / F.col("n"), F.coalesce("chance", F.lit(0.0)) / F.col("n") / F.col("n")
+    kappa = F.when(expected >= 1, 1.0).otherwise((agreed - expected) / (1 - expected))
+    return rows.where("n > 0").select("n", F.round(agreed, 6).alias("agreed"), F.round(expected, 6).alias("expected"), F.round(kappa, 6).alias("kappa"))
+
+
+def shift_evaluation(gold: DataFrame, pred: DataFrame, *key: str) -> DataFrame:
+    """key, label of dates by an outer join: TP in both, FP in pred only, FN in gold only."""
+    rows = gold.select(*key, F.lit(True).alias("_g")).join(pred.select(*key, F.lit(True).alias("_p")), list(key), "full")
+    return rows.select(*key, F.when(F.col("_g") & F.col("_p"), "TP").when(F.col("_p"), "FP").otherwise("FN").alias("label"))
+
+
+def condensed(labels: DataFrame, tokens: DataFrame, *by: str) -> DataFrame:
+    """label, word, by, n, first_doc of the errors among labels(doc_id, start, label): how often each word was missed or taken wrongly. tokens has doc_id, start, token and by, such as its tag or the filters that hit it."""
+    rows = labels.where("label in ('FP', 'FN')").select("doc_id", "start", "label").join(tokens.select("doc_id", "start", F.lower("token").alias("word"), *by), ["doc_id", "start"])
+    return rows.groupBy("label", "word", *by).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def listed(labels: DataFrame, *by: str) -> DataFrame:
+    """by, label, n, words of labels(label, start, token): the words of each label by their places; what `by` names, as a file or category, bounds the list."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("start", "token"))), lambda x: x["token"])
+    return labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), words.alias("words"))

@@ -23,10 +23,42 @@ def batch_summary(summary: DataFrame) -> DataFrame:
     )
 
 
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """word, n, n_phi of tokens(token, phi): how often each word occurs, and how often as a protected one."""
+    return tokens.groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("phi")).alias("n_phi"))
+
+
 def bigrams(tokens: DataFrame) -> DataFrame:
-    """word, next_word, n of tokens(doc_id, nth, token) that follow each other in a document."""
-    nxt = F.lead("token").over(Window.partitionBy("doc_id").orderBy("nth"))
-    return tokens.select(F.lower("token").alias("word"), F.lower(nxt).alias("next_word")).where("next_word is not null").groupBy("word", "next_word").agg(F.count(F.lit(1)).alias("n"))
+    """word, next_word, n, n_phi of tokens(doc_id, nth, token, phi) that follow each other in a document; n_phi counts pairs of two protected ones."""
+    order = Window.partitionBy("doc_id").orderBy("nth")
+    pairs = tokens.select(F.lower("token").alias("word"), F.lower(F.lead("token").over(order)).alias("next_word"), (F.col("phi") & F.lead("phi").over(order)).alias("both"))
+    return pairs.where("next_word is not null").groupBy("word", "next_word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("both")).alias("n_phi"))
+
+
+def parse_outcomes(norms: DataFrame) -> DataFrame:
+    """phi_type, parsed, failed, replaced of norms(phi_type, date, age, replacement): what was read, what not, and what has a replacement."""
+    read = F.col("date").isNotNull() | F.col("age").isNotNull()
+    return norms.groupBy("phi_type").agg(F.count_if(read).alias("parsed"), F.count_if(~read).alias("failed"), F.count_if(F.col("replacement").isNotNull()).alias("replaced"))
+
+
+def surrogate_counts(norms: DataFrame) -> DataFrame:
+    """phi_type, n: how many spans of each type have a replacement."""
+    return norms.where("replacement is not null").groupBy("phi_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_shapes(shapes: DataFrame) -> DataFrame:
+    """n_shapes, n: how many shapes there are, and of how many words."""
+    return shapes.agg(F.count_distinct("shape").alias("n_shapes"), F.count(F.lit(1)).alias("n"))
+
+
+def next_run(runs: DataFrame, *by: str) -> DataFrame:
+    """by, next_run: the number after the greatest run of each batch; 1 for a table without runs."""
+    return runs.groupBy(*by).agg((F.coalesce(F.max("run"), F.lit(0)) + 1).alias("next_run"))
+
+
+def batches(notes: DataFrame, *by: str) -> DataFrame:
+    """The distinct batches of notes."""
+    return notes.select(*by).distinct()
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, replicates: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import let
-from ..plans.patterns import Pattern, jvm_regex
+from ..plans.patterns import FINDERS, TYPES, Pattern, jvm_regex
 from . import intervals as I
 from . import probes as P
 from .spans import TOKEN, gaps_and_lengths
@@ -159,7 +159,7 @@ def _accept(patterns: list[Pattern], texts: _Texts, candidate) -> tuple[I.Spans,
             left, right = np.isin(found[0], near[1]), np.isin(found[1], near[0])
             keep = {"left": left, "right": right, "left_and_right": left & right}.get(p.context, left | right)
             found = I.clipped(texts.tokens, (found[0][keep], found[1][keep]))
-        if p.regex != "." if p.type == "regex" else "regex" in p.type:
+        if p.regex != "." if p.type == "regex" else "regex" in p.type or p.type not in TYPES:
             found = I.islands(found)  # whole tokens and whole texts never touch
         if "context" in p.type or "dynamic" in p.type:
             if p.exclude:
@@ -173,7 +173,7 @@ def _accept(patterns: list[Pattern], texts: _Texts, candidate) -> tuple[I.Spans,
     return includes.islands, kinds
 
 
-def _resolved(batch: pa.RecordBatch, patterns: list[Pattern], carry: list[str], tag, words: bool) -> pa.RecordBatch:
+def _resolved(batch: pa.RecordBatch, patterns: list[Pattern], carry: list[str], tag, words: bool, finders: dict) -> pa.RecordBatch:
     texts = _Texts(batch.column("text").to_pylist(), tag)
     spans = _matches(batch.column(_FOUND), texts)
     picked = {}
@@ -188,8 +188,11 @@ def _resolved(batch: pa.RecordBatch, patterns: list[Pattern], carry: list[str],
             return texts.base[:-1][some], (texts.base[1:] - 1)[some]
         if p.type == "regex" and p.regex == ".":
             return texts.tokens
-        if "regex" in p.type:
+        if "regex" in p.type and p.type not in finders:
             return spans.get(i, I.NONE)
+        if p.type in finders:
+            pairs = [(a + at, b + at) for t, at in zip(texts.texts, texts.base.tolist(), strict=False) for a, b in finders[p.type](t, p)]
+            return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
         hit = _tokens_of(p, i, texts, picked, names)
         return texts.tokens[0][hit], texts.tokens[1][hit]
 
@@ -266,12 +269,12 @@ def resolved(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None
     none = F.lit(None).cast("array<struct<p:int,n:array<int>>>")
     rows = rows.withColumn(_WORDS, let(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), tokens_like) if picked else none)
     rows = rows.select(*[F.col(f"`{c}`") for c in carry], _FOUND, _WORDS, _NAMES)
-    plain = list(patterns)
+    plain, finders = list(patterns), {p.type: FINDERS[p.type] for p in patterns if p.type in FINDERS}
 
     def run(batches):
         for batch in batches:
             for part in sliced(batch):
-                yield _resolved(part, plain, carry, tag, words)
+                yield _resolved(part, plain, carry, tag, words, finders)
 
     out = T.StructType([*docs.schema.fields, T.StructField("includes", T.DataType.fromDDL(INCLUDES)), *(T.StructField(c, T.DataType.fromDDL(TYPED)) for c in ("excludes", "protected", "probed"))])
     return rows.mapInArrow(run, out)

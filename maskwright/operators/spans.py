@@ -43,6 +43,12 @@ def regex_spans(docs: DataFrame, pattern: str | Column, keep: tuple[str, ...] =
     return rows.withColumn("stop", stop).select(*keep, "nth", (F.col("stop") - F.length("token")).alias("start"), "stop", "token")
 
 
+def clean_words(docs: DataFrame) -> DataFrame:
+    """doc_id, word: runs of letters, digits, _ and apostrophes of any script, cut at the latter two."""
+    parts = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)), lambda w: F.split(w, "['_]")))
+    return docs.select("doc_id", F.explode(F.filter(parts, lambda x: x != "")).alias("word"))
+
+
 def literal_spans(docs: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, value, start, stop of the places where values(doc_id, value) stand in their own text, taken as they are written; empty values stand nowhere."""
     rows = docs.select("doc_id", "text").join(values.where("value <> ''").select("doc_id", "value").distinct(), "doc_id")

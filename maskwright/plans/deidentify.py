@@ -108,17 +108,22 @@ def normalised(rows: DataFrame, ref_date: str) -> Column:
     ref = F.lit(ref_date).cast("date")
     now = D.age_on(D.shift(F.col("_mw_born"), F.col("_mw_offset")), ref) if meta else None
 
-    def one(x: Column) -> Column:
+    names = ("start", "stop", "phi_type", "token")
+
+    def read(x: Column) -> Column:
         day = x["phi_type"] == "DATE"
-        date, age = F.when(day, D.parse(x["token"])), F.when(~day, D.parse_age(x["token"]))
+        return F.struct(*[x[c].alias(c) for c in names], F.when(day, D.parse(x["token"])).alias("date"), F.when(~day, D.parse_age(x["token"])).alias("age"))
+
+    def one(x: Column) -> Column:
         shown = F.lit(None).cast("string")
         if meta:
-            shifted = D.render(D.shift_partial(date, F.col("_mw_offset"), F.col("_mw_born"), ref))
-            put = F.when(day, shifted).when(now >= 91, M.MARK).when(now > 0, age.cast("string"))
+            shifted = D.render(D.shift_partial(x["date"], F.col("_mw_offset"), F.col("_mw_born"), ref))
+            put = F.when(x["phi_type"] == "DATE", shifted).when(now >= 91, M.MARK).when(now > 0, x["age"].cast("string"))
             shown = F.when(~F.array_contains(known, x["start"]), put)
-        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["phi_type"].alias("phi_type"), x["token"].alias("token"), date.alias("date"), age.alias("age"), shown.alias("replacement"))
+        return F.struct(*[x[c].alias(c) for c in (*names, "date", "age")], shown.alias("replacement"))
 
-    return F.transform(F.filter("excludes", lambda x: x["phi_type"].isin("DATE", *AGES)), one)
+    # dates are read once, in the inner step, however often the outer one names them
+    return F.transform(F.transform(F.filter("excludes", lambda x: x["phi_type"].isin("DATE", *AGES)), read), one)
 
 
 def deidentify(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | None = None, meta: DataFrame | None = None, ref_date: str = "2020-01-01", tag=None, work: str | None = None) -> Deidentified:

@@ -6,10 +6,21 @@ import json
 import re
 from dataclasses import dataclass, field
 
+#: Names of filter types, of types of identifiers, and of sides of a context.
 TYPES = ("regex", "set", "dynamic_set", "regex_context", "dynamic_regex", "dynamic_regex_context", "stanford_ner", "pos_matcher", "match_all")
 PHI_TYPES = ("HOLIDAYS", "DATE", "ID", "NAME", "CONTACT", "AGE>=90", "AGE<90", "OTHER", "LOCATION", "PROBE", "PROBEREGEX", "PROBEDYNAMICSET", "PROBEREGEXCONTEXT", "TOWN")
 CONTEXTS = ("left", "right", "left_or_right", "left_and_right")
 
+#: Filter types of callers: name to a function of (text, pattern) that gives the (start, stop) pairs found in a text.
+FINDERS: dict = {}
+
+
+def register(name: str, find) -> None:
+    """Add a filter type. find(text, pattern) runs in the Arrow step that resolves notes; its spans are accepted like those of a regex."""
+    if name in TYPES:
+        raise ValueError(f"{name} is a filter type already")
+    FINDERS[name] = find
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -27,7 +38,7 @@ class Pattern:
     notes: str = field(default="", compare=False)
 
     def __post_init__(self):
-        if self.type not in TYPES:
+        if self.type not in TYPES and self.type not in FINDERS:
             raise ValueError(f"{self.title}: unknown type {self.type}")
         if not isinstance(self.exclude, bool):
             raise ValueError(f"{self.title}: exclude must be true or false")

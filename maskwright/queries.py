@@ -22,6 +22,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
 CARD = r"[0-9]{16}"
+YEAR, AGED = r"\b(?:19|20)[0-9][0-9]\b", r"\b[1-9][0-9]?\b"
 #: The flagship list: exclude identifiers, then keep every token that touches none.
 FLAGSHIP = [
     Pattern("email", "regex", True, "CONTACT", EMAIL), Pattern("phone", "regex", True, "CONTACT", PHONE), Pattern("ip", "regex", True, "ID", IPV4),
@@ -78,14 +79,22 @@ def _sp(pattern: str, table: str = "documents", key: str = "doc_id") -> str:
 
 TOK = _sp(S.TOKEN)
 _EXC = " UNION ALL ".join(f"SELECT doc_id, start, stop, '{p.phi_type}' AS phi_type FROM ({_sp(p.regex)})" for p in FLAGSHIP[:-1])
-#: exc, inc (kept tokens), runs of maskable characters and phi (what stays protected): the flagship resolution.
-RESOLVED = f"""exc AS ({_EXC}), tok AS ({TOK}),
+def _resolved_sql(exc: str) -> str:
+    """exc, inc (kept tokens), runs of maskable characters and phi (what stays protected) of excludes followed by all tokens."""
+    return f"""exc AS ({exc}), tok AS ({TOK}),
 inc AS (SELECT doc_id, start, stop FROM tok WHERE NOT EXISTS (SELECT 1 FROM exc WHERE exc.doc_id = tok.doc_id AND tok.start <= exc.stop AND tok.stop >= exc.start)),
 runs AS ({_sp(S.MASKABLE)}),
-cut AS (SELECT r.doc_id, r.start AS a, r.stop AS b, list(i.start ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS ss, list(i.stop ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS es
+cut AS (
+  SELECT r.doc_id, r.start AS a, r.stop AS b,
+         list(i.start ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS ss, list(i.stop ORDER BY i.start) FILTER (WHERE i.start IS NOT NULL) AS es
   FROM runs r LEFT JOIN inc i ON r.doc_id = i.doc_id AND i.start < r.stop AND i.stop > r.start GROUP BY ALL),
 piece AS (SELECT doc_id, unnest(list_concat([a], coalesce(es, []))) AS start, unnest(list_concat(coalesce(ss, []), [b])) AS stop FROM cut),
-phi AS (SELECT p.doc_id, p.start, p.stop, coalesce(min(e.phi_type), 'OTHER') AS phi_type FROM (SELECT * FROM piece WHERE start < stop) p LEFT JOIN exc e ON e.doc_id = p.doc_id AND e.start < p.stop AND e.stop > p.start GROUP BY ALL)"""
+phi AS (
+  SELECT p.doc_id, p.start, p.stop, coalesce(min(e.phi_type), 'OTHER') AS phi_type
+  FROM (SELECT * FROM piece WHERE start < stop) p LEFT JOIN exc e ON e.doc_id = p.doc_id AND e.start < p.stop AND e.stop > p.start GROUP BY ALL)"""
+
+
+RESOLVED = _resolved_sql(_EXC)
 
 
 def _masked_sql(put: str) -> str:
@@ -95,6 +104,13 @@ j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - b
 SELECT d.doc_id, coalesce(head || substring(text, (last + 1)::BIGINT), text) AS text FROM documents d LEFT JOIN j USING (doc_id)"""
 
 
+@query(_masked_sql("'*****'").replace("SELECT d.doc_id,", "SELECT nullif(d.doc_id % 50, 0) AS doc_id,"))
+def mask_repeated_ids(spark, sf_dir):
+    """Notes of which many share an id and some have none, each masked by its own spans."""
+    folded = notes(spark, sf_dir).select(F.expr("nullif(doc_id % 50, 0)").alias("doc_id"), "text")
+    return deidentify(folded, FLAGSHIP).masked
+
+
 def _phi(spark, sf_dir):
     d = docs(spark, sf_dir)
     return d, FI.protected(d, FLAGSHIP)
@@ -115,12 +131,11 @@ def token_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long").alias("word_count"), pieces.cast("long").alias("reference_token_count"), F.octet_length("text").cast("long").alias("file_size"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[A-Za-z0-9_'']+'), lambda w: string_split_regex(w, '[''_]'))), lambda x: x <> '')) AS word FROM documents)
-SELECT word, count(*) AS n FROM c GROUP BY word HAVING count(*) > 1""")
+@query(r"""WITH c AS (SELECT unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_'']+'), lambda w: string_split_regex(w, '[''_]'))), lambda x: x <> '')) AS word FROM documents)
+SELECT word, count(*) AS n FROM c GROUP BY word""")
 def clean_tokens(spark, sf_dir):
     """Words cut at punctuation, with how often they occur."""
-    parts = F.flatten(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_']+"), F.lit(0)), lambda w: F.split(w, "['_]")))
-    return docs(spark, sf_dir).select(F.explode(F.filter(parts, lambda x: x != "")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return S.clean_words(notes(spark, sf_dir)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id, nth, start, stop, token FROM ({_sp(S.MASKABLE)}) WHERE contains(token, '*')")
@@ -340,10 +355,13 @@ def shape_template(spark, sf_dir):
     return S.with_text(phi, d).groupBy(M.shape(F.col("token")).alias("shape")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape")
 
 
-@query(f"SELECT doc_id, start, substring(text, greatest(start - 25, 0) + 1, least(stop + 25, len(text)) - greatest(start - 25, 0)) AS context FROM ({_sp(CARD)}) JOIN documents USING (doc_id)")
+@query(f"""SELECT doc_id, start, translate(substring(text, greatest(start - 25, 0) + 1, least(stop + 25, len(text)) - greatest(start - 25, 0)), chr(10) || chr(9), '  ') AS context,
+  substring(text, greatest(start - 16, 0) + 1, start - greatest(start - 16, 0)) || '[[' || token || ']]' || substring(text, stop + 1, 40) AS marked FROM ({_sp(CARD)}) JOIN documents USING (doc_id)""")
 def char_context(spark, sf_dir):
+    """The text around card numbers, plain and with the number marked."""
     d = docs(spark, sf_dir)
-    return S.regex_spans(d, CARD).join(d, "doc_id").select("doc_id", "start", F.expr("substring(text, int(greatest(start - 25, 0)) + 1, int(least(stop + 25, length(text)) - greatest(start - 25, 0)))").alias("context"))
+    rows = S.regex_spans(d, CARD).join(d, "doc_id")
+    return rows.select("doc_id", "start", S.context_of(F.col("text"), 25).alias("context"), S.marked_context(F.col("text")).alias("marked"))
 
 
 @query(f"WITH c AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context FROM ({TOK})) SELECT doc_id, nth, token, context FROM c WHERE regexp_matches(token, '[0-9]')")
@@ -412,9 +430,9 @@ def _gold(spark, sf_dir):
     return S.regex_spans(docs(spark, sf_dir), "[A-Z0-9]{2,}").select("doc_id", "start", "stop", "token", kind.alias("phi_type"))
 
 
-@query(f"SELECT * FROM ({_GOLD}) WHERE NOT ((phi_type = 'DATE' AND regexp_matches(token, '^[0-9]{{4}}$')) OR regexp_matches(token, '^[A-Z]{{1,3}}$') OR (phi_type = 'AGE<90' AND coalesce(try_cast(token AS INT) < 90, false)))")
+@query(f"SELECT * FROM ({_GOLD}) WHERE NOT ((phi_type = 'DATE' AND regexp_matches(token, '^[0-9]{{4}}$')) OR regexp_matches(token, '^[A-Z]{{1,3}}$') OR (phi_type = 'AGE<90' AND coalesce(try_cast(token AS INT) < 90, false)) OR (phi_type = 'NAME' AND lower(token) = 'id') OR lower(token) = '2001')")
 def curate_gold(spark, sf_dir):
-    return P.curate(_gold(spark, sf_dir))
+    return P.curate(_gold(spark, sf_dir), spark.createDataFrame([("NAME", "ID"), (None, "2001")], "phi_type string, word string"))
 
 
 # ---- dates
@@ -477,21 +495,36 @@ def fallback_offset(spark, sf_dir):
 SELECT CASE WHEN g.d IS NOT NULL AND p.d IS NOT NULL THEN 'TP' WHEN p.d IS NOT NULL THEN 'FP' ELSE 'FN' END AS label, count(*) AS n FROM g FULL JOIN p ON g.o_orderkey = p.o_orderkey AND g.d = p.d GROUP BY 1""")
 def date_shift_evaluation(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    g = o.select("o_orderkey", F.date_sub("d", 10).alias("d"), F.lit(1).alias("g"))
-    p = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("d")).otherwise(F.date_sub("d", 10)).alias("d"), F.lit(1).alias("p"))
-    both = g.join(p, ["o_orderkey", "d"], "full_outer")
-    return both.groupBy(F.when(F.expr("g = 1 and p = 1"), "TP").when(F.expr("p = 1"), "FP").otherwise("FN").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    g = o.select("o_orderkey", F.date_sub("d", 10).alias("d"))
+    p = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("d")).otherwise(F.date_sub("d", 10)).alias("d"))
+    return E.shift_evaluation(g, p, "o_orderkey", "d").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH x AS (SELECT o_orderkey, o_custkey, d, CASE WHEN o_custkey % 30 = 0 THEN NULL ELSE (d - (o_custkey % 30)::INT) END AS s, o_orderkey % 8 AS k FROM ({_ORD})),
-y AS (SELECT *, CASE k WHEN 4 THEN date_trunc('month', d)::DATE WHEN 7 THEN date_trunc('year', d)::DATE ELSE d END - (o_custkey % 30)::INT AS m FROM x WHERE k NOT IN (5, 6))
-SELECT o_orderkey, CASE WHEN s IS NULL THEN NULL WHEN k = 2 THEN strftime(m, '%m/%d/%y') WHEN k = 4 THEN strftime(m, '%B %Y') WHEN k = 7 THEN strftime(m, '%Y') ELSE strftime(m, '%m/%d/%Y') END AS shifted FROM y""")
+@query(f"""WITH x AS (SELECT o_orderkey, (o_custkey % 30)::INT AS off, d, o_orderkey % 8 AS k FROM ({_ORD})),
+y AS (SELECT o_orderkey, off, k, CASE k WHEN 4 THEN date_trunc('month', d)::DATE WHEN 7 THEN date_trunc('year', d)::DATE WHEN 5 THEN make_date(2000, month(d), day(d)) WHEN 6 THEN make_date(2000, month(d), 1) ELSE d END - off AS m FROM x)
+SELECT o_orderkey, CASE WHEN off = 0 THEN NULL ELSE CASE k WHEN 2 THEN strftime(m, '%m/%d/%y') WHEN 4 THEN strftime(m, '%B %Y') WHEN 5 THEN strftime(m, '%B %d') WHEN 6 THEN strftime(m, '%B') WHEN 7 THEN strftime(m, '%Y') ELSE strftime(m, '%m/%d/%Y') END END AS shifted FROM y""")
 def partial_date_shift(spark, sf_dir):
-    """Dates with a year, written in six forms, shifted by their patient's offset and written by the parts they have."""
-    rows = _written_dates(spark, sf_dir).join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey").where("o_orderkey % 8 not in (5, 6)")
+    """Dates written in eight forms, two of them without a year, shifted by their patient's offset and written by the parts they have."""
+    rows = _written_dates(spark, sf_dir).join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey")
     return rows.select("o_orderkey", D.render(D.shift_partial(F.col("p"), (F.col("o_custkey") % 30).cast("string"))).alias("shifted"))
 
 
+_FREE = (
+    "concat(date_format(d, 'MMM'), ' ', day(d), ', ', year(d))", "concat(day(d), ' ', date_format(d, 'MMMM'), ' ', year(d))", "date_format(d, 'M/d')", "date_format(d, 'MM-dd-yyyy')", "date_format(d, 'MMMM d yyyy')",
+    "date_format(d, 'M/yyyy')", "date_format(d, 'EEEE, MMMM d, yyyy')", "concat(date_format(d, 'MMMM '), day(d), case when day(d) in (1, 21, 31) then 'st' when day(d) in (2, 22) then 'nd' when day(d) in (3, 23) then 'rd' else 'th' end, ', ', year(d))",
+    "date_format(d, 'yyyy/MM/dd')", "concat(upper(date_format(d, 'MMM')), '. ', day(d), ', ', year(d))", "concat('the ', day(d), 'th of ', date_format(d, 'MMMM'), ' ', year(d))", "concat(date_format(d, 'dd-MMM-yy'))", "date_format(d, 'yyyy-MM-dd HH:mm:ss')",
+    "concat(date_format(d, 'MMMM'), \" '\", date_format(d, 'yy'))", "date_format(d, 'dd.MM.yyyy')", "concat('no ', date_format(d, 'MMMM'), ' day')",
+)
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 16 WHEN 2 THEN strftime(d, '%B %d') WHEN 5 THEN strftime(d, '%B %Y') WHEN 11 THEN strftime(d, '%m/%d/%y') WHEN 13 THEN strftime(d, '%B %y') WHEN 15 THEN NULL
+  WHEN 14 THEN CASE WHEN day(d) > 12 THEN strftime(d, '%m/%d/%Y') ELSE strftime(make_date(year(d), day(d), month(d)), '%m/%d/%Y') END ELSE strftime(d, '%m/%d/%Y') END AS rendered FROM ({_ORD})""")
+def date_forms(spark, sf_dir):
+    """Dates written in fifteen free forms, and one that is none, read and written by the parts they have."""
+    form = F.expr("case pmod(o_orderkey, 16) " + " ".join(f"when {i} then {x}" for i, x in enumerate(_FREE)) + " end")
+    return _orders(spark, sf_dir).withColumn("said", form).select("o_orderkey", D.render(D.parse(F.col("said"))).alias("rendered"))
+
+
 @query(f"SELECT o_orderkey, strftime(d + 12, '%m/%d/%Y') || ' [SHIFTED DATE]-' || strftime(d + 42, '%m/%d/%Y') || ' [SHIFTED DATE]' AS shifted FROM ({_ORD})")
 def date_range_shift(spark, sf_dir):
     said = F.concat(F.date_format("d", "M/d/yyyy"), F.lit(" - "), F.date_format(F.date_add("d", 30), "M/d/yyyy"))
@@ -530,10 +563,17 @@ def precision_recall_by_doc(spark, sf_dir):
     return E.metrics(_labelled(spark, sf_dir)[1], "doc_id")
 
 
-@query(f"WITH {_LAB} SELECT label, lower(token) AS word, count(*) AS n, min(doc_id) AS first_doc FROM lab WHERE label IN ('FP', 'FN') GROUP BY 1, 2")
+@query(f"""WITH {_LAB}, h AS (SELECT doc_id, start, stop, 'digits' AS title FROM ({_sp('[0-9]+')}) UNION ALL SELECT doc_id, start, stop, 'caps' FROM ({_sp('[A-Z]+')})),
+e AS (SELECT lab.*, start + len(token) AS stop FROM lab WHERE label IN ('FP', 'FN')), p AS (SELECT e.doc_id, e.start, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL)
+SELECT label, lower(token) AS word, {_POS} AS pos, titles, count(*) AS n, min(doc_id) AS first_doc FROM e JOIN p USING (doc_id, start) GROUP BY ALL""")
 def error_condensation(spark, sf_dir):
+    """Errors that are alike in word, tag and the filters that hit them."""
+    d = docs(spark, sf_dir)
     toks, lab = _labelled(spark, sf_dir)
-    return lab.where("label in ('FP', 'FN')").join(toks, ["doc_id", "start"]).groupBy("label", F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    hits = [S.regex_spans(d, p).select("doc_id", "start", "stop", F.lit(t).alias("title")) for t, p in (("digits", "[0-9]+"), ("caps", "[A-Z]+"))]
+    errors = lab.where("label in ('FP', 'FN')").join(toks.select("doc_id", "start", "stop", "token"), ["doc_id", "start"])
+    by = E.provenance(errors, hits[0].unionByName(hits[1])).select("doc_id", "start", "titles")
+    return E.condensed(lab, errors.select("doc_id", "start", "token", FI.heuristic_pos(F.col("token")).alias("pos")).join(by, ["doc_id", "start"]), "pos", "titles")
 
 
 @query(f"""WITH g AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{2,}')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+[A-Za-z]?')})),
@@ -564,10 +604,26 @@ def mask_evaluation(spark, sf_dir):
     return E.compare_masks(a, b).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT toxic, quality, count(*) AS n FROM labels GROUP BY ALL")
+_TWO = f"a AS (SELECT doc_id, start, CASE WHEN regexp_matches(token, '[0-9]') THEN 'ID' ELSE 'NAME' END AS label FROM ({_sp('[A-Z0-9]{2,}')})), b AS (SELECT doc_id, start, 'ID' AS label FROM ({_sp('[A-Z]*[0-9]+')})), pairs AS (SELECT coalesce(a.label, 'O') AS one, coalesce(b.label, 'O') AS two, count(*) AS n FROM a FULL JOIN b USING (doc_id, start) GROUP BY ALL)"
+
+
+def _annotators(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    a = S.regex_spans(d, "[A-Z0-9]{2,}").select("doc_id", "start", F.when(F.col("token").rlike("[0-9]"), "ID").otherwise("NAME").alias("label"))
+    return E.annotators(a, S.regex_spans(d, "[A-Z]*[0-9]+").select("doc_id", "start", F.lit("ID").alias("label")))
+
+
+@query(f"WITH {_TWO} SELECT * FROM pairs")
+def annotator_pairs(spark, sf_dir):
+    """Two labelings of the same texts, place by place, counted as a confusion matrix."""
+    return _annotators(spark, sf_dir)
+
+
+@query(f"""WITH {_TWO}, k AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE one = two) AS same FROM pairs), m AS (SELECT sum(x.n::DOUBLE * y.n) AS chance FROM (SELECT one AS l, sum(n) AS n FROM pairs GROUP BY 1) x JOIN (SELECT two AS l, sum(n) AS n FROM pairs GROUP BY 1) y USING (l))
+SELECT n::BIGINT AS n, round(same / n, 6) AS agreed, round(chance / n / n, 6) AS expected, round((same / n - chance / n / n) / (1 - chance / n / n), 6) AS kappa FROM k, m""")
 def annotator_agreement(spark, sf_dir):
-    """Two labels of the same rows, counted as a confusion matrix."""
-    return t(spark, sf_dir, "labels").groupBy("toxic", "quality").agg(F.count(F.lit(1)).alias("n"))
+    """How far two labelings agree, beyond chance."""
+    return E.agreement(_annotators(spark, sf_dir))
 
 
 _STAR = r"(SELECT doc_id, regexp_replace(text, $$[{}]$$, $$*$$, $$g$$) AS text FROM documents)"
@@ -626,6 +682,16 @@ def token_types(spark, sf_dir):
     return E.token_types(S.tokens(d), _typed(d))
 
 
+_RANKED = ("PROBEREGEX", "NAME")
+
+
+@query(f"WITH r AS (SELECT a.doc_id, a.start, a.stop, phi_type, CASE phi_type WHEN 'PROBEREGEX' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END AS k FROM ({TOK}) a JOIN ({_TYPED}) b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start) SELECT doc_id, start, stop, arg_min(phi_type, k) AS phi_type FROM r GROUP BY ALL")
+def first_type(spark, sf_dir):
+    """One type a token: the first in an order of types."""
+    d = docs(spark, sf_dir)
+    return E.first_type(S.tokens(d), _typed(d), _RANKED)
+
+
 @query(f"WITH {_TT} SELECT doc_id, start, stop, types, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS probe, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context FROM tt JOIN documents USING (doc_id) WHERE types IN ('PROBEDYNAMICSET', 'PROBEREGEX')")
 def probe_report(spark, sf_dir):
     """Tokens that only known identifiers protect."""
@@ -655,24 +721,52 @@ def not_annotated(spark, sf_dir):
 
 
 def _job(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    listed = [Pattern("known", "dynamic_set", True, "PROBEDYNAMICSET"), *FLAGSHIP[:-1], Pattern("year", "regex", True, "DATE", r"\b(?:19|20)[0-9]{2}\b"), Pattern("age", "regex", True, "AGE<90", r"\b[0-9]{1,2}(?= years)"), FLAGSHIP[-1]]
+    listed = [Pattern("known", "dynamic_set", True, "PROBEDYNAMICSET"), *FLAGSHIP[:-1], Pattern("year", "regex", True, "DATE", YEAR), Pattern("age", "regex", True, "AGE<90", AGED), FLAGSHIP[-1]]
     meta = t(spark, sf_dir, "documents").select("doc_id", F.expr("int(doc_id % 700) + 365").alias("date_offset"), F.lit("1950-06-01").alias("birth_date"))
-    return deidentify(d, listed, _probes(spark, sf_dir), meta)
-
-
-@query()
+    return deidentify(notes(spark, sf_dir), listed, _probes(spark, sf_dir), meta)
+
+
+_KNOWN = f"SELECT t.doc_id, start, stop, 'PROBEDYNAMICSET' AS phi_type FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM ({_PROBE_WORDS}) p WHERE p.doc_id = t.doc_id AND p.word = lower(t.token))"
+_READ = " UNION ALL ".join(f"SELECT doc_id, start, stop, token, '{k}' AS phi_type FROM ({_sp(p)})" for k, p in (("DATE", YEAR), ("AGE<90", AGED)))
+#: The job's resolution, and norms: what is read, with its replacement. A year is moved by the offset; that of birth with the birth date.
+_JOB = f"""{_resolved_sql(f"{_EXC} UNION ALL {_KNOWN} UNION ALL SELECT doc_id, start, stop, phi_type FROM ({_READ})")},
+norms AS (
+  SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM exc k WHERE k.phi_type = 'PROBEDYNAMICSET' AND k.doc_id = r.doc_id AND k.start = r.start) THEN NULL
+                   WHEN r.phi_type = 'AGE<90' THEN token
+                   ELSE strftime(CASE WHEN token = '1950' THEN DATE '1950-06-01' ELSE make_date(token::INT, 1, 1) END - (doc_id % 700 + 365)::INT, '%Y') END AS put
+  FROM ({_READ}) r)"""
+
+
+@query(f"""WITH {_JOB},
+p AS (SELECT phi.doc_id, phi.start, phi.stop, n.stop AS upto, n.put FROM phi LEFT JOIN norms n ON n.doc_id = phi.doc_id AND n.start = phi.start AND n.put IS NOT NULL),
+parts AS (
+  SELECT doc_id, start, coalesce(upto, stop) AS stop, coalesce(put, '*****') AS put FROM p
+  UNION ALL SELECT doc_id, upto, stop, '*****' FROM p WHERE upto < stop),
+o AS (SELECT x.*, d.text, coalesce(lag(x.stop) OVER (PARTITION BY x.doc_id ORDER BY x.start), 0) AS before FROM parts x JOIN documents d USING (doc_id)),
+j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || put, '' ORDER BY start) AS head, max(stop) AS last FROM o GROUP BY doc_id)
+SELECT d.doc_id, coalesce(head || substring(text, (last + 1)::BIGINT), text) AS text FROM documents d LEFT JOIN j USING (doc_id)""")
 def deidentify_documents(spark, sf_dir):
     """Filters, known identifiers, surrogate dates and ages, and masks in one plan."""
     return _job(spark, sf_dir).masked
 
 
-@query()
+@query(f"""WITH {_JOB},
+n AS (SELECT doc_id, count(*) FILTER (WHERE phi_type = 'DATE') AS parsed, count(*) FILTER (WHERE phi_type = 'DATE' AND put IS NOT NULL) AS put FROM norms GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM phi GROUP BY doc_id)
+SELECT doc_id, strlen(text)::BIGINT AS file_size, coalesce(a.n, 0) AS total_tokens, coalesce(b.n, 0) AS phi_tokens,
+  coalesce(parsed, 0) AS successfully_normalized, 0::BIGINT AS failed_normalized, coalesce(put, 0) AS successfully_surrogated, coalesce(parsed - put, 0) AS failed_surrogated
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def deidentify_log(spark, sf_dir):
     """One row per note: sizes, tokens, protected tokens, dates read and shifted."""
     return _job(spark, sf_dir).logs()["detailed_batch_summary"]
 
 
+@query(f"WITH {_JOB} SELECT phi_type, count(*) AS n FROM norms WHERE put IS NOT NULL GROUP BY phi_type")
+def surrogate_counts(spark, sf_dir):
+    """Dates and ages that have a replacement, by type."""
+    return R.surrogate_counts(_job(spark, sf_dir).norms)
+
+
 # ---- reports
 
 
@@ -684,6 +778,26 @@ def phi_type_counts(spark, sf_dir):
 _SUM = f"""{RESOLVED}, summary AS (SELECT d.doc_id, strlen(d.text)::BIGINT AS file_size, coalesce(a.n, 0)::BIGINT AS total_tokens, coalesce(b.n, 0)::BIGINT AS phi_tokens FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM phi GROUP BY 1) b USING (doc_id))"""
 
 
+@query(f"WITH {_LAB}, e AS (SELECT * FROM lab WHERE label <> 'TN') SELECT doc_id, label, count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM e GROUP BY doc_id, label")
+def label_lists(spark, sf_dir):
+    """The words of each label, note by note."""
+    toks, lab = _labelled(spark, sf_dir)
+    rows = lab.where("label <> 'TN'").join(toks.select("doc_id", "start", "token"), ["doc_id", "start"])
+    return E.listed(rows, "doc_id").withColumn("words", F.array_join("words", " "))
+
+
+@query(f"WITH {RESOLVED} SELECT count(DISTINCT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g')) AS n_shapes, count(*) AS n FROM phi JOIN documents USING (doc_id)")
+def distinct_shapes(spark, sf_dir):
+    rows = resolved(notes(spark, sf_dir), FLAGSHIP, words=True).select(F.inline("protected"))
+    return R.distinct_shapes(rows.select(M.shape(F.col("token")).alias("shape")))
+
+
+@query("WITH u AS (SELECT doc_id, ('0x' || substring(md5(doc_id::VARCHAR), 1, 7))::INT / 268435456.0::DOUBLE AS u FROM documents) SELECT doc_id, CASE WHEN u < 24 / 66.0::DOUBLE THEN 'a' WHEN u < 38 / 66.0::DOUBLE THEN 'b' WHEN u < 52 / 66.0::DOUBLE THEN 'c' ELSE 'd' END AS part FROM u")
+def weighted_split(spark, sf_dir):
+    """Notes dealt to four parts by weight."""
+    return P.weighted_split(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"a": 24, "b": 14, "c": 14, "d": 14})
+
+
 @query(f"WITH {_SUM} SELECT * FROM summary")
 def doc_summary(spark, sf_dir):
     d, phi = _phi(spark, sf_dir)
@@ -696,14 +810,24 @@ def batch_summary(spark, sf_dir):
     return R.batch_summary(doc_summary(spark, sf_dir))
 
 
-@query(f"SELECT lower(token) AS word, count(*) AS n, count(*) FILTER (WHERE regexp_matches(token, '^[A-Z]')) AS capital FROM ({TOK}) GROUP BY 1")
+_PHI_TOK = f"{RESOLVED}, flagged AS (SELECT tok.*, EXISTS (SELECT 1 FROM phi WHERE phi.doc_id = tok.doc_id AND phi.start < tok.stop AND phi.stop > tok.start) AS phi FROM tok)"
+
+
+def _flagged(spark, sf_dir):
+    d, phi = _phi(spark, sf_dir)
+    toks = S.tokens(d)
+    held = E.token_types(toks, phi).select("doc_id", "start", F.lit(True).alias("phi"))
+    return toks.join(held, ["doc_id", "start"], "left").withColumn("phi", F.coalesce("phi", F.lit(False)))
+
+
+@query(f"WITH {_PHI_TOK} SELECT lower(token) AS word, count(*) AS n, count(*) FILTER (WHERE phi) AS n_phi FROM flagged GROUP BY 1")
 def unigram_freq(spark, sf_dir):
-    return S.tokens(docs(spark, sf_dir)).groupBy(F.lower("token").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("token").rlike("^[A-Z]")).alias("capital"))
+    return R.word_counts(_flagged(spark, sf_dir))
 
 
-@query(f"WITH b AS (SELECT lower(token) AS word, lower(lead(token) OVER (PARTITION BY doc_id ORDER BY nth)) AS next_word FROM ({TOK})) SELECT word, next_word, count(*) AS n FROM b WHERE next_word IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+@query(f"WITH {_PHI_TOK}, b AS (SELECT lower(token) AS word, lower(lead(token) OVER w) AS next_word, phi AND lead(phi) OVER w AS pair FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY nth)) SELECT word, next_word, count(*) AS n, count(*) FILTER (WHERE pair) AS n_phi FROM b WHERE next_word IS NOT NULL GROUP BY ALL")
 def bigram_freq(spark, sf_dir):
-    return R.bigrams(S.tokens(docs(spark, sf_dir))).where("n > 1")
+    return R.bigrams(_flagged(spark, sf_dir))
 
 
 @query("WITH r AS (SELECT unnest(range(20))::INT AS replicate), u AS (SELECT replicate, n_chars, ('0x' || substring(md5(replicate::VARCHAR || ':' || doc_id::VARCHAR), 1, 7))::INT / 268435456.0::DOUBLE AS u FROM documents, r), w AS (SELECT *, " + " + ".join(f"(u >= {x})::INT" for x in R.POISSON) + " AS w FROM u) SELECT replicate, sum(w)::BIGINT AS n, sum(w * n_chars)::BIGINT AS total FROM w GROUP BY replicate")
@@ -711,40 +835,45 @@ def bootstrap(spark, sf_dir):
     return R.bootstrap(t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 20)
 
 
-@query("SELECT phi, failed, count(*) AS n FROM (SELECT event_type AS phi, value IS NULL OR value < 10 AS failed FROM events) GROUP BY ALL")
+_JOB_EXC = " UNION ALL ".join(f"SELECT doc_id, start, stop, '{k}' AS phi_type FROM ({_sp(p)})" for k, p in (("DATE", YEAR), ("AGE<90", AGED)))
+
+
+@query(f"""WITH j AS ({_JOB_EXC}), k AS (SELECT phi_type, phi_type = 'AGE<90' OR (substring(text, (start + 1)::BIGINT, 4) <> '0000') AS read FROM j JOIN documents USING (doc_id))
+SELECT phi_type, count(*) FILTER (WHERE read) AS parsed, count(*) FILTER (WHERE NOT read) AS failed, 0::BIGINT AS replaced FROM k GROUP BY phi_type""")
 def parse_outcomes(spark, sf_dir):
-    """Successes and failures by kind."""
-    return t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("phi"), F.expr("value is null or value < 10").alias("failed")).agg(F.count(F.lit(1)).alias("n"))
+    """Dates and ages that could be read, by type; without metadata none is replaced."""
+    return R.parse_outcomes(deidentify(notes(spark, sf_dir), [Pattern("year", "regex", True, "DATE", YEAR), Pattern("age", "regex", True, "AGE<90", AGED)]).norms)
 
 
-@query("SELECT max(turn) + 1 AS next_run FROM conversations")
+@query("SELECT role, (max(turn) + 1)::BIGINT AS next_run FROM conversations GROUP BY role")
 def next_run(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").agg((F.max("turn") + 1).alias("next_run"))
+    """The number of the next run of each batch."""
+    return R.next_run(t(spark, sf_dir, "conversations").withColumnRenamed("turn", "run"), "role")
 
 
 @query("SELECT DISTINCT lang, source FROM documents")
 def distinct_batches(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return R.batches(t(spark, sf_dir, "documents"), "lang", "source")
 
 
-@query("SELECT c.conv_id, c.turn, d.doc_id FROM conversations c JOIN documents d ON c.conv_id = d.doc_id WHERE c.role = 'user'")
+@query("SELECT d.doc_id, c.turn, d.lang FROM conversations c JOIN documents d ON c.conv_id = d.doc_id WHERE c.role = 'user'")
 def batch_notes(spark, sf_dir):
     """A batch of keys joined to its notes."""
-    c = t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
-    return c.join(t(spark, sf_dir, "documents").select("doc_id"), F.col("conv_id") == F.col("doc_id"))
+    batch = t(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("doc_id"), "turn")
+    return P.batch_notes(batch, t(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
-@query("SELECT doc_id, coalesce(quality, -1) AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT o_orderkey AS note_key, p.date_offset FROM orders LEFT JOIN (SELECT c_custkey, max(c_nationkey)::INT AS date_offset FROM customer WHERE c_acctbal > 0 GROUP BY 1) p ON o_custkey = c_custkey")
 def metadata_left_join(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id").join(t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+    """Notes with their patient's offset, where there is one."""
+    patients = t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("patient_ID"), F.col("c_nationkey").alias("date_offset"))
+    return P.note_offsets(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note_key"), F.col("o_custkey").alias("patient_ID")), patients)
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT -1 - doc_id FROM labels WHERE doc_id NOT IN (SELECT item_id FROM benchmark)")
+@query("WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT conv_id AS doc_id FROM conversations) SELECT doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'first' ELSE 'second' END AS side FROM a FULL JOIN b USING (doc_id)")
 def key_sets(spark, sf_dir):
     """Keys in both of two sets, and keys in one only."""
-    lab = t(spark, sf_dir, "labels").select("doc_id")
-    one = lab.join(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti").select((-1 - F.col("doc_id")).alias("doc_id"))
-    return t(spark, sf_dir, "documents").select("doc_id").join(lab, "doc_id", "left_semi").union(one)
+    return P.key_sets(t(spark, sf_dir, "documents"), t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")), "doc_id")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id::VARCHAR) LIMIT 25")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.mask import annotation_tag
-from ..operators.prepare import note_key, probe_kind, shard, surrogate_meta
+from ..operators.prepare import note_key, note_offsets, probe_kind, shard, surrogate_meta
+from ..operators.reports import next_run, surrogate_counts
 
 
 #: Byte order marks and the charsets they tell; without one, UTF-8 if the bytes are that, else `fallback`.
@@ -30,7 +31,7 @@ def text_notes(spark: SparkSession, path: str, fallback: str = "ISO-8859-1") ->
     """doc_id (the file's path below `path`), note_key, text of *txt files, but those of meta_data.
 
     Files of one name in different directories are different notes with one note_key, by which
-    side inputs name them.
+    side inputs name them. Empty files have no row, as Spark reads none of them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*txt").load(path).where(~F.contains("path", F.lit("meta_data")))
     return raw.select(below(F.col("path"), path).alias("doc_id"), note_key(F.col("path")).alias("note_key"), decoded(F.col("content"), fallback).alias("text"))
@@ -108,8 +109,7 @@ def write_log(df: DataFrame, path: str, sep: str = "\t") -> None:
 
 def append_run(df: DataFrame, path: str, runs: DataFrame | None = None) -> int:
     """Append df under the next run number (1 where there is none yet), which is returned."""
-    last = runs.agg(F.max("run")).first()[0] if runs is not None else None
-    run = int(last or 0) + 1
+    run = int(next_run(runs).first()["next_run"]) if runs is not None else 1
     df.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
     return run
 
@@ -122,9 +122,7 @@ def known_phi_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def note_offsets_csv(spark: SparkSession, notes: str, patients: str) -> DataFrame:
     """note_key, date_offset of two files: notes by patient, and patients by offset; null where a patient has none."""
-    info, pats = (spark.read.csv(p, header=True, inferSchema=False) for p in (notes, patients))
-    offset = pats.groupBy("patient_ID").agg(F.max("date_offset").alias("date_offset"))
-    return info.join(offset, "patient_ID", "left").select("note_key", F.col("date_offset").try_cast("int").alias("date_offset"))
+    return note_offsets(*(spark.read.csv(p, header=True, inferSchema=False) for p in (notes, patients)))
 
 
 def write_note_files(notes: DataFrame, path: str, sharded: bool = True) -> None:
@@ -193,6 +191,31 @@ def write_evaluation(results: dict[str, DataFrame], path: str) -> None:
             df.write.mode("overwrite").json(f"{path}/{name}")
 
 
+def write_detailed_evaluation(errors: DataFrame, path: str, width: int = 10) -> None:
+    """Tables of errors(doc_id, start, label, token, tag, pos, context, exclude_filters, include_filters), `|` between columns.
+
+    fn_tags_context and fp_tags_context have each error, fn_tags and fp_tags the errors that are
+    alike in all but place and context, with their number; summary.json the counts by label.
+    """
+    by = ["token", "tag", "pos", "exclude_filters", "include_filters"]
+    for label in ("FN", "FP"):
+        rows = errors.where(F.col("label") == label)
+        write_log(rows.select("doc_id", "start", *by, "context"), f"{path}/{label.lower()}_tags_context", "|")
+        write_log(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("occurrences"), F.min("doc_id").alias("first_doc")), f"{path}/{label.lower()}_tags", "|")
+    errors.groupBy("label").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/summary")
+
+
+def write_surrogate_logs(norms: DataFrame, path: str, evaluation: DataFrame | None = None) -> None:
+    """shifted_dates, surrogated_text, counts_by_phi_type, failed_to_parse and, of evaluate.shift_evaluation(), date_shift_eval, `|` between columns, of norms(doc_id, start, stop, phi_type, token, date, age, replacement)."""
+    day, shown = norms.where("phi_type = 'DATE'"), ("doc_id", "start", "stop", "token")
+    write_log(day.where("date is not null").select(*shown, "replacement"), f"{path}/shifted_dates", "|")
+    write_log(norms.where("replacement is not null").select(*shown, "phi_type", "replacement"), f"{path}/surrogated_text", "|")
+    write_log(surrogate_counts(norms), f"{path}/counts_by_phi_type", "|")
+    write_log(day.where("date is null").select(*shown), f"{path}/failed_to_parse", "|")
+    if evaluation is not None:
+        write_log(evaluation, f"{path}/date_shift_eval", "|")
+
+
 def summaries(spark: SparkSession, *paths: str) -> DataFrame:
     """The detailed summaries of several batches as one: by reports.batch_summary, the summary over all."""
     df = spark.read.csv(list(paths), sep="\t", header=True, inferSchema=False)
