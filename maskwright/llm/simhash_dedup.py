@@ -226,10 +226,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = docs.withColumn("_mw_key", row_key("doc_id", "text"))
     found = written(classes(keyed, ("doc_id", "_mw_key")).groupBy("root", "doc_id", "_mw_key").count(), "near-copies")
-    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_mw_key"))["_mw_key"].alias("_mw_best"))
-    judged = written(found.join(best, "root").select("_mw_key", (F.col("_mw_key") == F.col("_mw_best")).alias("stays"), "count"), "judged-copies")
-    kept = keyed.join(judged.where("not stays").select("_mw_key"), "_mw_key", "left_anti")
-    twice = judged.where("stays and count > 1").select("_mw_key")
+    # a key lies in one component, so membership needs no join by component, of which some are large
+    best = written(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_mw_key"))["_mw_key"].alias("_mw_key")).select("_mw_key"), "best-copies")
+    drop = written(found.select("_mw_key").join(best, "_mw_key", "left_anti"), "dropped-copies")
+    twice = written(found.where("count > 1").select("_mw_key").join(best, "_mw_key", "left_semi"), "repeated-copies")
+    kept = keyed.join(drop, "_mw_key", "left_anti")
     if twice.isEmpty():
         return kept.select(docs.columns)
     own = [F.col(f"`{c}`") for c in docs.columns]
