@@ -2,7 +2,7 @@
 
 Trust is a personalised PageRank from trusted hosts along links between hosts; distrust is
 one from blocked hosts along reversed links. A host whose distrust exceeds its trust by a
-factor is blocked. Ranks are joins and sums in Spark, written out every round, until no
+factor is blocked. Ranks are joins and sums in Spark, written out every few rounds, until no
 host's rank changes by more than a share of TOLERANCE.
 """
 
@@ -36,6 +36,8 @@ SEED_SHARE = 0.5
 TOLERANCE = 1e-6
 #: Rounds after which ranks that have not settled are an error. Hosts in cycles take about 85, hosts up a chain its length besides.
 MOST_ROUNDS = 1000
+#: Rounds of one plan, after which ranks are written.
+ROUNDS_WRITTEN = 4
 
 
 def parts(url):
@@ -83,17 +85,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int | None = 8, dampin
     shares = written(edges.join(degree, "src").select("src", "dst", (F.col("n") / F.col("degree")).alias("share")), "shares")
     if shares.isEmpty():
         return start.select("host", F.col("seed").alias("rank"))
-    rank = start.select("host", F.col("seed").alias("rank"))
-    for _ in range(MOST_ROUNDS if rounds is None else rounds):
-        moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before"))
-        again = start.select("host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
-        last = rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
-        rank = written(moved.unionByName(again).unionByName(last).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+    again = start.select("host", (F.col("seed") * (1 - damping)).alias("rank"), F.lit(0.0).alias("before"))
+    rank, done, most = start.select("host", F.col("seed").alias("rank")), 0, MOST_ROUNDS if rounds is None else rounds
+    while done < most:
+        for _ in range(min(ROUNDS_WRITTEN, most - done)):
+            moved = shares.join(rank, shares["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"), F.lit(0.0).alias("before"))
+            last = rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))
+            rank = moved.unionByName(again).unionByName(last).groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before"))
+            done += 1
+        rank = written(rank, "rank")
         if rounds is None and rank.where(F.abs(F.col("rank") - F.col("before")) > TOLERANCE * F.col("rank")).isEmpty():
-            break
-    else:
-        if rounds is None:
-            raise RuntimeError(f"ranks of hosts did not settle within {MOST_ROUNDS} rounds")
+            return rank.select("host", "rank")
+    if rounds is None:
+        raise RuntimeError(f"ranks of hosts did not settle within {MOST_ROUNDS} rounds")
     return rank.select("host", "rank")
 
 

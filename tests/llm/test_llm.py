@@ -12,6 +12,7 @@ pytest.importorskip("maskwright.llm")
 
 import corpus_pipeline  # noqa: E402
 from maskwright.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, url_filters, warc  # noqa: E402
+from maskwright.llm.common import written  # noqa: E402
 from maskwright.llm.components import components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -322,11 +323,13 @@ def test_url_filters(spark):
         (7, url("bad.com"), link("spam.net", "bad.com")), (8, url("spam.net"), link("victim.com")), (9, url("victim.com"), ""), (10, url("www.example.com", "/de/"), ""), (11, url("myexample.com", "/de/"), ""), (11, url("myexample.com", "/de/"), ""), (12, "ftp://h#a?b", None), (13, url("x.org?/fr/", ""), None),
     ]
     df = spark.createDataFrame([(*p, "h", 1.0) for p in pages], "page_id long, url string, html string, host string, rank double")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.judge(df).collect()}
+    judged = written(url_filters.judge(df), "judged")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judged.collect()}
     assert got[1] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[2][2:] == ("net/", "block") and got[3] == got[4] == ("", "", None, "allow")
     assert got[5][2:] == ("org/fr/", "allow") and got[6][3] == "allow" and got[7][2:] == (None, "block") and got[8][2:] == ("net/", "block") and got[9][3] == "allow"
     assert got[10][2:] == ("example.com/de/", "block") and got[11][2] is None and got[12][:2] == ("h", "") and got[13][:3] == ("x.org", "", None)
-    assert url_filters.judge(df).count() == len(pages) and url_filters.judge(df.limit(0)).count() == 0
+    assert judged.count() == len(pages) and url_filters.judge(df.limit(0)).count() == 0
+    same_rows(judged, url_filters.SQL, pages=df.select("page_id", "url", "html"))
 
 
 def test_propagation_against_power_iteration(spark):
@@ -356,7 +359,9 @@ def test_propagation_settles_along_a_chain(spark):
 def test_url_filters_block_up_a_long_chain(spark):
     page = lambda i, to: (i, f"http://h{i}.com/", f'<a href="http://{to}/">')
     df = spark.createDataFrame([page(i, f"h{i - 1}.com" if i > 1 else "spam.net") for i in range(1, 11)] + [(0, "http://spam.net/", "")], "page_id long, url string, html string")
-    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(df).collect()} == {i: "block" for i in range(11)}
+    judged = written(url_filters.judge(df), "judged")
+    assert {r["page_id"]: r["verdict"] for r in judged.collect()} == {i: "block" for i in range(11)}
+    same_rows(judged, url_filters.SQL, pages=df)
 
 
 def test_unsettled_ranks_raise(spark, monkeypatch):
