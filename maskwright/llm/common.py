@@ -52,9 +52,9 @@ def made() -> int:
     return len(_MADE)
 
 
-def clear(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
-    """Delete the scratch tables made since a mark, except those of the given paths. What still reads them must be done."""
-    for path in [p for p in _MADE[since:] if p not in but]:
+def clear(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the scratch tables made since a mark, but for the last where that is to be kept. What still reads them must be done."""
+    for path in _MADE[since : len(_MADE) - keep_last]:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         _MADE.remove(path)

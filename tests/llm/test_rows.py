@@ -151,10 +151,10 @@ def test_url_rows_with_clashing_columns(spark):
 
 def test_scratch_tables_go(spark):
     mark = common.made()
-    keep = common.written(spark.range(3), "keep")
     common.written(spark.range(3), "go")
-    kept, gone = common._MADE[mark:]
-    common.clear(spark, mark, (kept,))
+    keep = common.written(spark.range(3), "keep")
+    gone, kept = common._MADE[mark:]
+    common.clear(spark, mark, keep_last=True)
     assert keep.count() == 3 and common._MADE[mark:] == [kept]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(gone)
