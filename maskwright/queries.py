@@ -99,8 +99,10 @@ RESOLVED = _resolved_sql(_EXC)
 
 def _masked_sql(put: str) -> str:
     return f"""WITH {RESOLVED},
-o AS (SELECT p.doc_id, p.start, p.stop, substring(d.text, (p.start + 1)::BIGINT, (p.stop - p.start)::BIGINT) AS token, d.text, coalesce(lag(p.stop) OVER (PARTITION BY p.doc_id ORDER BY p.start), 0) AS before, p.phi_type FROM phi p JOIN documents d USING (doc_id)),
-j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || {put}, '' ORDER BY start) AS head, max(stop) AS last FROM o GROUP BY doc_id)
+o AS (SELECT p.doc_id, p.start, p.stop, substring(d.text, (p.start + 1)::BIGINT, (p.stop - p.start)::BIGINT) AS token, d.text, coalesce(lag(p.stop) OVER (PARTITION BY p.doc_id ORDER BY p.start), 0) AS before, p.phi_type
+FROM phi p JOIN documents d USING (doc_id)),
+j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || {put}, '' ORDER BY start) AS head, max(stop) AS last
+FROM o GROUP BY doc_id)
 SELECT d.doc_id, coalesce(head || substring(text, (last + 1)::BIGINT), text) AS text FROM documents d LEFT JOIN j USING (doc_id)"""
 
 
@@ -131,7 +133,8 @@ def token_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit("[A-Za-z0-9]+")).cast("long").alias("word_count"), pieces.cast("long").alias("reference_token_count"), F.octet_length("text").cast("long").alias("file_size"))
 
 
-@query(r"""WITH c AS (SELECT unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_'']+'), lambda w: string_split_regex(w, '[''_]'))), lambda x: x <> '')) AS word FROM documents)
+@query(r"""WITH c AS (SELECT unnest(list_filter(flatten(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_'']+'), lambda w: string_split_regex(w, '[''_]'))), lambda x: x <> '')) AS word
+FROM documents)
 SELECT word, count(*) AS n FROM c GROUP BY word""")
 def clean_tokens(spark, sf_dir):
     """Words cut at punctuation, with how often they occur."""
@@ -205,7 +208,8 @@ _NO_NAMES = ", ".join(f"'{w}'" for w in PR.NO_NAMES)
 _PROBE_WORDS = f"""SELECT DISTINCT doc_id, unnest([w, w || 's']) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES})) WHERE len(w) > 1 AND w NOT IN ({_NO_NAMES})"""
 
 
-@query(f"""WITH p AS ({_PROBE_WORDS}) SELECT t.doc_id, start, stop, token FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND p.word = lower(t.token))""")
+@query(f"""WITH p AS ({_PROBE_WORDS}) SELECT t.doc_id, start, stop, token FROM ({TOK}) t WHERE EXISTS (SELECT 1 FROM p
+WHERE p.doc_id = t.doc_id AND p.word = lower(t.token))""")
 def dynamic_set_spans(spark, sf_dir):
     return FI.dynamic_set_spans(docs(spark, sf_dir), _probes(spark, sf_dir))
 
@@ -215,7 +219,8 @@ def probe_words(spark, sf_dir):
     return PR.words(_probes(spark, sf_dir))
 
 
-@query(f"""SELECT DISTINCT doc_id, w AS regex FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES})) WHERE (len(w) < 2 OR w IN ({_NO_NAMES})) AND NOT regexp_matches(w, '^[0-9]+$')""")
+@query(f"""SELECT DISTINCT doc_id, w AS regex FROM (SELECT doc_id, unnest(regexp_extract_all(lower(value), '[a-z0-9]+')) AS w FROM ({_PROBES}))
+WHERE (len(w) < 2 OR w IN ({_NO_NAMES})) AND NOT regexp_matches(w, '^[0-9]+$')""")
 def probe_short_words(spark, sf_dir):
     return PR.short_words(_probes(spark, sf_dir))
 
@@ -224,7 +229,9 @@ def probe_short_words(spark, sf_dir):
 _OWN = r"""SELECT doc_id, 'workplace' AS kind, regexp_extract(text, '[A-Za-z]{4,} [A-Za-z]{4,}') AS value FROM documents UNION ALL SELECT doc_id, 'address', regexp_extract(text, '[0-9]+ [A-Za-z]{4,}') FROM documents UNION ALL SELECT doc_id, 'phone', regexp_extract(text, '\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}') FROM documents"""
 _KEPT = "list_filter(runs, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in PR.NO_CITIES) + "))"
 _OWN_REGEX = f"""own AS ({_OWN}), r AS (SELECT doc_id, kind, regexp_extract_all(lower(value), '[a-z0-9]+') AS runs FROM own WHERE value <> ''),
-rx AS (SELECT DISTINCT * FROM (SELECT doc_id, CASE kind WHEN 'phone' THEN array_to_string(runs, '{PR.GAPS["phone"]}') WHEN 'address' THEN array_to_string({_KEPT}, '{PR.GAPS["address"]}') ELSE array_to_string(runs, '{PR.GAPS["workplace"]}') END AS regex FROM r) WHERE regex <> '')"""
+rx AS (SELECT DISTINCT *
+FROM (SELECT doc_id, CASE kind WHEN 'phone' THEN array_to_string(runs, '{PR.GAPS["phone"]}') WHEN 'address' THEN array_to_string({_KEPT}, '{PR.GAPS["address"]}') ELSE array_to_string(runs, '{PR.GAPS["workplace"]}') END AS regex
+FROM r) WHERE regex <> '')"""
 
 
 def _own_probes(d):
@@ -238,18 +245,23 @@ def probe_regexes(spark, sf_dir):
     return PR.regexes(_own_probes(docs(spark, sf_dir)))
 
 
-@query(f"""WITH {_OWN_REGEX}, p AS (SELECT doc_id, text, '(?i)(?:' || pat || ')' AS pat FROM documents JOIN (SELECT doc_id, string_agg(regex, '|' ORDER BY len(regex) DESC, regex) AS pat FROM rx GROUP BY doc_id) USING (doc_id)),
+@query(f"""WITH {_OWN_REGEX}, p AS (SELECT doc_id, text, '(?i)(?:' || pat || ')' AS pat FROM documents
+JOIN (SELECT doc_id, string_agg(regex, '|' ORDER BY len(regex) DESC, regex) AS pat FROM rx GROUP BY doc_id) USING (doc_id)),
 m AS (SELECT doc_id, regexp_extract_all(text, pat) AS ms, string_split_regex(text, pat) AS gs FROM p)
-SELECT doc_id, (stop - len(token))::BIGINT AS start, stop::BIGINT AS stop, token FROM (SELECT doc_id, token, sum(len(gap) + len(token)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM (SELECT doc_id, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS nth FROM m))""")
+SELECT doc_id, (stop - len(token))::BIGINT AS start, stop::BIGINT AS stop, token
+FROM (SELECT doc_id, token, sum(len(gap) + len(token)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop
+FROM (SELECT doc_id, unnest(ms) AS token, unnest(gs[1:len(ms)]) AS gap, unnest(range(len(ms))) AS nth FROM m))""")
 def dynamic_regex_spans(spark, sf_dir):
     d = docs(spark, sf_dir)
     return FI.dynamic_regex_spans(d, _own_probes(d))
 
 
 @query(f"""WITH tk AS ({TOK}), n AS (SELECT conv_id AS doc_id, lower(unnest(regexp_extract_all(text, '^[A-Za-z0-9]+'))) AS form FROM conversations),
-f AS (SELECT DISTINCT tk.doc_id, start, stop, token FROM tk JOIN n ON tk.doc_id = n.doc_id AND lower(token) = form), had AS (SELECT doc_id, start, stop FROM tk WHERE regexp_matches(token, '^[A-Z]')),
+f AS (SELECT DISTINCT tk.doc_id, start, stop, token FROM tk JOIN n ON tk.doc_id = n.doc_id AND lower(token) = form),
+had AS (SELECT doc_id, start, stop FROM tk WHERE regexp_matches(token, '^[A-Z]')),
 new AS (SELECT f.* FROM f LEFT JOIN had USING (doc_id, start) WHERE had.stop IS NULL OR f.stop > had.stop)
-SELECT doc_id, start, stop, token, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context FROM new JOIN documents USING (doc_id)""")
+SELECT doc_id, start, stop, token, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context
+FROM new JOIN documents USING (doc_id)""")
 def known_identifiers(spark, sf_dir):
     """Tokens that equal the first word of the note's conversation, where the capitalised tokens are protected already."""
     d = docs(spark, sf_dir)
@@ -286,24 +298,28 @@ def _num(spark, sf_dir):
     return S.regex_spans(d, "[0-9][0-9.-]*").select(*cols).unionByName(S.regex_spans(d, "[A-Za-z]*[0-9]+[ ]?").select(*cols))
 
 
-@query(f"""WITH s AS ({_NUM}), r AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+@query(f"""WITH s AS ({_NUM}),
+r AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM r)
 SELECT doc_id, min(start) AS start, max(stop) AS stop FROM i GROUP BY doc_id, island""")
 def span_merge(spark, sf_dir):
     return S.merge(_num(spark, sf_dir))
 
 
-@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '^[A-Z]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start <= b.stop AND a.stop >= b.start)")
+@query(f"""WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '^[A-Z]') AND NOT EXISTS (SELECT 1 FROM b
+WHERE a.doc_id = b.doc_id AND a.start <= b.stop AND a.stop >= b.start)""")
 def span_overlap_antijoin(spark, sf_dir):
     return S.apart_from(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("^[A-Z]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
 
 
-@query(f"WITH a AS ({_sp('[^ ]+')}), b AS ({_NUM}) SELECT DISTINCT a.doc_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start")
+@query(f"""WITH a AS ({_sp('[^ ]+')}), b AS ({_NUM}) SELECT DISTINCT a.doc_id, greatest(a.start, b.start) AS start, least(a.stop, b.stop) AS stop FROM a
+JOIN b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start""")
 def span_intersections(spark, sf_dir):
     return S.intersections(S.regex_spans(docs(spark, sf_dir), "[^ ]+"), _num(spark, sf_dir))
 
 
-@query(f"WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[A-Z0-9]') AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.start = b.start)")
+@query(f"""WITH a AS ({TOK}), b AS ({_NUM}) SELECT doc_id, start, stop FROM a WHERE regexp_matches(token, '[A-Z0-9]') AND NOT EXISTS (SELECT 1 FROM b
+WHERE a.doc_id = b.doc_id AND a.start = b.start)""")
 def span_remove(spark, sf_dir):
     return S.removed(S.tokens(docs(spark, sf_dir)).where(F.col("token").rlike("[A-Z0-9]")), _num(spark, sf_dir)).select("doc_id", "start", "stop")
 
@@ -314,7 +330,8 @@ def include_exclude_resolution(spark, sf_dir):
     return inc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
 
 
-@query(f"WITH {RESOLVED} SELECT doc_id, start, stop, phi_type, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS word FROM phi JOIN documents USING (doc_id)")
+@query(f"""WITH {RESOLVED} SELECT doc_id, start, stop, phi_type, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS word FROM phi
+JOIN documents USING (doc_id)""")
 def complement_spans(spark, sf_dir):
     d, phi = _phi(spark, sf_dir)
     return S.with_text(phi, d, "word").select("doc_id", "start", "stop", "phi_type", "word")
@@ -342,14 +359,18 @@ def tag_replace(spark, sf_dir):
     return M.mask_rows(resolved(notes(spark, sf_dir), FLAGSHIP), M.tag_put)
 
 
-@query(f"""WITH {RESOLVED}, n AS (SELECT doc_id, start, stop, phi_type, replace(replace(replace(replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS i FROM phi JOIN documents USING (doc_id))
-SELECT doc_id, string_agg('<' || phi_type || ' id="P' || i || '" start="' || start || '" end="' || stop || '" text="' || tok || '" TYPE="' || phi_type || '" comment="" />', '' ORDER BY i) AS xml FROM n GROUP BY doc_id""")
+@query(f"""WITH {RESOLVED},
+n AS (SELECT doc_id, start, stop, phi_type, replace(replace(replace(replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS tok, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS i
+FROM phi JOIN documents USING (doc_id))
+SELECT doc_id, string_agg('<' || phi_type || ' id="P' || i || '" start="' || start || '" end="' || stop || '" text="' || tok || '" TYPE="' || phi_type || '" comment="" />', '' ORDER BY i) AS xml
+FROM n GROUP BY doc_id""")
 def annotation_xml(spark, sf_dir):
     d, phi = _phi(spark, sf_dir)
     return M.annotation_xml(S.with_text(phi, d))
 
 
-@query(f"WITH {RESOLVED} SELECT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g') AS shape, count(*) AS n FROM phi JOIN documents USING (doc_id) GROUP BY ALL")
+@query(f"""WITH {RESOLVED} SELECT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g') AS shape, count(*) AS n
+FROM phi JOIN documents USING (doc_id) GROUP BY ALL""")
 def shape_template(spark, sf_dir):
     d, phi = _phi(spark, sf_dir)
     return S.with_text(phi, d).groupBy(M.shape(F.col("token")).alias("shape")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape")
@@ -364,7 +385,8 @@ def char_context(spark, sf_dir):
     return rows.select("doc_id", "start", S.context_of(F.col("text"), 25).alias("context"), S.marked_context(F.col("text")).alias("marked"))
 
 
-@query(f"WITH c AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context FROM ({TOK})) SELECT doc_id, nth, token, context FROM c WHERE regexp_matches(token, '[0-9]')")
+@query(f"""WITH c AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context
+FROM ({TOK})) SELECT doc_id, nth, token, context FROM c WHERE regexp_matches(token, '[0-9]')""")
 def word_context_window(spark, sf_dir):
     return E.word_context(S.tokens(docs(spark, sf_dir)).select("doc_id", "nth", "token")).where(F.col("token").rlike("[0-9]"))
 
@@ -372,13 +394,15 @@ def word_context_window(spark, sf_dir):
 # ---- keys, paths, probes, words
 
 
-@query("SELECT page_id, ltrim(regexp_replace(regexp_extract('/notes/' || lpad(page_id::VARCHAR, 9, '0') || '_utf8.txt', '([^/]*)$', 1), '(_utf8)?(\\.txt|\\.xml)?$', ''), '0') AS note_key FROM pages")
+@query("""SELECT page_id, ltrim(regexp_replace(regexp_extract('/notes/' || lpad(page_id::VARCHAR, 9, '0') || '_utf8.txt', '([^/]*)$', 1), '(_utf8)?(\\.txt|\\.xml)?$', ''), '0') AS note_key
+FROM pages""")
 def note_key_normalise(spark, sf_dir):
     path = F.concat(F.lit("/notes/"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit("_utf8.txt"))
     return t(spark, sf_dir, "pages").select("page_id", P.note_key(path).alias("note_key"))
 
 
-@query("SELECT c_custkey, substring(k, 1, 2) || '/' || substring(k, 3, 3) || '/' || substring(k, 6, 3) || '/' || substring(k, 9, 3) AS path FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 11, '0') AS k FROM customer)")
+@query("""SELECT c_custkey, substring(k, 1, 2) || '/' || substring(k, 3, 3) || '/' || substring(k, 6, 3) || '/' || substring(k, 9, 3) AS path
+FROM (SELECT c_custkey, lpad(c_custkey::VARCHAR, 11, '0') AS k FROM customer)""")
 def path_shard(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", P.shard(F.col("c_custkey").cast("string")).alias("path"))
 
@@ -393,7 +417,9 @@ def control_scrub(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", P.scrub(F.col("text")).alias("text"))
 
 
-@query("""SELECT c_custkey, kind, value FROM (SELECT c_custkey, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'zip', lpad(c_nationkey::VARCHAR, 5, '0') FROM customer UNION ALL SELECT c_custkey, 'workplace', c_mktsegment FROM customer)""")
+@query("""SELECT c_custkey, kind, value FROM (SELECT c_custkey, 'name' AS kind, c_name AS value FROM customer
+UNION ALL SELECT c_custkey, 'zip', lpad(c_nationkey::VARCHAR, 5, '0') FROM customer UNION ALL SELECT c_custkey, 'workplace', c_mktsegment
+FROM customer)""")
 def probe_kinds(spark, sf_dir):
     """Columns of known identifiers unpivoted and folded into kinds."""
     c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("lname"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("ZIP"), F.col("c_mktsegment").alias("empr_id_cmt"))
@@ -401,7 +427,8 @@ def probe_kinds(spark, sf_dir):
 
 
 @query("""WITH v AS (SELECT o_orderkey, upper(n_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
-SELECT name, count(*) AS n FROM (SELECT DISTINCT o_orderkey, name FROM (SELECT * FROM v UNION ALL SELECT o_orderkey, upper(r_name) FROM v JOIN nation ON upper(n_name) = v.name JOIN region ON n_regionkey = r_regionkey)) GROUP BY name""")
+SELECT name, count(*) AS n FROM (SELECT DISTINCT o_orderkey, name FROM (SELECT * FROM v UNION ALL SELECT o_orderkey, upper(r_name) FROM v
+JOIN nation ON upper(n_name) = v.name JOIN region ON n_regionkey = r_regionkey)) GROUP BY name""")
 def nickname_expand(spark, sf_dir):
     """Note to patient to name (two hops), with aliases (the region of a nation) added."""
     n, r = t(spark, sf_dir, "nation"), t(spark, sf_dir, "region")
@@ -410,7 +437,8 @@ def nickname_expand(spark, sf_dir):
     return P.expand_names(names, alias).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH w AS ({_WORDS}) SELECT word FROM (SELECT word FROM w UNION SELECT lower(n_name) FROM nation) WHERE word NOT IN (SELECT word FROM w WHERE word LIKE '%tion%')")
+@query(f"""WITH w AS ({_WORDS}) SELECT word FROM (SELECT word FROM w UNION SELECT lower(n_name) FROM nation) WHERE word NOT IN (SELECT word FROM w
+WHERE word LIKE '%tion%')""")
 def whitelist_edit(spark, sf_dir):
     w = _word_set(spark, sf_dir)
     return P.edit_words(w, t(spark, sf_dir, "nation").select(F.lower("n_name").alias("word")), w.where("word like '%tion%'"))
@@ -430,7 +458,8 @@ def _gold(spark, sf_dir):
     return S.regex_spans(docs(spark, sf_dir), "[A-Z0-9]{2,}").select("doc_id", "start", "stop", "token", kind.alias("phi_type"))
 
 
-@query(f"SELECT * FROM ({_GOLD}) WHERE NOT ((phi_type = 'DATE' AND regexp_matches(token, '^[0-9]{{4}}$')) OR regexp_matches(token, '^[A-Z]{{1,3}}$') OR (phi_type = 'AGE<90' AND coalesce(try_cast(token AS INT) < 90, false)) OR (phi_type = 'NAME' AND lower(token) = 'id') OR lower(token) = '2001')")
+@query(f"""SELECT * FROM ({_GOLD})
+WHERE NOT ((phi_type = 'DATE' AND regexp_matches(token, '^[0-9]{{4}}$')) OR regexp_matches(token, '^[A-Z]{{1,3}}$') OR (phi_type = 'AGE<90' AND coalesce(try_cast(token AS INT) < 90, false)) OR (phi_type = 'NAME' AND lower(token) = 'id') OR lower(token) = '2001')""")
 def curate_gold(spark, sf_dir):
     return P.curate(_gold(spark, sf_dir), spark.createDataFrame([("NAME", "ID"), (None, "2001")], "phi_type string, word string"))
 
@@ -455,7 +484,8 @@ def _written_dates(spark, sf_dir):
 _RENDER = "CASE o_orderkey % 8 WHEN 2 THEN strftime(d, '%m/%d/%y') WHEN 4 THEN strftime(d, '%B %Y') WHEN 5 THEN strftime(d, '%B %d') WHEN 6 THEN strftime(d, '%B') WHEN 7 THEN strftime(d, '%Y') ELSE strftime(d, '%m/%d/%Y') END"
 
 
-@query(f"SELECT o_orderkey, {_RENDER} AS rendered, o_orderkey % 8 IN (5, 6) AS missing_year, o_orderkey % 8 IN (4, 6, 7) AS missing_day, o_orderkey % 8 = 2 AS missing_century FROM ({_ORD})")
+@query(f"""SELECT o_orderkey, {_RENDER} AS rendered, o_orderkey % 8 IN (5, 6) AS missing_year, o_orderkey % 8 IN (4, 6, 7) AS missing_day, o_orderkey % 8 = 2 AS missing_century
+FROM ({_ORD})""")
 def partial_date_render(spark, sf_dir):
     """Dates written in eight forms, parsed with what they lack, and rendered by what they have."""
     p = F.col("p")
@@ -471,7 +501,9 @@ def date_shift(spark, sf_dir):
 _AGE = "date_part('year', d) - date_part('year', b) - CASE WHEN d < b + to_years((date_part('year', d) - date_part('year', b))::INT) THEN 1 ELSE 0 END"
 
 
-@query(f"WITH x AS (SELECT o_orderkey, d, (DATE '1900-02-28' + (o_custkey * 37 % 30000)::INT) AS b FROM ({_ORD})), y AS (SELECT *, ({_AGE})::INT AS age FROM x) SELECT o_orderkey, age::INT AS age, CASE WHEN age > 90 THEN '*****' ELSE age::VARCHAR END AS shown, CASE WHEN age > 90 THEN (b + to_years(age - 90))::DATE ELSE b END AS capped FROM y")
+@query(f"""WITH x AS (SELECT o_orderkey, d, (DATE '1900-02-28' + (o_custkey * 37 % 30000)::INT) AS b FROM ({_ORD})), y AS (SELECT *, ({_AGE})::INT AS age FROM x)
+SELECT o_orderkey, age::INT AS age, CASE WHEN age > 90 THEN '*****' ELSE age::VARCHAR END AS shown, CASE WHEN age > 90 THEN (b + to_years(age - 90))::DATE ELSE b END AS capped
+FROM y""")
 def age_and_birth_cap(spark, sf_dir):
     rows = _orders(spark, sf_dir).withColumn("b", F.date_add(F.lit("1900-02-28").cast("date"), (F.col("o_custkey") * 37 % 30000).cast("int")))
     age = D.age_on(F.col("b"), F.col("d")).cast("int")
@@ -492,7 +524,8 @@ def fallback_offset(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT o_orderkey, d - 10 AS d FROM ({_ORD})), p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN d ELSE d - 10 END AS d FROM ({_ORD}))
-SELECT CASE WHEN g.d IS NOT NULL AND p.d IS NOT NULL THEN 'TP' WHEN p.d IS NOT NULL THEN 'FP' ELSE 'FN' END AS label, count(*) AS n FROM g FULL JOIN p ON g.o_orderkey = p.o_orderkey AND g.d = p.d GROUP BY 1""")
+SELECT CASE WHEN g.d IS NOT NULL AND p.d IS NOT NULL THEN 'TP' WHEN p.d IS NOT NULL THEN 'FP' ELSE 'FN' END AS label, count(*) AS n FROM g FULL
+JOIN p ON g.o_orderkey = p.o_orderkey AND g.d = p.d GROUP BY 1""")
 def date_shift_evaluation(spark, sf_dir):
     o = _orders(spark, sf_dir)
     g = o.select("o_orderkey", F.date_sub("d", 10).alias("d"))
@@ -501,8 +534,10 @@ def date_shift_evaluation(spark, sf_dir):
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, (o_custkey % 30)::INT AS off, d, o_orderkey % 8 AS k FROM ({_ORD})),
-y AS (SELECT o_orderkey, off, k, CASE k WHEN 4 THEN date_trunc('month', d)::DATE WHEN 7 THEN date_trunc('year', d)::DATE WHEN 5 THEN make_date(2000, month(d), day(d)) WHEN 6 THEN make_date(2000, month(d), 1) ELSE d END - off AS m FROM x)
-SELECT o_orderkey, CASE WHEN off = 0 THEN NULL ELSE CASE k WHEN 2 THEN strftime(m, '%m/%d/%y') WHEN 4 THEN strftime(m, '%B %Y') WHEN 5 THEN strftime(m, '%B %d') WHEN 6 THEN strftime(m, '%B') WHEN 7 THEN strftime(m, '%Y') ELSE strftime(m, '%m/%d/%Y') END END AS shifted FROM y""")
+y AS (SELECT o_orderkey, off, k, CASE k WHEN 4 THEN date_trunc('month', d)::DATE WHEN 7 THEN date_trunc('year', d)::DATE WHEN 5 THEN make_date(2000, month(d), day(d)) WHEN 6 THEN make_date(2000, month(d), 1) ELSE d END - off AS m
+FROM x)
+SELECT o_orderkey, CASE WHEN off = 0 THEN NULL ELSE CASE k WHEN 2 THEN strftime(m, '%m/%d/%y') WHEN 4 THEN strftime(m, '%B %Y') WHEN 5 THEN strftime(m, '%B %d') WHEN 6 THEN strftime(m, '%B') WHEN 7 THEN strftime(m, '%Y') ELSE strftime(m, '%m/%d/%Y') END END AS shifted
+FROM y""")
 def partial_date_shift(spark, sf_dir):
     """Dates written in eight forms, two of them without a year, shifted by their patient's offset and written by the parts they have."""
     rows = _written_dates(spark, sf_dir).join(_orders(spark, sf_dir).select("o_orderkey", "o_custkey"), "o_orderkey")
@@ -564,7 +599,9 @@ def precision_recall_by_doc(spark, sf_dir):
 
 
 @query(f"""WITH {_LAB}, h AS (SELECT doc_id, start, stop, 'digits' AS title FROM ({_sp('[0-9]+')}) UNION ALL SELECT doc_id, start, stop, 'caps' FROM ({_sp('[A-Z]+')})),
-e AS (SELECT lab.*, start + len(token) AS stop FROM lab WHERE label IN ('FP', 'FN')), p AS (SELECT e.doc_id, e.start, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL)
+e AS (SELECT lab.*, start + len(token) AS stop FROM lab WHERE label IN ('FP', 'FN')),
+p AS (SELECT e.doc_id, e.start, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT
+JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL)
 SELECT label, lower(token) AS word, {_POS} AS pos, titles, count(*) AS n, min(doc_id) AS first_doc FROM e JOIN p USING (doc_id, start) GROUP BY ALL""")
 def error_condensation(spark, sf_dir):
     """Errors that are alike in word, tag and the filters that hit them."""
@@ -577,16 +614,20 @@ def error_condensation(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{2,}')})), p AS (SELECT doc_id, start, stop FROM ({_sp('[0-9]+[A-Za-z]?')})),
-c AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS edge FROM (SELECT * FROM g UNION ALL SELECT * FROM p)), q AS (SELECT doc_id, edge AS start, lead(edge) OVER (PARTITION BY doc_id ORDER BY edge) AS stop FROM c),
-r AS (SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND q.start >= g.start AND q.stop <= g.stop) AS in_gold, EXISTS (SELECT 1 FROM p WHERE p.doc_id = q.doc_id AND q.start >= p.start AND q.stop <= p.stop) AS in_pred FROM q WHERE stop IS NOT NULL)
+c AS (SELECT DISTINCT doc_id, unnest([start, stop]) AS edge FROM (SELECT * FROM g UNION ALL SELECT * FROM p)),
+q AS (SELECT doc_id, edge AS start, lead(edge) OVER (PARTITION BY doc_id ORDER BY edge) AS stop FROM c),
+r AS (SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.doc_id = q.doc_id AND q.start >= g.start AND q.stop <= g.stop) AS in_gold, EXISTS (SELECT 1 FROM p
+WHERE p.doc_id = q.doc_id AND q.start >= p.start AND q.stop <= p.stop) AS in_pred FROM q WHERE stop IS NOT NULL)
 SELECT doc_id, start, stop, in_gold, in_pred FROM r WHERE in_gold OR in_pred""")
 def subtoken_alignment(spark, sf_dir):
     d = docs(spark, sf_dir)
     return E.align(S.regex_spans(d, "[A-Z0-9]{2,}"), S.regex_spans(d, "[0-9]+[A-Za-z]?"))
 
 
-@query(f"""WITH e AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{6,}')})), h AS (SELECT doc_id, start, stop, 'card' AS title FROM ({_sp(CARD)}) UNION ALL SELECT doc_id, start, stop, 'digits' FROM ({_sp('[0-9]+')}) UNION ALL SELECT doc_id, start, stop, 'caps' FROM ({_sp('[A-Z]+')}))
-SELECT e.doc_id, e.start, e.stop, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL""")
+@query(f"""WITH e AS (SELECT doc_id, start, stop FROM ({_sp('[A-Z0-9]{6,}')})), h AS (SELECT doc_id, start, stop, 'card' AS title FROM ({_sp(CARD)})
+UNION ALL SELECT doc_id, start, stop, 'digits' FROM ({_sp('[0-9]+')}) UNION ALL SELECT doc_id, start, stop, 'caps' FROM ({_sp('[A-Z]+')}))
+SELECT e.doc_id, e.start, e.stop, coalesce(string_agg(DISTINCT title, ',' ORDER BY title), '') AS titles FROM e LEFT
+JOIN h ON e.doc_id = h.doc_id AND h.start < e.stop AND h.stop > e.start GROUP BY ALL""")
 def error_provenance(spark, sf_dir):
     d = docs(spark, sf_dir)
     hits = None
@@ -619,8 +660,10 @@ def annotator_pairs(spark, sf_dir):
     return _annotators(spark, sf_dir)
 
 
-@query(f"""WITH {_TWO}, k AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE one = two) AS same FROM pairs), m AS (SELECT sum(x.n::DOUBLE * y.n) AS chance FROM (SELECT one AS l, sum(n) AS n FROM pairs GROUP BY 1) x JOIN (SELECT two AS l, sum(n) AS n FROM pairs GROUP BY 1) y USING (l))
-SELECT n::BIGINT AS n, round(same / n, 6) AS agreed, round(chance / n / n, 6) AS expected, round((same / n - chance / n / n) / (1 - chance / n / n), 6) AS kappa FROM k, m""")
+@query(f"""WITH {_TWO}, k AS (SELECT sum(n) AS n, sum(n) FILTER (WHERE one = two) AS same FROM pairs), m AS (SELECT sum(x.n::DOUBLE * y.n) AS chance
+FROM (SELECT one AS l, sum(n) AS n FROM pairs GROUP BY 1) x JOIN (SELECT two AS l, sum(n) AS n FROM pairs GROUP BY 1) y USING (l))
+SELECT n::BIGINT AS n, round(same / n, 6) AS agreed, round(chance / n / n, 6) AS expected, round((same / n - chance / n / n) / (1 - chance / n / n), 6) AS kappa
+FROM k, m""")
 def annotator_agreement(spark, sf_dir):
     """How far two labelings agree, beyond chance."""
     return E.agreement(_annotators(spark, sf_dir))
@@ -631,7 +674,8 @@ _STAR = r"(SELECT doc_id, regexp_replace(text, $$[{}]$$, $$*$$, $$g$$) AS text F
 
 @query(f"""WITH n AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', _STAR.format('0-9'))}), a AS ({_sp('[^ ' + chr(9) + '-' + chr(13) + ']+', _STAR.format('0-9A-F'))}),
 j AS (SELECT n.token AS n, a.token AS a FROM n JOIN a USING (doc_id, nth) WHERE regexp_matches(n.token, '[A-Za-z0-9*]')),
-g AS (SELECT 'TP' AS label, n AS word FROM j WHERE contains(a, '*') AND n = a UNION ALL SELECT 'TN', n FROM j WHERE NOT contains(a, '*') UNION ALL SELECT 'FN', n FROM j WHERE contains(a, '*') AND n <> a AND NOT regexp_matches(a, '[A-Za-z0-9]')
+g AS (SELECT 'TP' AS label, n AS word FROM j WHERE contains(a, '*') AND n = a UNION ALL SELECT 'TN', n FROM j WHERE NOT contains(a, '*')
+UNION ALL SELECT 'FN', n FROM j WHERE contains(a, '*') AND n <> a AND NOT regexp_matches(a, '[A-Za-z0-9]')
  UNION ALL SELECT 'FN', unnest(list_filter(string_split(array_to_string(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN n[i] = a[i] THEN ' ' ELSE n[i] END), ''), ' '), lambda w: w <> '')) FROM j WHERE contains(a, '*') AND n <> a AND regexp_matches(a, '[A-Za-z0-9]'))
 SELECT label, word, count(*) AS n FROM g GROUP BY ALL""")
 def graded_masks(spark, sf_dir):
@@ -651,17 +695,24 @@ def _tagged(spark, sf_dir):
     return lab.join(toks.select("doc_id", "start", "token"), ["doc_id", "start"]).withColumn("tag", F.when(F.col("label").isin("TP", "FN"), tag))
 
 
-@query(f"""WITH {_LAB}, k AS ({_TAGGED}), c AS (SELECT CASE WHEN label = 'TP' AND tag = 'JOB' THEN 'FP' WHEN label = 'FN' AND (tag = 'JOB' OR (tag = 'AGE' AND NOT coalesce(try_cast(token AS HUGEINT) >= 90, contains(token, 'ninety')))) THEN 'TN' ELSE label END AS label FROM k), m AS (SELECT {_MET} FROM c) SELECT *, {_RATIO} FROM m""")
+@query(f"""WITH {_LAB}, k AS ({_TAGGED}),
+c AS (SELECT CASE WHEN label = 'TP' AND tag = 'JOB' THEN 'FP' WHEN label = 'FN' AND (tag = 'JOB' OR (tag = 'AGE' AND NOT coalesce(try_cast(token AS HUGEINT) >= 90, contains(token, 'ninety')))) THEN 'TN' ELSE label END AS label
+FROM k), m AS (SELECT {_MET} FROM c) SELECT *, {_RATIO} FROM m""")
 def corrected_recall(spark, sf_dir):
     return E.metrics(E.corrected(_tagged(spark, sf_dir), E.tag_table(spark)))
 
 
-@query(f"""WITH {_LAB}, k AS (SELECT *, CASE tag WHEN 'AGE' THEN 'Age' WHEN 'CITY' THEN 'Location' ELSE 'Other' END AS category FROM ({_TAGGED}) WHERE label IN ('TP', 'FN')), g AS (SELECT category, tag, count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn FROM k GROUP BY ROLLUP (category, tag)) SELECT *, round(tp / (tp + fn), 6) AS recall FROM g""")
+@query(f"""WITH {_LAB}, k AS (SELECT *, CASE tag WHEN 'AGE' THEN 'Age' WHEN 'CITY' THEN 'Location' ELSE 'Other' END AS category FROM ({_TAGGED})
+WHERE label IN ('TP', 'FN')), g AS (SELECT category, tag, count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn
+FROM k GROUP BY ROLLUP (category, tag)) SELECT *, round(tp / (tp + fn), 6) AS recall FROM g""")
 def tag_recall(spark, sf_dir):
     return E.tag_recall(_tagged(spark, sf_dir), E.tag_table(spark))
 
 
-@query(f"""WITH {_LAB}, k AS ({_TAGGED}), w AS (SELECT label, unnest(CASE tag WHEN 'AGE' THEN ['patient'] WHEN 'CITY' THEN ['patient', 'provider'] ELSE [] END) AS "of" FROM k WHERE label IN ('TP', 'FN')), g AS (SELECT "of", count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn FROM w GROUP BY 1) SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall FROM g""")
+@query(f"""WITH {_LAB}, k AS ({_TAGGED}),
+w AS (SELECT label, unnest(CASE tag WHEN 'AGE' THEN ['patient'] WHEN 'CITY' THEN ['patient', 'provider'] ELSE [] END) AS "of" FROM k
+WHERE label IN ('TP', 'FN')), g AS (SELECT "of", count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FN') AS fn FROM w
+GROUP BY 1) SELECT *, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall FROM g""")
 def group_recall(spark, sf_dir):
     """Recall of what identifies patients, and of what identifies providers."""
     return E.group_recall(_tagged(spark, sf_dir), E.tag_table(spark))
@@ -685,14 +736,17 @@ def token_types(spark, sf_dir):
 _RANKED = ("PROBEREGEX", "NAME")
 
 
-@query(f"WITH r AS (SELECT a.doc_id, a.start, a.stop, phi_type, CASE phi_type WHEN 'PROBEREGEX' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END AS k FROM ({TOK}) a JOIN ({_TYPED}) b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start) SELECT doc_id, start, stop, arg_min(phi_type, k) AS phi_type FROM r GROUP BY ALL")
+@query(f"""WITH r AS (SELECT a.doc_id, a.start, a.stop, phi_type, CASE phi_type WHEN 'PROBEREGEX' THEN 0 WHEN 'NAME' THEN 1 ELSE 2 END AS k FROM ({TOK}) a
+JOIN ({_TYPED}) b ON a.doc_id = b.doc_id AND a.start < b.stop AND a.stop > b.start) SELECT doc_id, start, stop, arg_min(phi_type, k) AS phi_type
+FROM r GROUP BY ALL""")
 def first_type(spark, sf_dir):
     """One type a token: the first in an order of types."""
     d = docs(spark, sf_dir)
     return E.first_type(S.tokens(d), _typed(d), _RANKED)
 
 
-@query(f"WITH {_TT} SELECT doc_id, start, stop, types, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS probe, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context FROM tt JOIN documents USING (doc_id) WHERE types IN ('PROBEDYNAMICSET', 'PROBEREGEX')")
+@query(f"""WITH {_TT} SELECT doc_id, start, stop, types, substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT) AS probe, translate(substring(text, greatest(start - 10, 0) + 1, least(stop + 10, len(text)) - greatest(start - 10, 0)), chr(10) || chr(9), '  ') AS context
+FROM tt JOIN documents USING (doc_id) WHERE types IN ('PROBEDYNAMICSET', 'PROBEREGEX')""")
 def probe_report(spark, sf_dir):
     """Tokens that only known identifiers protect."""
     d = docs(spark, sf_dir)
@@ -702,7 +756,8 @@ def probe_report(spark, sf_dir):
 _DIGITLESS = r"(SELECT doc_id, regexp_replace(text, '[A-Za-z]*[0-9]+[A-Za-z]*', '*', 'g') AS text FROM documents)"
 
 
-@query(f"""WITH o AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context FROM ({TOK})), s AS (SELECT DISTINCT doc_id, token FROM ({_sp(S.TOKEN, _DIGITLESS)}))
+@query(f"""WITH o AS (SELECT doc_id, nth, token, string_agg(token, ' ') OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS context
+FROM ({TOK})), s AS (SELECT DISTINCT doc_id, token FROM ({_sp(S.TOKEN, _DIGITLESS)}))
 SELECT doc_id, nth, token, context FROM o WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = o.doc_id AND s.token = o.token)""")
 def masked_words(spark, sf_dir):
     """Words of a text that its masked form lacks, in context."""
@@ -710,7 +765,8 @@ def masked_words(spark, sf_dir):
     return E.absent_words(d, d.select("doc_id", F.regexp_replace("text", "[A-Za-z]*[0-9]+[A-Za-z]*", "*").alias("text")))
 
 
-@query(f"WITH f AS ({_sp('[0-9]+')}), g AS ({_sp('[A-Z0-9]{2,}')}) SELECT doc_id, start, stop FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = f.doc_id AND g.start <= f.start AND g.stop >= f.stop)")
+@query(f"""WITH f AS ({_sp('[0-9]+')}), g AS ({_sp('[A-Z0-9]{2,}')}) SELECT doc_id, start, stop FROM f WHERE NOT EXISTS (SELECT 1 FROM g
+WHERE g.doc_id = f.doc_id AND g.start <= f.start AND g.stop >= f.stop)""")
 def not_annotated(spark, sf_dir):
     """Found spans that lie within no annotation."""
     d = docs(spark, sf_dir)
@@ -743,7 +799,8 @@ parts AS (
   SELECT doc_id, start, coalesce(upto, stop) AS stop, coalesce(put, '*****') AS put FROM p
   UNION ALL SELECT doc_id, upto, stop, '*****' FROM p WHERE upto < stop),
 o AS (SELECT x.*, d.text, coalesce(lag(x.stop) OVER (PARTITION BY x.doc_id ORDER BY x.start), 0) AS before FROM parts x JOIN documents d USING (doc_id)),
-j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || put, '' ORDER BY start) AS head, max(stop) AS last FROM o GROUP BY doc_id)
+j AS (SELECT doc_id, string_agg(substring(text, (before + 1)::BIGINT, (start - before)::BIGINT) || put, '' ORDER BY start) AS head, max(stop) AS last
+FROM o GROUP BY doc_id)
 SELECT d.doc_id, coalesce(head || substring(text, (last + 1)::BIGINT), text) AS text FROM documents d LEFT JOIN j USING (doc_id)""")
 def deidentify_documents(spark, sf_dir):
     """Filters, known identifiers, surrogate dates and ages, and masks in one plan."""
@@ -751,7 +808,8 @@ def deidentify_documents(spark, sf_dir):
 
 
 @query(f"""WITH {_JOB},
-n AS (SELECT doc_id, count(*) FILTER (WHERE phi_type = 'DATE') AS parsed, count(*) FILTER (WHERE phi_type = 'DATE' AND put IS NOT NULL) AS put FROM norms GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) FILTER (WHERE phi_type = 'DATE') AS parsed, count(*) FILTER (WHERE phi_type = 'DATE' AND put IS NOT NULL) AS put
+FROM norms GROUP BY doc_id),
 a AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM phi GROUP BY doc_id)
 SELECT doc_id, strlen(text)::BIGINT AS file_size, coalesce(a.n, 0) AS total_tokens, coalesce(b.n, 0) AS phi_tokens,
   coalesce(parsed, 0) AS successfully_normalized, 0::BIGINT AS failed_normalized, coalesce(put, 0) AS successfully_surrogated, coalesce(parsed - put, 0) AS failed_surrogated
@@ -778,7 +836,8 @@ def phi_type_counts(spark, sf_dir):
 _SUM = f"""{RESOLVED}, summary AS (SELECT d.doc_id, strlen(d.text)::BIGINT AS file_size, coalesce(a.n, 0)::BIGINT AS total_tokens, coalesce(b.n, 0)::BIGINT AS phi_tokens FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM phi GROUP BY 1) b USING (doc_id))"""
 
 
-@query(f"WITH {_LAB}, e AS (SELECT * FROM lab WHERE label <> 'TN') SELECT doc_id, label, count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM e GROUP BY doc_id, label")
+@query(f"""WITH {_LAB}, e AS (SELECT * FROM lab WHERE label <> 'TN') SELECT doc_id, label, count(*) AS n, string_agg(token, ' ' ORDER BY start) AS words FROM e
+GROUP BY doc_id, label""")
 def label_lists(spark, sf_dir):
     """The words of each label, note by note."""
     toks, lab = _labelled(spark, sf_dir)
@@ -786,13 +845,16 @@ def label_lists(spark, sf_dir):
     return E.listed(rows, "doc_id").withColumn("words", F.array_join("words", " "))
 
 
-@query(f"WITH {RESOLVED} SELECT count(DISTINCT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g')) AS n_shapes, count(*) AS n FROM phi JOIN documents USING (doc_id)")
+@query(f"""WITH {RESOLVED} SELECT count(DISTINCT regexp_replace(regexp_replace(substring(text, (start + 1)::BIGINT, (stop - start)::BIGINT), '[0-9]', '`', 'g'), '[A-Za-z]', '?', 'g')) AS n_shapes, count(*) AS n
+FROM phi JOIN documents USING (doc_id)""")
 def distinct_shapes(spark, sf_dir):
     rows = resolved(notes(spark, sf_dir), FLAGSHIP, words=True).select(F.inline("protected"))
     return R.distinct_shapes(rows.select(M.shape(F.col("token")).alias("shape")))
 
 
-@query("WITH u AS (SELECT doc_id, ('0x' || substring(md5(doc_id::VARCHAR), 1, 7))::INT / 268435456.0::DOUBLE AS u FROM documents) SELECT doc_id, CASE WHEN u < 24 / 66.0::DOUBLE THEN 'a' WHEN u < 38 / 66.0::DOUBLE THEN 'b' WHEN u < 52 / 66.0::DOUBLE THEN 'c' ELSE 'd' END AS part FROM u")
+@query("""WITH u AS (SELECT doc_id, ('0x' || substring(md5(doc_id::VARCHAR), 1, 7))::INT / 268435456.0::DOUBLE AS u FROM documents)
+SELECT doc_id, CASE WHEN u < 24 / 66.0::DOUBLE THEN 'a' WHEN u < 38 / 66.0::DOUBLE THEN 'b' WHEN u < 52 / 66.0::DOUBLE THEN 'c' ELSE 'd' END AS part
+FROM u""")
 def weighted_split(spark, sf_dir):
     """Notes dealt to four parts by weight."""
     return P.weighted_split(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", {"a": 24, "b": 14, "c": 14, "d": 14})
@@ -825,7 +887,9 @@ def unigram_freq(spark, sf_dir):
     return R.word_counts(_flagged(spark, sf_dir))
 
 
-@query(f"WITH {_PHI_TOK}, b AS (SELECT lower(token) AS word, lower(lead(token) OVER w) AS next_word, phi AND lead(phi) OVER w AS pair FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY nth)) SELECT word, next_word, count(*) AS n, count(*) FILTER (WHERE pair) AS n_phi FROM b WHERE next_word IS NOT NULL GROUP BY ALL")
+@query(f"""WITH {_PHI_TOK}, b AS (SELECT lower(token) AS word, lower(lead(token) OVER w) AS next_word, phi AND lead(phi) OVER w AS pair
+FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY nth)) SELECT word, next_word, count(*) AS n, count(*) FILTER (WHERE pair) AS n_phi FROM b
+WHERE next_word IS NOT NULL GROUP BY ALL""")
 def bigram_freq(spark, sf_dir):
     return R.bigrams(_flagged(spark, sf_dir))
 
@@ -838,7 +902,8 @@ def bootstrap(spark, sf_dir):
 _JOB_EXC = " UNION ALL ".join(f"SELECT doc_id, start, stop, '{k}' AS phi_type FROM ({_sp(p)})" for k, p in (("DATE", YEAR), ("AGE<90", AGED)))
 
 
-@query(f"""WITH j AS ({_JOB_EXC}), k AS (SELECT phi_type, phi_type = 'AGE<90' OR (substring(text, (start + 1)::BIGINT, 4) <> '0000') AS read FROM j JOIN documents USING (doc_id))
+@query(f"""WITH j AS ({_JOB_EXC}), k AS (SELECT phi_type, phi_type = 'AGE<90' OR (substring(text, (start + 1)::BIGINT, 4) <> '0000') AS read FROM j
+JOIN documents USING (doc_id))
 SELECT phi_type, count(*) FILTER (WHERE read) AS parsed, count(*) FILTER (WHERE NOT read) AS failed, 0::BIGINT AS replaced FROM k GROUP BY phi_type""")
 def parse_outcomes(spark, sf_dir):
     """Dates and ages that could be read, by type; without metadata none is replaced."""
@@ -863,14 +928,17 @@ def batch_notes(spark, sf_dir):
     return P.batch_notes(batch, t(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
-@query("SELECT o_orderkey AS note_key, p.date_offset FROM orders LEFT JOIN (SELECT c_custkey, max(c_nationkey)::INT AS date_offset FROM customer WHERE c_acctbal > 0 GROUP BY 1) p ON o_custkey = c_custkey")
+@query("""SELECT o_orderkey AS note_key, p.date_offset FROM orders LEFT JOIN (SELECT c_custkey, max(c_nationkey)::INT AS date_offset FROM customer
+WHERE c_acctbal > 0 GROUP BY 1) p ON o_custkey = c_custkey""")
 def metadata_left_join(spark, sf_dir):
     """Notes with their patient's offset, where there is one."""
     patients = t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("patient_ID"), F.col("c_nationkey").alias("date_offset"))
     return P.note_offsets(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note_key"), F.col("o_custkey").alias("patient_ID")), patients)
 
 
-@query("WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT conv_id AS doc_id FROM conversations) SELECT doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'first' ELSE 'second' END AS side FROM a FULL JOIN b USING (doc_id)")
+@query("""WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT conv_id AS doc_id FROM conversations)
+SELECT doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN a.doc_id IS NOT NULL THEN 'first' ELSE 'second' END AS side
+FROM a FULL JOIN b USING (doc_id)""")
 def key_sets(spark, sf_dir):
     """Keys in both of two sets, and keys in one only."""
     return P.key_sets(t(spark, sf_dir, "documents"), t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")), "doc_id")
@@ -886,7 +954,8 @@ _LITERAL = r"SELECT doc_id, text, regexp_extract(text, '[a-z]+[.,] ?[A-Za-z]') A
 
 
 @query(f"""WITH v AS ({_LITERAL}), g AS (SELECT doc_id, value, len(value) AS n, string_split(text, value) AS gs FROM v WHERE value <> ''),
-x AS (SELECT doc_id, value, n, unnest(gs[1:len(gs) - 1]) AS gap, unnest(range(len(gs) - 1)) AS nth FROM g), y AS (SELECT doc_id, value, n, sum(len(gap) + n) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM x)
+x AS (SELECT doc_id, value, n, unnest(gs[1:len(gs) - 1]) AS gap, unnest(range(len(gs) - 1)) AS nth FROM g),
+y AS (SELECT doc_id, value, n, sum(len(gap) + n) OVER (PARTITION BY doc_id ORDER BY nth) AS stop FROM x)
 SELECT doc_id, value, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM y""")
 def literal_search(spark, sf_dir):
     """Where each note holds its first sentence end, searched for as it stands, full stop included."""
