@@ -158,3 +158,12 @@ def test_scratch_tables_go(spark):
     assert keep.count() == 3 and common._MADE[mark:] == [kept]
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(gone)
+
+
+def test_a_cluster_needs_its_shared_folder():
+    from types import SimpleNamespace as N
+
+    spark = lambda master, found=None: N(conf=N(get=lambda *_: found), sparkContext=N(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda p: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(spark("spark://host:7077"))
+    assert common.shared_dir(spark("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y" and common.shared_dir(spark("local[2]")).startswith("file://")
