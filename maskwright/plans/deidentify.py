@@ -141,7 +141,7 @@ def deidentify(docs: DataFrame, patterns: list[Pattern], probes: DataFrame | Non
     rows = resolved(docs, patterns, probes, tag, words=True)
     if meta is not None:
         side = meta.where("doc_id is not null").groupBy(F.col("doc_id").alias("_mw_note")).agg(F.min(F.struct("date_offset", F.col("birth_date").try_cast("date").alias("born"))).alias("_mw_meta"))
-        rows = rows.join(side, rows[docs.columns[-1] if len(docs.columns) > 2 else "doc_id"] == F.col("_mw_note"), "left").withColumns({"_mw_offset": F.col("_mw_meta.date_offset"), "_mw_born": F.col("_mw_meta.born")})
+        rows = rows.join(side, rows["note_key" if "note_key" in docs.columns else "doc_id"] == F.col("_mw_note"), "left").withColumns({"_mw_offset": F.col("_mw_meta.date_offset"), "_mw_born": F.col("_mw_meta.born")})
     rows = rows.withColumn("norms", normalised(rows, ref_date)).select(*docs.columns, "includes", "excludes", "protected", "probed", "norms")
     if work:
         rows.write.mode("overwrite").parquet(work)

@@ -188,7 +188,9 @@ _POS = "CASE WHEN regexp_matches(token, '[0-9]') THEN 'CD' WHEN regexp_matches(t
 
 @query(f"WITH k AS (SELECT {_POS} AS pos, regexp_matches(token, '[0-9]') AS is_phi FROM ({TOK})) SELECT pos, is_phi, count(*) AS n FROM k GROUP BY ALL")
 def pos_counts(spark, sf_dir):
-    return S.tokens(docs(spark, sf_dir)).select(FI.heuristic_pos(F.col("token")).alias("pos"), F.col("token").rlike("[0-9]").alias("is_phi")).groupBy("pos", "is_phi").agg(F.count(F.lit(1)).alias("n"))
+    """Tags of protected and other tokens, the most frequent first."""
+    toks = S.tokens(docs(spark, sf_dir)).select(FI.heuristic_pos(F.col("token")).alias("pos"), F.col("token").rlike("[0-9]").alias("is_phi"))
+    return toks.groupBy("pos", "is_phi").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pos")
 
 
 @query(f"SELECT doc_id, start, stop FROM ({TOK}) WHERE {_POS} IN ('CD', 'VBG')")
