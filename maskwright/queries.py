@@ -158,11 +158,16 @@ for _n, _p in (("regex_spans_email", EMAIL), ("regex_spans_phone", PHONE), ("reg
     _regex_query(_n, _p)
 
 
-@query()
+@query(f"SELECT doc_id, start, stop, token FROM ({_sp('[0-9]+')}) WHERE len(token) = 4")
 def regex_spans_lookaround(spark, sf_dir):
-    """Lookarounds and back-references, which RE2 lacks: a number not beside digits, and a doubled word."""
-    d = docs(spark, sf_dir)
-    return S.regex_spans(d, r"(?Ud)(?<![0-9])[0-9]{4}(?![0-9])").unionByName(S.regex_spans(d, r"(?Ud)\b(\w+) \1\b"))
+    """Lookarounds, which RE2 lacks: four digits that are not beside digits."""
+    return S.regex_spans(notes(spark, sf_dir), r"(?Ud)(?<![0-9])[0-9]{4}(?![0-9])").drop("nth")
+
+
+@query()
+def regex_spans_backreference(spark, sf_dir):
+    """Back-references, which RE2 lacks: a doubled word."""
+    return S.regex_spans(notes(spark, sf_dir), r"(?Ud)\b(\w+) \1\b")
 
 
 @query("SELECT doc_id, 0::BIGINT AS start, len(text)::BIGINT AS stop FROM documents WHERE text <> ''")

@@ -59,7 +59,10 @@ def test_regex_spans_against_python(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("aé1 .-\n١B") for _ in range(rng.randrange(60))) for _ in range(60)] + ["", None]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for p in (r"\d+", r"[a-z]+\b", r"(?<!\d)\d(?!\d)", r"a.", r"\w+-"):
+    more = ["the the the cat cat sat", "a a", "aa a a a é é", "1 1 2"]
+    d = d.union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    texts = texts + [None] * (100 - len(texts)) + more
+    for p in (r"\b(\w+) \1\b", r"\d+", r"[a-z]+\b", r"(?<!\d)\d(?!\d)", r"a.", r"\w+-"):
         got = {(r["doc_id"], r["start"], r["stop"], r["token"]) for r in S.regex_spans(d, jvm_regex(p)).collect()}
         assert got == {(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) if t for m in re.finditer(p, t)}, p
 
