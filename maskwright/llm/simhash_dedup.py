@@ -227,10 +227,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_mw_key", row_key("doc_id", "text"))
     found = written(classes(keyed, ("doc_id", "_mw_key")).groupBy("root", "doc_id", "_mw_key").count(), "near-copies")
     # a key lies in one component, so membership needs no join by component, of which some are large
-    best = written(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_mw_key"))["_mw_key"].alias("_mw_key")).select("_mw_key"), "best-copies")
-    drop = written(found.select("_mw_key").join(best, "_mw_key", "left_anti"), "dropped-copies")
-    twice = written(found.where("count > 1").select("_mw_key").join(best, "_mw_key", "left_semi"), "repeated-copies")
-    kept = keyed.join(drop, "_mw_key", "left_anti")
+    best = written(found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_mw_key"))["_mw_key"].alias("_mw_key")).select("_mw_key", F.lit(True).alias("stays")), "best-copies")
+    judged = written(found.join(best, "_mw_key", "left").select("doc_id", "_mw_key", F.coalesce("stays", F.lit(False)).alias("stays"), "count"), "judged-copies")
+    # an id whose rows all go is dropped by the id, which is shorter than a key; rows of other ids, and of none, by their keys
+    ids = written(judged.where("doc_id is not null").groupBy("doc_id").agg(F.every(~F.col("stays")).alias("all"), F.some(~F.col("stays")).alias("some")).where("some"), "touched-ids")
+    whole = written(ids.where("all").select("doc_id"), "dropped-ids")
+    part = judged.where("not stays").join(ids.where("all").select("doc_id"), "doc_id", "left_anti").select("_mw_key")
+    part = written(part, "dropped-keys")
+    twice = written(judged.where("stays and count > 1").select("_mw_key"), "repeated-copies")
+    kept = keyed.join(whole, "doc_id", "left_anti").select(keyed.columns)
+    if not part.isEmpty():
+        kept = kept.join(part, "_mw_key", "left_anti")
     if twice.isEmpty():
         return kept.select(docs.columns)
     own = [F.col(f"`{c}`") for c in docs.columns]
